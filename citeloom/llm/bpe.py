@@ -14,7 +14,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .words import dictionaries, positions, rejoin
+from .words import dictionaries, joined, pack_found, positions, rejoin
 
 # The code points of the Unicode property White_Space, and Latin letters (all of category L).
 _SPACE = "\t-\r \x85\xa0" + chr(0x1680) + chr(0x2000) + "-" + chr(0x200A) + chr(0x2028) + chr(0x2029) + chr(0x202F) + chr(0x205F) + chr(0x3000)
@@ -72,6 +72,12 @@ def encode_decode(docs: DataFrame, path: str, *, id_col: str = "doc_id", text_co
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         last_word, last_ids = None, None
+        held, rows = [], 0
+
+        def flush() -> pa.RecordBatch:
+            t = pa.Table.from_batches(held)
+            return pack_found(t.column("chunk").to_numpy(), t.column("idx").to_numpy(), t.column("ids").combine_chunks())
+
         for batch in batches:
             distinct = batch.column("word").dictionary_encode()
             words = distinct.dictionary.to_pylist()
@@ -81,9 +87,15 @@ def encode_decode(docs: DataFrame, path: str, *, id_col: str = "doc_id", text_co
                 ids.insert(0, last_ids)
             if words:
                 last_word, last_ids = words[-1], ids[-1]
-            yield pa.record_batch([batch.column("chunk"), batch.column("idx"), pa.array(ids, pa.binary()).take(distinct.indices)], names=["chunk", "idx", "ids"])
-
-    found = by_word.mapInArrow(encode, "chunk binary, idx int, ids binary")
+            held.append(pa.record_batch([batch.column("chunk"), batch.column("idx"), pa.array(ids, pa.binary()).take(distinct.indices)], names=["chunk", "idx", "ids"]))
+            rows += batch.num_rows
+            if rows >= 100_000:
+                yield flush()
+                held, rows = [], 0
+        if rows:
+            yield flush()
+
+    found = by_word.mapInArrow(encode, "chunk long, packed binary")
     schema = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string" + ", ids array<int>, decoded string" * with_ids
 
     def assemble(meta: dict, where: np.ndarray, ids: pa.Array) -> pa.Table:
@@ -91,10 +103,10 @@ def encode_decode(docs: DataFrame, path: str, *, id_col: str = "doc_id", text_co
         out = {"doc_id": meta["doc_id"], "n_tokens": [], "ids_sha256": [], "decoded_sha256": []} | ({"ids": [], "decoded": []} if with_ids else {})
         at = 0
         for n in meta["n_words"]:
-            flat = _joined(ids.take(pa.array(where[at : at + n])))
+            flat = joined(ids.take(pa.array(where[at : at + n])))
             at += n
             mine = np.frombuffer(flat, "<u4")
-            text = _joined(pieces.take(pa.array(mine))).decode("utf-8", "replace")
+            text = joined(pieces.take(pa.array(mine))).decode("utf-8", "replace")
             out["n_tokens"].append(len(mine))
             out["ids_sha256"].append(hashlib.sha256(flat).hexdigest())
             out["decoded_sha256"].append(hashlib.sha256(text.encode()).hexdigest())
@@ -103,12 +115,4 @@ def encode_decode(docs: DataFrame, path: str, *, id_col: str = "doc_id", text_co
                 out["decoded"].append(text)
         return pa.table({"doc_id": pa.array(out["doc_id"], pa.int64()), "n_tokens": pa.array(out["n_tokens"], pa.int64())} | {k: pa.array(v, pa.list_(pa.int32()) if k == "ids" else pa.string()) for k, v in list(out.items())[2:]})
 
-    return rejoin(positions(source, split_pieces), found, "ids", assemble, schema)
-
-
-def _joined(values: pa.Array) -> bytes:
-    """The values of a fresh binary array, one after another."""
-    if not len(values):
-        return b""
-    offsets = np.frombuffer(values.buffers()[1], np.int32)[values.offset : values.offset + len(values) + 1]
-    return memoryview(values.buffers()[2])[offsets[0] : offsets[-1]].tobytes() if values.buffers()[2] is not None else b""
+    return rejoin(positions(source, split_pieces), found, assemble, schema)

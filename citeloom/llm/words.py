@@ -6,10 +6,10 @@ dictionary. Two frames come of it, both linear in the input: the dictionaries, a
 positions, which meet what was found for their words again. No text is shuffled, and no table of
 all words is ever in one place.
 
-A chunk is named by its place and a digest of what it holds, so both frames name it alike if they see the same
-rows; where they don't, because the input's order changed between two readings, the chunk lacks
-its dictionary and the job fails instead of giving a wrong result. Inputs are to be tables,
-whose order is fixed.
+A chunk's number has its place and some bits of a digest of what it holds, so both frames number it alike if
+they see the same rows; where they don't, because the input's order changed between two readings, the chunk
+lacks its dictionary and the job fails instead of giving a wrong result. Inputs are to be tables, whose
+order is fixed.
 """
 
 from __future__ import annotations
@@ -24,9 +24,11 @@ import pyarrow.compute as pc
 import zstandard
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import StructType
 
 #: Bytes of text in a chunk. A longer text is a chunk by itself.
-CHUNK_BYTES = 16_000_000
+CHUNK_BYTES = 28_000_000
 
 #: text -> its words, all of one kind (str or bytes)
 Splitter = Callable[[bytes], list]
@@ -54,10 +56,10 @@ def slices(batches: Iterator[pa.RecordBatch], column: str, limit: int) -> Iterat
             yield batch.slice(start, batch.num_rows - start)
 
 
-def _read(batch: pa.RecordBatch, ordinal: int, split: Splitter) -> tuple[bytes, _Index, np.ndarray, np.ndarray]:
-    """Name, dictionary, words in each document and positions, of a slice with doc_id and body."""
+def _read(batch: pa.RecordBatch, ordinal: int, split: Splitter) -> tuple[int, _Index, np.ndarray, np.ndarray]:
+    """Number, dictionary, words in each document and positions, of a slice with doc_id and body."""
     index = _Index()
-    digest = hashlib.blake2b(b"%d:%d;" % (TaskContext.get().partitionId(), ordinal), digest_size=16)
+    digest = hashlib.blake2b(digest_size=2)
     counts, parts = [], []
     for doc_id, body in zip(batch.column("doc_id").to_pylist(), batch.column("body")):
         body = body.as_py() or b""
@@ -66,7 +68,8 @@ def _read(batch: pa.RecordBatch, ordinal: int, split: Splitter) -> tuple[bytes,
         words = split(body)
         counts.append(len(words))
         parts.append(np.fromiter(map(index.__getitem__, words), np.uint32, len(words)))
-    return digest.digest(), index, np.array(counts, np.int64), np.concatenate(parts) if parts else np.zeros(0, np.uint32)
+    number = TaskContext.get().partitionId() << 36 | ordinal << 16 | int.from_bytes(digest.digest(), "big")
+    return number, index, np.array(counts, np.int64), np.concatenate(parts) if parts else np.zeros(0, np.uint32)
 
 
 def pack(positions: np.ndarray) -> bytes:
@@ -80,7 +83,7 @@ def unpack(data: bytes, n: int) -> np.ndarray:
 
 
 def dictionaries(docs: DataFrame, split: Splitter, *, chunk_bytes: int = CHUNK_BYTES) -> DataFrame:
-    """(chunk binary, idx int, word binary, n long, n_train long) of docs(doc_id, body binary[, train boolean]).
+    """(chunk long, idx int, word binary, n long, n_train long) of docs(doc_id, body binary[, train boolean]).
 
     ``n`` counts the word in the chunk, ``n_train`` in those documents with ``train`` (0 where there
     is no such column).
@@ -101,15 +104,15 @@ def dictionaries(docs: DataFrame, split: Splitter, *, chunk_bytes: int = CHUNK_B
             for at in range(0, size, 50_000):
                 k = min(50_000, size - at)
                 yield pa.record_batch(
-                    [pa.array([chunk] * k, pa.binary()), pa.array(np.arange(at, at + k, dtype=np.int32)), words.slice(at, k), pa.array(n[at : at + k].astype(np.int64)), pa.array(n_train[at : at + k].astype(np.int64))],
+                    [pa.array([chunk] * k, pa.int64()), pa.array(np.arange(at, at + k, dtype=np.int32)), words.slice(at, k), pa.array(n[at : at + k].astype(np.int64)), pa.array(n_train[at : at + k].astype(np.int64))],
                     names=["chunk", "idx", "word", "n", "n_train"],
                 )
 
-    return docs.mapInArrow(run, "chunk binary, idx int, word binary, n long, n_train long")
+    return docs.mapInArrow(run, "chunk long, idx int, word binary, n long, n_train long")
 
 
 def positions(docs: DataFrame, split: Splitter, extra: Callable[[pa.RecordBatch], dict] | None = None, *, chunk_bytes: int = CHUNK_BYTES) -> DataFrame:
-    """(chunk binary, size int, meta string, packed binary) of docs(doc_id, body binary, ...).
+    """(chunk long, size int, meta string, packed binary) of docs(doc_id, body binary, ...).
 
     ``meta`` is JSON of lists with an entry for each document: doc_id, n_words and what ``extra`` gives
     for the slice.
@@ -119,33 +122,69 @@ def positions(docs: DataFrame, split: Splitter, extra: Callable[[pa.RecordBatch]
         for ordinal, batch in enumerate(slices(batches, "body", chunk_bytes)):
             chunk, index, counts, where = _read(batch, ordinal, split)
             meta = {"doc_id": batch.column("doc_id").to_pylist(), "n_words": counts.tolist()} | (extra(batch) if extra else {})
-            yield pa.record_batch([pa.array([chunk], pa.binary()), pa.array([len(index)], pa.int32()), pa.array([json.dumps(meta)]), pa.array([pack(where)], pa.binary())], names=["chunk", "size", "meta", "packed"])
-
-    return docs.mapInArrow(run, "chunk binary, size int, meta string, packed binary")
-
-
-def rejoin(chunks: DataFrame, found: DataFrame, value: str, work: Callable[[dict, np.ndarray, pa.Array], pa.Table], schema: str) -> DataFrame:
-    """Bring each chunk together with ``value`` of its dictionary, from found(chunk, idx, value).
-
-    ``work`` gets meta, positions and the values in dictionary order, and returns rows of
-    ``schema``.
+            yield pa.record_batch([pa.array([chunk], pa.int64()), pa.array([len(index)], pa.int32()), pa.array([json.dumps(meta)]), pa.array([pack(where)], pa.binary())], names=["chunk", "size", "meta", "packed"])
+
+    return docs.mapInArrow(run, "chunk long, size int, meta string, packed binary")
+
+
+def pack_found(chunk: np.ndarray, idx: np.ndarray, values: pa.Array) -> pa.RecordBatch:
+    """(chunk, packed): the binary ``values``, whole 32-bit integers, of each chunk's words in a row."""
+    order = np.lexsort((idx, chunk))
+    chunk, idx, values = chunk[order], idx[order].astype(np.int64), values.take(pa.array(order))
+    sizes = pc.binary_length(values).to_numpy().astype(np.int64) // 4
+    flat = np.frombuffer(joined(values), "<u4")
+    ends = np.cumsum(sizes)
+    cuts = np.flatnonzero(np.r_[True, chunk[1:] != chunk[:-1], True]) if len(chunk) else np.zeros(1, np.int64)
+    rows = []
+    for i, j in zip(cuts[:-1].tolist(), cuts[1:].tolist()):
+        head = np.r_[j - i, np.diff(idx[i:j], prepend=0), sizes[i:j], flat[ends[i] - sizes[i] : ends[j - 1]]]
+        rows.append((len(head)).to_bytes(4, "little") + pack(head))
+    return pa.record_batch([pa.array(chunk[cuts[:-1]], pa.int64()), pa.array(rows, pa.binary())], names=["chunk", "packed"])
+
+
+def unpack_found(rows: list[bytes]) -> tuple[np.ndarray, pa.Array]:
+    """Dictionary positions and values out of rows of pack_found."""
+    idx, sizes, flat = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)], [np.zeros(0, np.uint32)]
+    for row in rows:
+        x = unpack(row[4:], int.from_bytes(row[:4], "little"))
+        n = int(x[0])
+        idx.append(np.cumsum(x[1 : n + 1].astype(np.int64)))
+        sizes.append(x[n + 1 : 2 * n + 1].astype(np.int64))
+        flat.append(x[2 * n + 1 :])
+    offsets = np.r_[0, np.cumsum(np.concatenate(sizes)) * 4].astype(np.int32)
+    data = np.concatenate(flat).astype("<u4").tobytes()
+    return np.concatenate(idx), pa.Array.from_buffers(pa.binary(), len(offsets) - 1, [None, pa.py_buffer(offsets), pa.py_buffer(data)])
+
+
+def joined(values: pa.Array) -> bytes:
+    """The values of a binary array, one after another."""
+    if not len(values):
+        return b""
+    offsets = np.frombuffer(values.buffers()[1], np.int32)[values.offset : values.offset + len(values) + 1]
+    return memoryview(values.buffers()[2])[offsets[0] : offsets[-1]].tobytes() if values.buffers()[2] is not None else b""
+
+
+def rejoin(chunks: DataFrame, found: DataFrame, work: Callable[[dict, np.ndarray, pa.Array], pa.Table], schema: str) -> DataFrame:
+    """Bring each chunk together with what was found for its dictionary.
+
+    ``found`` has (chunk, packed) of pack_found or (chunk, idx, value). ``work`` gets meta, positions and the
+    values in dictionary order, and returns rows of ``schema``.
     """
+    packed = "packed" in found.columns
 
     def run(left: pa.Table, right: pa.Table) -> pa.Table:
+        if packed:
+            idx, values = unpack_found(right.column("packed").to_pylist())
+        else:
+            idx, values = right.column("idx").to_numpy(), right.column("value").combine_chunks()
+        values = values.take(pa.array(np.argsort(idx)))
         tables = []
-        order = np.argsort(right.column("idx").to_numpy()) if right.num_rows else np.zeros(0, np.int64)
         for row in left.to_pylist():
-            if row["size"] != len(order):
+            if row["size"] != len(idx):
                 raise RuntimeError("the input gave other rows, or another order, when read again; write it as a table first")
             meta = json.loads(row["meta"])
-            values = right.column(value).combine_chunks()
-            if isinstance(values, pa.ChunkedArray):
-                values = values.chunk(0) if values.num_chunks == 1 else pa.concat_arrays(values.chunks) if values.num_chunks else pa.array([], values.type)
-            tables.append(work(meta, unpack(row["packed"], sum(meta["n_words"])), values.take(pa.array(order))))
+            tables.append(work(meta, unpack(row["packed"], sum(meta["n_words"])), values))
         return pa.concat_tables(tables) if tables else empty
 
-    from pyspark.sql.pandas.types import to_arrow_schema
-    from pyspark.sql.types import StructType
-
     empty = to_arrow_schema(StructType.fromDDL(schema)).empty_table()
-    return chunks.groupBy("chunk").cogroup(found.select("chunk", "idx", value).groupBy("chunk")).applyInArrow(run, schema)
+    return chunks.groupBy("chunk").cogroup(found.groupBy("chunk")).applyInArrow(run, schema)
