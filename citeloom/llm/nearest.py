@@ -80,15 +80,15 @@ def nearest(vectors: DataFrame, is_query: Column, k: int = 20, *, id_col: str =
     part = lambda n: F.pmod(F.xxhash64("vec_id"), F.lit(n)).cast("int")
     every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
     candidates = rows.select("dim", part(tiles).alias("tile"), every(blocks).alias("block"), "vec_id", "v")
-    queries = rows.filter("is_query").select("dim", every(tiles).alias("tile"), part(blocks).alias("block"), "vec_id", "v")
+    queries = rows.filter("is_query").select(F.size("v").alias("dim"), every(tiles).alias("tile"), part(blocks).alias("block"), F.col("vec_id").alias("query_id"), F.col("v").alias("q"))
     keys = ["dim", "tile", "block"]
     found_schema = pa.schema([("query_id", pa.int64()), ("vec_ids", pa.list_(pa.int64())), ("scores", pa.list_(pa.float64()))])
 
     def product(x: pa.Table, q: pa.Table) -> pa.Table:
         if not x.num_rows or not q.num_rows:
             return found_schema.empty_table()
-        q_ids = q.column("vec_id").to_numpy()
-        best = tile_best(_matrix(q.column("v")), q_ids, _matrix(x.column("v")), x.column("vec_id").to_numpy(), k)
+        q_ids = q.column("query_id").to_numpy()
+        best = tile_best(_matrix(q.column("q")), q_ids, _matrix(x.column("v")), x.column("vec_id").to_numpy(), k)
         return pa.table([pa.array(q_ids), pa.array([b[0] for b in best], pa.list_(pa.int64())), pa.array([b[1] for b in best], pa.list_(pa.float64()))], schema=found_schema)
 
     found = candidates.groupBy(*keys).cogroup(queries.groupBy(*keys)).applyInArrow(product, "query_id long, vec_ids array<long>, scores array<double>")
