@@ -19,7 +19,7 @@ from .common import stash
 LEARN_ROWS = 12_000
 
 #: A term enters the lexicon if it stands in so many toxic documents at least, and so great a share of those it stands in are toxic.
-LEAST_DOCS, LEAST_SHARE = 5, 0.8
+LEAST_DOCS, LEAST_SHARE = 5, 0.5
 
 #: Beginnings of words that may be terms: their lengths. Most of the learning rows bound the lexicon as well.
 STEMS = range(4, 9)
@@ -160,17 +160,22 @@ class Model:
 def choose_terms(counts: dict[tuple[str, bool], tuple[int, int]], toxic: int, clean: int) -> list[tuple[str, bool, float]]:
     """Lexicon out of (term, whole word) -> (toxic documents, clean documents), with weights of log odds.
 
-    A stem stands for its words where no one of them makes up most of it; the shortest stem does for its longer ones.
+    A stem stands for its words where no one of them makes up most of it, and for longer stems; words and stems of
+    clearly more weight are terms beside it.
     """
     good = {t: (a, b) for t, (a, b) in counts.items() if a >= LEAST_DOCS and a >= LEAST_SHARE * (a + b)}
     words = {t: a for (t, whole), (a, _) in good.items() if whole}
     alone = {t for t, whole in good if not whole if any(w.startswith(t) and a >= 0.7 * good[t, False][0] for w, a in words.items())}
-    stems: list[str] = []
+    weight = {t: math.log((a + 0.5) / (toxic + 1)) - math.log((b + 0.5) / (clean + 1)) for t, (a, b) in good.items()}
+    stems: dict[str, float] = {}
+
+    def covered(t: str, w: float) -> bool:
+        return any(stems.get(t[:n], -math.inf) > w - 0.5 for n in STEMS)
+
     for t in sorted((t for t, whole in good if not whole and t not in alone), key=lambda t: (len(t), t)):
-        if not t.startswith(tuple(stems)):
-            stems.append(t)
-    chosen = [(t, False) for t in stems] + [(t, True) for t in sorted(words) if not t.startswith(tuple(stems))]
-    return [(t, whole, math.log((good[t, whole][0] + 0.5) / (toxic + 1)) - math.log((good[t, whole][1] + 0.5) / (clean + 1))) for t, whole in chosen]
+        if not covered(t, weight[t, False]):
+            stems[t] = weight[t, False]
+    return [(t, False, w) for t, w in stems.items()] + [(t, True, weight[t, True]) for t in sorted(words) if not covered(t, weight[t, True])]
 
 
 def fit(evidence: np.ndarray, toxic: np.ndarray) -> tuple[float, float]:
