@@ -91,7 +91,8 @@ def domains(headings: Column, keywords: dict[str, list[str]] | None = None) -> C
     """Topics of which some keyword is part of some heading, in alphabetic order."""
     found = []
     for domain, words_ in sorted((keywords or DOMAIN_KEYWORDS).items()):
-        hit = F.exists(headings, lambda h, ws=words_: F.lower(h).rlike("|".join(ws)))
+        pattern = "|".join(words_)
+        hit = F.exists(headings, lambda h: F.lower(h).rlike(pattern))  # noqa: B023  evaluated at once
         found.append(F.when(hit, F.lit(domain)))
     return F.array_compact(F.array(*found))
 

@@ -292,7 +292,7 @@ def operating_point(s, d):
 _LINE = "regexp_replace(sentence, '[.!?]+$', '') || ' [' || source || ']' || coalesce(nullif(regexp_extract(sentence, '([.!?]+)$', 1), ''), '.')"
 _VER = f"""tx AS (SELECT query_id, string_agg({_LINE}, ' ' ORDER BY n) AS text FROM ans GROUP BY query_id),
     ps AS (SELECT query_id, list(pmid ORDER BY source) AS passages FROM (SELECT DISTINCT query_id, source, pmid FROM ans) GROUP BY query_id),
-    vs AS (SELECT query_id, at, ss[at] AS sentence, passages, TRY_CAST(nullif(regexp_extract(ss[at], '\\[(\\d+)\\]', 1), '') AS INTEGER) AS n FROM (SELECT query_id, passages, {sentences_sql('text')} AS ss FROM tx JOIN ps USING (query_id)), range(1, 1000) t(at) WHERE at <= len(ss)),
+    vs AS (SELECT query_id, ss[k] AS sentence, passages, TRY_CAST(nullif(regexp_extract(ss[k], '\\[(\\d+)\\]', 1), '') AS INTEGER) AS n FROM (SELECT query_id, passages, {sentences_sql('text')} AS ss FROM tx JOIN ps USING (query_id)), range(1, 1000) t(k) WHERE k <= len(ss)),
     vc AS (SELECT *, CASE WHEN n BETWEEN 1 AND len(passages) THEN passages[n] END AS cited, {content_sql("regexp_replace(sentence, '\\s*\\[\\d+\\]', '', 'g')")} AS said FROM vs),
     vl AS (SELECT vc.*, CASE WHEN docs.pmid IS NULL THEN NULL WHEN len(list_intersect(said, {content_sql('title || chr(10) || chr(10) || abstract')})) >= 0.8 * len(said) THEN 0 ELSE 1 END AS label FROM vc LEFT JOIN docs ON docs.pmid = vc.cited),
     rp AS (SELECT query_id, count(*) AS n, coalesce(count(*) FILTER (label = 0) / nullif(count(label), 0), 0) AS precision, count(cited) / count(*) AS recall, (count(*) - count(*) FILTER (label = 0)) / count(*) AS hallucination, count(*) FILTER (label = 0) = count(*) AS grounded FROM vl GROUP BY query_id)"""
