@@ -10,20 +10,23 @@ from citeloom.operators.corpus import upsert
 
 
 def stream_upserts(stream: DataFrame, store: str, checkpoint: str) -> StreamingQuery:
-    """Upsert each micro-batch of documents (pmid, ..., seq) into a Parquet store of two generations, of which the newer is whole."""
+    """Upsert each micro-batch of documents (pmid, ..., seq) into a Parquet store.
+
+    A batch writes the whole store anew beside the one before, which stays for readers; a batch that runs again overwrites its own.
+    """
 
     def write(batch: DataFrame, number: int) -> None:
         spark = batch.sparkSession
         old = read_store(spark, store, number)
-        rows = batch.dropDuplicates(["pmid"]) if old is None else upsert(old, batch)
-        rows.write.mode("overwrite").parquet(f"{store}/generation={number % 2}/batch={number}")
+        rows = upsert(batch.limit(0) if old is None else old, batch)
+        rows.write.mode("overwrite").parquet(f"{store}/batch={number}")
 
     return stream.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
 def read_store(spark: SparkSession, store: str, before: int | None = None) -> DataFrame | None:
-    """The newest whole generation, or that before batch ``before``; None if there is none yet."""
-    fs_path = spark._jvm.org.apache.hadoop.fs.Path(f"{store}/*/batch=*/_SUCCESS")
+    """The newest whole store, or that before batch ``before``; None if there is none yet."""
+    fs_path = spark._jvm.org.apache.hadoop.fs.Path(f"{store}/batch=*/_SUCCESS")
     found = fs_path.getFileSystem(spark._jsc.hadoopConfiguration()).globStatus(fs_path)
     batches = {int(str(f.getPath().getParent().getName()).split("=")[1]): str(f.getPath().getParent()) for f in (found or [])}
     batches = {n: p for n, p in batches.items() if before is None or n < before}
