@@ -20,6 +20,14 @@ def test_words_encode_like_the_whole_text(text):
     assert np.frombuffer(next(WordIds(PATH).texts([text.encode()])), "<u4").tolist() == want
 
 
+def test_marks_and_special_tokens():
+    t = Tokenizer.from_file(PATH)
+    ids = WordIds(PATH)
+    texts = ["Word. word, (it's) x). a.. b| é. É, 9. I'll! <|endoftext|> <|ENDOFTEXT|>. x<|startoftext|>", "<|endoftext|>|", "a|<|endoftext|>.", "A word. THE word."]
+    for got, text in zip(ids.texts([x.encode() for x in texts]), texts):
+        assert np.frombuffer(got, "<u4").tolist() == t.encode(text, add_special_tokens=False).ids, text
+
+
 def test_pairs_against_all_pairs():
     rnd = random.Random(2)
     for _ in range(300):
