@@ -6,7 +6,7 @@ import math
 import re
 from collections import Counter
 from collections.abc import Iterator
-from dataclasses import dataclass, field
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -24,6 +24,9 @@ LEAST_DOCS, LEAST_SHARE = 5, 0.5
 #: Beginnings of words that may be terms: their lengths. Most of the learning rows bound the lexicon as well.
 STEMS = range(4, 9)
 
+#: Whole words of so much weight, in log odds, are found when misspelled, too.
+FUZZY_WEIGHT = 6.0
+
 #: Words to each side of a term that are its context.
 WINDOW = 6
 
@@ -38,90 +41,130 @@ _ADDRESS = frozenset("you your yours yourself youre du dein deine dich dir ihr e
 _WORD = re.compile(r"[^\W\d_]+")
 
 
-@dataclass
 class Lexicon:
-    """Trie of terms: whole words, and stems with which words begin."""
+    """Terms: whole words, stems with which words begin, and misspellings of the words of much weight.
 
-    terms: list[tuple[str, bool, float]]
-    next: list[dict[str, int]] = field(default_factory=lambda: [{}])
-    ends: dict[int, list[int]] = field(default_factory=dict)
+    Those words form a trie. Its intersection with the Levenshtein automaton runs along a word: a state is the set of trie nodes that
+    the letters so far may stand for, each with the edits that took; states are made as words reach them and kept, so a word costs a
+    table look-up for each letter until no node is left.
+    """
 
-    def __post_init__(self) -> None:
-        for i, (term, _, _) in enumerate(self.terms):
+    KEPT = 200_000
+
+    def __init__(self, terms: list[tuple[str, bool, float]]):
+        self.terms = terms
+        self.words = {t: w for t, whole, w in terms if whole}
+        self.stems = {t: w for t, whole, w in terms if not whole}
+        self.lengths = sorted({len(t) for t in self.stems})
+        self.next: list[dict[str, int]] = [{}]
+        self.ends: dict[int, tuple[float, int]] = {}
+        self.room = [0]
+        for term, weight in sorted(self.words.items()):
+            edits = self.edits_for(len(term))
+            if weight < FUZZY_WEIGHT or not edits:
+                continue
             node = 0
             for c in term:
                 if c not in self.next[node]:
                     self.next[node][c] = len(self.next)
                     self.next.append({})
+                    self.room.append(0)
                 node = self.next[node][c]
-            self.ends.setdefault(node, []).append(i)
+                self.room[node] = max(self.room[node], edits)
+            self.ends[node] = (weight, edits)
+        self._reset()
+
+    def _reset(self) -> None:
+        self.states: dict[tuple, int] = {}
+        self.sets: list[tuple] = []
+        self.moves: list[dict[str, int]] = []
+        self.found: list[tuple[float, int] | None] = []
 
     @staticmethod
     def edits_for(length: int) -> int:
-        """Edits a term of ``length`` letters may have: none in short ones, whose neighbours are words of their own."""
+        """Edits a word of ``length`` letters may have after its first: none in short ones, whose neighbours are words of their own."""
         return 0 if length < 5 else 1 if length < 9 else 2
 
     def find(self, word: str) -> tuple[float, int] | None:
-        """(weight, edits) of the strongest term within its edits of ``word``, edits counted; None without any.
+        """(weight, edits) of the term that ``word`` is, begins with or misspells, the most evidence first; None without any.
 
-        Walks the trie along with the word's Levenshtein automaton, whose state is the row of distances between the path and each of the
-        word's beginnings (two edits of neighbouring letters swapped count as one); branches where all exceed the most edits are left. Stems are compared with the word's
-        beginning, without edits.
+        Two neighbouring letters swapped are one edit.
         """
-        most = self.edits_for(len(word) + 1)
-        best: tuple[float, int] | None = None
-        for n in range(len(word) + 1):  # stems
-            node = self._walk(word[:n]) if n else None
-            for i in self.ends.get(node, ()) if node else ():
-                if not self.terms[i][1]:
-                    best = max(best or (0.0, 0), (self.terms[i][2], 0))
-        first = list(range(len(word) + 1))
-        stack = [(0, first, None, "")]
-        while stack:
-            node, row, before, letter = stack.pop()
-            for i in self.ends.get(node, ()):
-                term, whole, weight = self.terms[i]
-                if whole and row[-1] <= self.edits_for(len(term)) and weight * EDIT ** row[-1] > (best[0] * EDIT ** best[1] if best else 0):
-                    best = (weight, row[-1])
-            for c, child in self.next[node].items():
-                new = [row[0] + 1]
-                for j, w in enumerate(word, 1):
-                    d = min(new[j - 1] + 1, row[j] + 1, row[j - 1] + (w != c))
-                    if before and j > 1 and w == letter and word[j - 2] == c:
-                        d = min(d, before[j - 2] + 1)
-                    new.append(d)
-                if min(new) <= most:
-                    stack.append((child, new, row, c))
+        weights = [self.stems[word[:n]] for n in self.lengths if word[:n] in self.stems]
+        if word in self.words:
+            weights.append(self.words[word])
+        best = (max(weights), 0) if weights else None
+        near = self._misspelled(word)
+        if near and (best is None or near[0] * EDIT ** near[1] > best[0]):
+            return near
         return best
 
-    def _walk(self, s: str) -> int | None:
-        node = 0
-        for c in s:
-            node = self.next[node].get(c)
-            if node is None:
+    def _misspelled(self, word: str) -> tuple[float, int] | None:
+        first = self.next[0].get(word[:1])
+        if first is None:
+            return None
+        if len(self.sets) > self.KEPT:
+            self._reset()
+        state = self._state({(first, None, None): 0})
+        for c in word[1:]:
+            after = self.moves[state].get(c)
+            if after is None:
+                after = self.moves[state][c] = self._state(self._step(dict(self.sets[state]), c))
+            state = after
+            if not self.sets[state]:
                 return None
-        return node
+        return self.found[state]
+
+    def _step(self, nodes: dict, c: str) -> dict:
+        """What nodes become by the letter ``c``. A node is (place, letter, place after it) while the letter that was swapped ahead is due."""
+        out: dict = {}
+
+        def reach(key: tuple, edits: int) -> None:
+            if edits <= self.room[key[0]] and edits < out.get(key, 99):
+                out[key] = edits
+
+        for (node, due, after), e in nodes.items():
+            if due is not None:
+                if c == due:
+                    reach((after, None, None), e)
+                continue
+            reach((node, None, None), e + 1)  # c is one too many
+            for letter, child in self.next[node].items():
+                reach((child, None, None), e + (letter != c))
+                if letter != c and c in self.next[child]:
+                    reach((node, letter, self.next[child][c]), e + 1)
+        return out
+
+    def _state(self, nodes: dict) -> int:
+        """The number of the state of these nodes and those that missing letters lead to."""
+        queue = [(k, e) for k, e in nodes.items() if k[1] is None]
+        while queue:
+            (node, _, _), e = queue.pop()
+            for child in self.next[node].values():
+                key = (child, None, None)
+                if e + 1 <= self.room[child] and e + 1 < nodes.get(key, 99):
+                    nodes[key] = e + 1
+                    queue.append((key, e + 1))
+        key = tuple(sorted(nodes.items(), key=repr))
+        if key not in self.states:
+            self.states[key] = len(self.sets)
+            self.sets.append(key)
+            self.moves.append({})
+            fits = [(self.ends[n][0], e) for (n, due, _), e in key if due is None and n in self.ends and e <= self.ends[n][1]]
+            self.found.append(max(fits, key=lambda f: f[0] * EDIT ** f[1], default=None))
+        return self.states[key]
 
 
 class Scanner:
-    """Evidence of documents by a lexicon; what it finds out about a word is kept for later ones."""
-
-    KEPT = 300_000
+    """Evidence of documents by a lexicon."""
 
     def __init__(self, lexicon: Lexicon):
-        self.lexicon, self.known = lexicon, {}
+        self.lexicon = lexicon
 
     def evidence(self, text: str) -> float:
         """Sum over the lexicon's terms in ``text`` of their strongest occurrence, by edits and context."""
         low = text.lower()
-        hits = {}
-        for w in set(_WORD.findall(low)):
-            if w not in self.known:
-                if len(self.known) >= self.KEPT:
-                    self.known.clear()
-                self.known[w] = self.lexicon.find(w)
-            if (found := self.known[w]) is not None:
-                hits[w] = found
+        hits = {w: found for w in set(_WORD.findall(low)) if (found := self.lexicon.find(w)) is not None}
         if not hits:
             return 0.0
         words = list(_WORD.finditer(low))
