@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import json
 import os
 import zlib
+from array import array
 from collections.abc import Iterator
 from functools import cache
 
@@ -17,7 +19,9 @@ from .common import number_within, stash
 from .words import slices
 
 #: Words whose ids a worker keeps; beyond them it starts anew.
-KEPT_WORDS = 600_000
+KEPT_WORDS = 1_000_000
+
+_MARKS = tuple(bytes([c]) for c in b".,;:!?)|")
 
 
 @cache
@@ -32,23 +36,35 @@ def _tokenizer(path: str):
 
 
 class WordIds:
-    """Ids of words as bytes, for tokenizers to which white space is nothing but a boundary."""
+    """Ids of words as bytes, for tokenizers that lower-case and to which white space is nothing but a boundary."""
 
     def __init__(self, path: str):
         self.path, self.known = path, {}
+        self.special = [t["content"].encode() for t in json.load(open(path))["added_tokens"]]
 
     def texts(self, bodies: list[bytes]) -> Iterator[bytes]:
-        split = [b.split() for b in bodies]
+        split = [self._lower(b).split() for b in bodies]
         known = self.known
-        new = list({w for words in split for w in words if w not in known})
-        if len(known) + len(new) > KEPT_WORDS:
+        if len(known) > KEPT_WORDS:
             known.clear()
-            new = list({w for words in split for w in words})
-        encoded = _tokenizer(self.path).encode_batch_fast([w.decode() for w in new], add_special_tokens=False)
-        known.update((w, np.array(e.ids, "<u4").tobytes()) for w, e in zip(new, encoded))
+        new = set().union(*split).difference(known)
+        # Between a letter and a mark after it lies a boundary of tokens too.
+        marked = [w for w in new if w[-1:] in _MARKS and w[-2:-1].isalpha() and not w.endswith(tuple(self.special))]
+        new.difference_update(marked)
+        new.update({x for w in marked for x in (w[:-1], w[-1:])}.difference(known))
+        words = list(new)
+        for w, e in zip(words, _tokenizer(self.path).encode_batch_fast([w.decode() for w in words], add_special_tokens=False)):
+            known[w] = array("I", e.ids).tobytes()
+        for w in marked:
+            known[w] = known[w[:-1]] + known[w[-1:]]
         for words in split:
             yield b"".join([known[w] for w in words])
 
+    def _lower(self, body: bytes) -> bytes:
+        """A-Z in lower case, unless that would make a special token of other text."""
+        low = body.lower()
+        return body if any(t in low for t in self.special) else low
+
 
 @cache
 def _word_ids(path: str) -> WordIds:
