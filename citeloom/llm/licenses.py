@@ -31,7 +31,7 @@ NOTICES = (
 )
 
 #: Characters of a notice for each edit (insertion, deletion or substitution) that it may have.
-CHARS_PER_EDIT = 10
+CHARS_PER_EDIT = 12
 
 WORD = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
 _LOWER = {i: i + 32 for i in range(65, 91)}
@@ -65,7 +65,7 @@ class Match:
 
 def _notice(text: str, label: str) -> Notice:
     edits = len(text) // CHARS_PER_EDIT
-    cuts = [len(text) * i // (edits + 1) for i in range(edits + 2)]
+    cuts = [len(text) * i // (edits + 2) for i in range(edits + 3)]
     pieces = tuple((text[a:b], a) for a, b in zip(cuts, cuts[1:]))
     return Notice(text, label, edits, regex.compile(f"(?b)(?:{regex.escape(text)}){{e<={edits}}}"), pieces)
 
@@ -84,25 +84,42 @@ def _search() -> tuple[tuple[Notice, ...], ahocorasick.Automaton]:
     return notices, automaton
 
 
+def _close(hits: list[tuple[int, int]], k: int) -> Iterator[tuple[tuple[int, int], tuple[int, int]]]:
+    """Neighbours in the sorted ``hits`` (where the notice would begin, piece) of different pieces, at most ``k`` apart."""
+    first = 0
+    for j, hit in enumerate(hits):
+        while hit[0] - hits[first][0] > k:
+            first += 1
+        for other in hits[first:j]:
+            if other[1] != hit[1]:
+                yield other, hit
+                break
+
+
 def fuzzy(plain: str) -> list[tuple[Notice, int, int, int]]:
     """(notice, start, end, edits) of notices in words joined by single spaces.
 
-    A notice with at most k edits has one of its k + 1 pieces unchanged, and that at most k places from where it would be. Around each such
-    seed the regex library looks for the notice with at most k edits; overlapping finds give way to the one with
-    fewest edits for its length.
+    k edits change at most k of a notice's k + 2 pieces: two stay as they are, and each is at most k places from where the
+    other has it. Around such seeds the regex library looks for the notice with at most k edits; overlapping finds give
+    way to the one with fewest edits for its length.
     """
     notices, automaton = _search()
-    windows: dict[int, list[list[int]]] = {}
+    seeds: dict[int, list[tuple[int, int]]] = {}
     for last, (n, uses) in automaton.iter(plain):
         for i, at in uses:
-            k = notices[i].edits
-            begin = last + 1 - n - at - k
-            end = begin + len(notices[i].text) + 3 * k
-            held = windows.setdefault(i, [])
+            seeds.setdefault(i, []).append((last + 1 - n - at, at))
+    windows: dict[int, list[list[int]]] = {}
+    for i, hits in seeds.items():
+        k, held = notices[i].edits, []
+        hits.sort()
+        for (begin, at), (end, other) in _close(hits, k):
+            begin, end = begin - k, end + len(notices[i].text) + 2 * k
             if held and begin <= held[-1][1]:
                 held[-1][:] = min(begin, held[-1][0]), max(end, held[-1][1])
             else:
                 held.append([begin, end])
+        if held:
+            windows[i] = held
     found = []
     for i, spans in windows.items():
         for begin, end in spans:

@@ -3,7 +3,7 @@ import re
 
 import regex
 
-from citeloom.llm.licenses import NOTICES, fuzzy, scan, scan_licenses
+from citeloom.llm.licenses import CHARS_PER_EDIT, NOTICES, fuzzy, scan, scan_licenses
 
 
 def brute_base(text):
@@ -28,7 +28,7 @@ def edited(rnd, text, n):
 def test_seeds_lose_no_notice_within_its_edits():
     rnd = random.Random(8)
     for notice, label in NOTICES:
-        k = len(notice) // 10
+        k = len(notice) // CHARS_PER_EDIT
         for n in range(k + 1):
             for _ in range(5):
                 plain = "some words here " + edited(rnd, notice, n) + " and more of them"
