@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 
 from citeloom.functions import text as X
 
+from .storage import settled
+
 OUT_OF_SCOPE = "out_of_scope"
 
 
@@ -31,9 +33,9 @@ def deduplicate(rows: DataFrame, order: str = "seq") -> DataFrame:
     kept = None
     while not left.isEmpty():
         first = lambda key: F.min(order).over(Window.partitionBy(key))
-        winners = left.withColumn("_a", first("pmid")).withColumn("_b", first("_fp")).filter((F.col(order) == F.col("_a")) & (F.col(order) == F.col("_b"))).drop("_a", "_b").checkpoint()
+        winners = settled(left.withColumn("_a", first("pmid")).withColumn("_b", first("_fp")).filter((F.col(order) == F.col("_a")) & (F.col(order) == F.col("_b"))).drop("_a", "_b"))
         kept = winners if kept is None else kept.unionByName(winners)
-        left = left.join(winners.select("pmid"), "pmid", "left_anti").join(winners.select("_fp"), "_fp", "left_anti").checkpoint()
+        left = settled(left.join(winners.select("pmid"), "pmid", "left_anti").join(winners.select("_fp"), "_fp", "left_anti"))
     return (left if kept is None else kept).drop("_fp")
 
 

@@ -12,6 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from citeloom.functions import text as X
+from citeloom.operators.storage import settled
 
 SCHEMA = "pmid string, title string, abstract string, year int, journal string, mesh_terms array<string>"
 RAW = "file_seq int, at long, pmid string, title string, sections array<string>, year_text string, medline string, journal string, languages array<string>, headings array<string>"
@@ -97,13 +98,13 @@ def ingest(spark: SparkSession, paths: list[str], store: str, *, domain_filter:
 
     from citeloom.operators.corpus import deduplicate, upsert
 
-    found = articles(raw_articles(spark, paths)).checkpoint()
+    found = settled(articles(raw_articles(spark, paths)))
     unique = deduplicate(found)
     kept = unique.filter(F.size(X.domains(F.col("mesh_terms"))) > 0) if domain_filter else unique
-    kept = kept.checkpoint()
+    kept = settled(kept)
     new = kept.drop("seq").withColumn("seq", F.lit(1))
     try:
-        old = spark.read.parquet(store).withColumn("seq", F.lit(0)).checkpoint()
+        old = settled(spark.read.parquet(store).withColumn("seq", F.lit(0)))
     except AnalysisException:
         old = new.limit(0)
     upsert(old, new).drop("seq").write.mode("overwrite").parquet(store)
