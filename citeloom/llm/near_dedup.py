@@ -23,6 +23,9 @@ BANDS, ROWS = 32, 5
 #: Hashes compared at a time, and the posterior probability of a link below which a pair is given up.
 BATCH, MISS = 16, 1e-6
 
+#: Turns with leaders, classes in a part of a bucket, and binary logarithm of the bits of the filter of texts.
+TURNS, PART, BITMAP = 3, 512, 27
+
 _MIX = np.uint64(0x9E3779B97F4A7C15)
 _MIX2 = np.uint64(0xBF58476D1CE4E5B9)
 
@@ -138,7 +141,9 @@ def _shingles(body: bytes, width: int) -> frozenset:
 
 
 def _links(pairs: DataFrame, texts: DataFrame, width: int, percent: int) -> DataFrame:
-    """Those of pairs(a, b) whose full sets of shingles are similar enough; stored."""
+    """Those of the stored pairs(a, b) whose full sets of shingles are similar enough; stored."""
+    asked = stash(pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct(), "asked")
+    texts = texts.join(asked, "node", "left_semi")  # by broadcast if Spark finds ``asked`` small enough
     side = lambda x: texts.select(F.col("node").alias(x), F.col("body").alias(f"body_{x}"))
     joined = pairs.join(side("a"), "a").join(side("b"), "b")
 
@@ -161,15 +166,125 @@ def _links(pairs: DataFrame, texts: DataFrame, width: int, percent: int) -> Data
     return stash(joined.mapInArrow(run, "a long, b long"), "links")
 
 
+def _among(docs: DataFrame, wanted: DataFrame) -> DataFrame:
+    """Rows of docs(th, ...) whose ``th`` may be among those of the stored ``wanted``: a filter that saves a shuffle, no more.
+
+    It is a bitmap of 2**BITMAP bits, whatever the input, by the lowest bits of ``th``; where very many are wanted it lets more and more pass.
+    """
+    place = F.col("th").bitwiseAND((1 << BITMAP) - 1)
+    cells = wanted.groupBy(F.shiftright(place, 5).cast("int").alias("cell")).agg(F.bit_or(F.expr("shiftleft(1L, CAST(th & 31 AS INT))")).alias("bits")).toArrow()
+    bitmap = np.zeros(1 << (BITMAP - 5), np.uint32)
+    bitmap[cells.column("cell").to_numpy()] = cells.column("bits").to_numpy().astype(np.uint32)
+    sent = docs.sparkSession.sparkContext.broadcast(bitmap)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            at = batch.column("th").to_numpy() & ((1 << BITMAP) - 1)
+            yield batch.filter(pa.array((sent.value[at >> 5] >> (at & 31).astype(np.uint32)) & 1 == 1))
+
+    return docs.mapInArrow(run, docs.schema)
+
+
+def _partners(t: pa.Table, key: tuple, percent: int, miss: float) -> Iterator[tuple[int, np.ndarray]]:
+    """(row, later rows) of a group of two parts of a bucket that signatures leave possible, across roots.
+
+    A pair counts in the first band that it shares, alone; of two different parts, only pairs across them do.
+    """
+    band, i, j = (k.as_py() for k in key)
+    root, n, part = (t.column(c).to_numpy() for c in ("root", "n", "part"))
+    sig = np.frombuffer(b"".join(t.column("sig").to_pylist()), np.uint8).reshape(len(n), -1)
+    bands = t.column("bands").combine_chunks().flatten().to_numpy().reshape(len(n), -1)
+    own = int(np.flatnonzero((bands == band).all(0))[0])
+    for x in range(len(n)):
+        y = np.arange(x + 1, len(n))
+        if i != j:
+            y = y[part[y] != part[x]]
+        y = y[(root[y] != root[x]) & (100 * np.minimum(n[y], n[x]) >= percent * np.maximum(n[y], n[x]))]
+        if own and len(y):
+            y = y[~(bands[y, :own] == bands[x, :own]).any(1)]
+        if len(y):
+            y = y[likely(sig[y], np.broadcast_to(sig[x], (len(y), sig.shape[1])), percent, miss, BATCH)]
+        if len(y):
+            yield x, y
+
+
+def _across(open_: DataFrame, classes: DataFrame, texts: DataFrame, width: int, percent: int, miss: float) -> DataFrame:
+    """Links (a, b) that join the roots of open_(band, node, root), after comparing all pairs across roots that share a band; stored.
+
+    Buckets are cut into parts of about PART classes by a hash, and every two parts of a bucket meet in one group, so no group is
+    larger than two parts. First the signatures tell which classes of a group have a possible partner; these come again with their texts, and
+    are compared on full sets within the group. Pairs are never rows: a group sends the links that join what no earlier one of its
+    own has joined.
+    """
+    sizes = stash(open_.groupBy("band").agg(F.count("*").alias("c")).select("band", F.ceil(F.col("c") / PART).cast("int").alias("parts")), "parts")
+    part = F.pmod(F.xxhash64("node"), F.col("parts")).cast("int")
+    each = open_.join(sizes, "band").withColumn("part", part).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
+    slim = classes.select("node", "n", "sig", "bands")
+    rows = each.select("band", F.least("part", "other").alias("i"), F.greatest("part", "other").alias("j"), "part", "node", "root")
+
+    def possible(key: tuple, t: pa.Table) -> pa.Table:
+        some = np.zeros(t.num_rows, bool)
+        for x, y in _partners(t, key, percent, miss):
+            some[x] = some[y] = True
+        return t.select(["band", "i", "j", "part", "node", "root"]).filter(pa.array(some))
+
+    def compare(key: tuple, t: pa.Table) -> pa.Table:
+        t = t.take(pa.array(np.argsort(t.column("node").to_numpy())))
+        node, root = t.column("node").to_numpy(), t.column("root").to_numpy()
+        sets = [_shingles(b.as_py(), width) for b in t.column("body")]
+        up = {r: r for r in root.tolist()}
+
+        def find(r: int) -> int:
+            while up[r] != r:
+                up[r] = r = up[up[r]]
+            return r
+
+        found = []
+        for x, ys in _partners(t, key, percent, miss):
+            for y in ys.tolist():
+                p, q = find(int(root[x])), find(int(root[y]))
+                if p != q:
+                    both = len(sets[x] & sets[y])
+                    if 100 * both >= percent * (len(sets[x]) + len(sets[y]) - both):
+                        up[p] = q
+                        found.append((int(node[x]), int(node[y])))
+        return pa.table({"a": pa.array([f[0] for f in found], pa.int64()), "b": pa.array([f[1] for f in found], pa.int64())})
+
+    keys = ["band", "i", "j"]
+    likely_ = stash(rows.join(slim, "node").groupBy(*keys).applyInArrow(possible, "band long, i int, j int, part int, node long, root long"), "possible")
+    asked = stash(likely_.select("node").distinct(), "asked")
+    texts = texts.join(asked, "node", "left_semi")
+    return stash(likely_.join(slim, "node").join(texts, "node").groupBy(*keys).applyInArrow(compare, "a long, b long"), "links")
+
+
+def _mixed(labelled: DataFrame) -> DataFrame:
+    """Rows of labelled(band, node, root) of the bands in which there is more than one root; stored."""
+    labelled = stash(labelled, "labelled")
+    mixed = stash(labelled.groupBy("band").agg(F.min("root").alias("r"), F.max("root").alias("s")).filter("r <> s").select("band"), "mixed")
+    return stash(labelled.join(mixed, "band"), "open")
+
+
+def _moves(links: DataFrame, roots: DataFrame) -> DataFrame:
+    """(old, new) roots by links(a, b) and roots(node, root); stored."""
+    side = lambda x: roots.select(F.col("node").alias(x), F.col("root").alias(f"r_{x}"))
+    across = links.join(side("a"), "a").join(side("b"), "b").select(F.col("r_a").alias("a"), F.col("r_b").alias("b")).distinct()
+    return stash(components(across).select(F.col("node").alias("old"), F.col("root").alias("new")), "moves")
+
+
+def _moved(rows: DataFrame, moves: DataFrame) -> DataFrame:
+    kept = [c for c in rows.columns if c != "root"]
+    return rows.join(moves, rows["root"] == moves["old"], "left").select(*kept, F.coalesce("new", "root").alias("root"))
+
+
 def near_dedup(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", width: int = 5, percent: int = 80, bands: int = BANDS, rows: int = ROWS, miss: float = MISS) -> DataFrame:
     """Components of documents whose sets of ``width``-word shingles have a Jaccard similarity of ``percent`` or more.
 
     Words are what stands between ASCII white space, with A-Z lower-cased. A text of fewer words is one shingle; a text
     without words (null, empty) has none and is linked with nothing. Equal sets are one class from the start. Classes that
-    share a band of their signatures are candidates: first each with the least of its band bucket; then, of
-    buckets whose classes aren't yet in one component, all pairs across components. Candidates are dropped when the bytes of
-    their signatures, compared in batches, leave a link a posterior probability under ``miss``; the others are
-    compared on the full sets of their texts.
+    share a band of their signatures are candidates: in TURNS turns, each with a leader of its band bucket that isn't yet of
+    its component; then, in buckets that still have several components, all pairs across these. Candidates are dropped
+    when the bytes of their signatures, compared in batches, leave a link a posterior probability under ``miss``; the others
+    are compared on the full sets of their texts.
 
     Returns doc_id, n_shingles, component_id (smallest id of the component; nulls aside), kept (doc_id =
     component_id), one row for each input row. Repeated rows are alike; a null id has the component of its set. Other columns
@@ -181,25 +296,31 @@ def near_dedup(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text
     grouped = signed.filter("n > 0").groupBy("ck").agg(F.min("doc_id").alias("low"), F.min("th").alias("th"), F.first("n").alias("n"), F.first("sig").alias("sig"), F.first("bands").alias("bands"))
     classes = stash(grouped.withColumn("node", F.monotonically_increasing_id()), "classes")
     banded = classes.select("node", F.explode("bands").alias("band"))
-    crowded = stash(banded.groupBy("band").agg(F.min("node").alias("leader"), F.count("*").alias("c")).filter("c > 1").select("band", "leader"), "buckets")
+    crowded = stash(banded.groupBy("band").agg(F.count("*").alias("c")).filter("c > 1").select("band"), "buckets")
     members = stash(banded.join(crowded, "band"), "members")
-
-    first = _plausible(members.filter("node <> leader").select(F.col("leader").alias("a"), F.col("node").alias("b")).distinct(), classes, percent, miss)
     wanted = stash(members.select("node").distinct().join(classes.select("node", "th"), "node"), "wanted")
-    texts = stash(source.select("th", "body").join(wanted, "th").groupBy("node").agg(F.first("body").alias("body")), "texts")
-    links = _links(first, texts, width, percent)
-    roots = stash(components(links), "roots")
+    texts = stash(_among(source.select("th", "body"), wanted).join(wanted, "th").groupBy("node").agg(F.first("body").alias("body")), "texts")
+
+    roots = wanted.select("node", F.col("node").alias("root"))
+    open_ = stash(members.select("band", "node", F.col("node").alias("root")), "open")
+    for turn in range(TURNS + 1):
+        if open_.isEmpty():
+            break
+        if turn < TURNS:
+            leader = stash(open_.groupBy("band").agg(F.min(F.struct(F.xxhash64("node", F.lit(turn)).alias("p"), "node", "root")).alias("l")), "leaders")
+            led = open_.join(leader, "band").filter(F.col("root") != F.col("l.root"))
+            pairs = led.select(F.least("l.node", "node").alias("a"), F.greatest("l.node", "node").alias("b")).distinct()
+            links = _links(_plausible(pairs, classes, percent, miss), texts, width, percent)
+        else:
+            links = _across(open_, classes, texts, width, percent, miss)
+        if links.isEmpty():
+            continue
+        moves = _moves(links, roots)
+        roots = stash(_moved(roots, moves), "roots")
+        if turn < TURNS:
+            open_ = _mixed(_moved(open_, moves))
 
     label = F.coalesce("root", "node").alias("root")
-    labelled = stash(members.join(roots, "node", "left").select("band", "node", label), "labelled")
-    mixed = stash(labelled.groupBy("band").agg(F.min("root").alias("r"), F.max("root").alias("s")).filter("r <> s").select("band"), "mixed")
-    open_ = stash(labelled.join(mixed, "band"), "open")
-    across = open_.select("band", F.col("node").alias("a"), F.col("root").alias("r")).join(open_.select("band", F.col("node").alias("b"), F.col("root").alias("s")), "band").filter("r < s").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-    second = _plausible(across.join(first.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")), ["a", "b"], "left_anti"), classes, percent, miss)
-    more = _links(second, texts, width, percent)
-    if not more.isEmpty():
-        roots = stash(components(links.unionByName(more)), "roots")
-
     node_root = classes.select("ck", "node", "low").join(roots, "node", "left").select("ck", "low", label)
     node_root = stash(node_root, "class-roots")
     lowest = stash(node_root.groupBy("root").agg(F.min("low").alias("component_id")), "lowest")

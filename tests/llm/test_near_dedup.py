@@ -71,13 +71,14 @@ def test_pruning_keeps_pairs_at_the_threshold_and_drops_others():
     assert least_matches(160, 80, 1e-6, 16)[-1][1] < 128
 
 
-def test_components_of_long_paths_and_stars(spark):
+@pytest.mark.parametrize("small", [0, 1000])
+def test_components_of_long_paths_and_stars(spark, small):
     rnd = random.Random(2)
     path = [(i, i + 1) for i in range(60)]
     star = [(1000, i) for i in range(900, 990)]
     pairs = path + star + [(5000, 5000), (3000, 2000), (2000, 3000), (3000, 2000)]
     rnd.shuffle(pairs)
-    got = dict(components(spark.createDataFrame(pairs, "a long, b long")).collect())
+    got = dict(components(spark.createDataFrame(pairs, "a long, b long"), small).collect())
     want = {i: 0 for i in range(61)} | {i: 900 for i in range(900, 990)} | {1000: 900, 3000: 2000, 2000: 2000}
     assert got == want
 
@@ -87,3 +88,11 @@ def test_empty_table_and_dropping(spark):
     df = spark.createDataFrame([(1, "a b c d e f", 1), (2, "A b c d e f", 2), (3, "z", 3), (4, None, 4)], "doc_id long, text string, kept int")
     got = drop_near_duplicates(df)
     assert got.columns == df.columns and sorted(r.doc_id for r in got.collect()) == [1, 3, 4]
+
+
+def test_all_pairs_across_components_in_small_parts(spark, monkeypatch):
+    monkeypatch.setattr("citeloom.llm.near_dedup.TURNS", 0)
+    monkeypatch.setattr("citeloom.llm.near_dedup.PART", 7)
+    rows = corpus(31)
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    assert sorted((tuple(r) for r in near_dedup(df, width=2).collect()), key=str) == brute(rows, 2, 80)
