@@ -24,7 +24,7 @@ BANDS, ROWS = 32, 5
 BATCH, MISS = 16, 1e-6
 
 #: Turns with leaders, classes in a part of a bucket, and binary logarithm of the bits of the filter of texts.
-TURNS, PART, BITMAP = 3, 512, 27
+TURNS, PART, BITMAP = 3, 2048, 27
 
 _MIX = np.uint64(0x9E3779B97F4A7C15)
 _MIX2 = np.uint64(0xBF58476D1CE4E5B9)
@@ -231,7 +231,8 @@ def _across(open_: DataFrame, classes: DataFrame, texts: DataFrame, width: int,
     def compare(key: tuple, t: pa.Table) -> pa.Table:
         t = t.take(pa.array(np.argsort(t.column("node").to_numpy())))
         node, root = t.column("node").to_numpy(), t.column("root").to_numpy()
-        sets = [_shingles(b.as_py(), width) for b in t.column("body")]
+        number: dict[tuple, int] = {}  # near copies share most shingles, so numbers keep the sets small
+        sets = [frozenset([number.setdefault(g, len(number)) for g in _shingles(b.as_py(), width)]) for b in t.column("body")]
         up = {r: r for r in root.tolist()}
 
         def find(r: int) -> int:
