@@ -21,6 +21,12 @@ LEARN_ROWS = 12_000
 #: A term enters the lexicon if it stands in so many toxic documents at least, and so great a share of those it stands in are toxic.
 LEAST_DOCS, LEAST_SHARE = 5, 0.5
 
+#: Of the terms that pass a test against the base rate, so great a share may have passed by chance (Benjamini and Hochberg).
+FALSE_SHARE = 0.01
+
+#: Evidence counts from so many standard deviations above what clean texts of as many words hold.
+DEVIATIONS = 2.0
+
 #: Beginnings of words that may be terms: their lengths. Most of the learning rows bound the lexicon as well.
 STEMS = range(4, 9)
 
@@ -155,16 +161,30 @@ class Lexicon:
         return self.states[key]
 
 
+def beyond(evidence: np.ndarray | float, words: np.ndarray | float, chance: tuple[float, float]) -> np.ndarray:
+    """Evidence above what so many distinct words of clean texts give."""
+    return np.maximum(0, evidence - chance[0] * words - DEVIATIONS * np.sqrt(chance[1] * words))
+
+
 class Scanner:
-    """Evidence of documents by a lexicon."""
+    """Evidence of documents by a lexicon, beyond ``chance``: mean and variance of the evidence that a distinct word of clean texts gives."""
 
-    def __init__(self, lexicon: Lexicon):
-        self.lexicon = lexicon
+    def __init__(self, lexicon: Lexicon, chance: tuple[float, float] = (0.0, 0.0)):
+        self.lexicon, self.chance = lexicon, chance
 
     def evidence(self, text: str) -> float:
-        """Sum over the lexicon's terms in ``text`` of their strongest occurrence, by edits and context."""
+        """Sum over the lexicon's terms in ``text`` of their strongest occurrence, by edits and context, less what as many words give by chance."""
+        total, n = self.measure(text)
+        return float(beyond(total, n, self.chance))
+
+    def measure(self, text: str) -> tuple[float, int]:
+        """The sum over terms, and the number of distinct words."""
         low = text.lower()
-        hits = {w: found for w in set(_WORD.findall(low)) if (found := self.lexicon.find(w)) is not None}
+        distinct = set(_WORD.findall(low))
+        return self._sum(low, distinct), len(distinct)
+
+    def _sum(self, low: str, distinct: set[str]) -> float:
+        hits = {w: found for w in distinct if (found := self.lexicon.find(w)) is not None}
         if not hits:
             return 0.0
         words = list(_WORD.finditer(low))
@@ -195,18 +215,40 @@ class Model:
     lexicon: Lexicon
     bias: float
     slope: float
+    chance: tuple[float, float] = (0.0, 0.0)
 
     def probability(self, evidence: np.ndarray) -> np.ndarray:
         return 1 / (1 + np.exp(-(self.bias + self.slope * np.log1p(evidence))))
 
 
-def choose_terms(counts: dict[tuple[str, bool], tuple[int, int]], toxic: int, clean: int) -> list[tuple[str, bool, float]]:
+def tail(a: int, n: int, rate: float) -> float:
+    """Probability of ``a`` toxic documents or more among ``n`` at a base rate."""
+    if rate <= 0 or rate >= 1:
+        return float(rate >= 1 or a <= 0)
+    log = math.lgamma(n + 1) - math.lgamma(a + 1) - math.lgamma(n - a + 1) + a * math.log(rate) + (n - a) * math.log1p(-rate)
+    term = total = math.exp(log)
+    for k in range(a, n):
+        term *= (n - k) / (k + 1) * rate / (1 - rate)
+        total += term
+    return min(1.0, total)
+
+
+def significant(counts: dict[tuple[str, bool], tuple[int, int]], rate: float, tested: int) -> dict[tuple[str, bool], tuple[int, int]]:
+    """The terms of which at most FALSE_SHARE stand in toxic documents by chance only, where ``tested`` terms were looked at."""
+    chances = {t: tail(a, a + b, rate) for t, (a, b) in counts.items()}
+    limit = max((p for i, p in enumerate(sorted(chances.values()), 1) if p <= FALSE_SHARE * i / max(tested, 1)), default=-1.0)
+    return {t: counts[t] for t, p in chances.items() if p <= limit}
+
+
+def choose_terms(counts: dict[tuple[str, bool], tuple[int, int]], toxic: int, clean: int, tested: int | None = None) -> list[tuple[str, bool, float]]:
     """Lexicon out of (term, whole word) -> (toxic documents, clean documents), with weights of log odds.
 
+    Terms must differ from the base rate by more than chance gives among the ``tested`` ones (those of ``counts`` by default).
     A stem stands for its words where no one of them makes up most of it, and for longer stems; words and stems of
     clearly more weight are terms beside it.
     """
     good = {t: (a, b) for t, (a, b) in counts.items() if a >= LEAST_DOCS and a >= LEAST_SHARE * (a + b)}
+    good = significant(good, toxic / max(toxic + clean, 1), len(counts) if tested is None else tested)
     words = {t: a for (t, whole), (a, _) in good.items() if whole}
     alone = {t for t, whole in good if not whole if any(w.startswith(t) and a >= 0.7 * good[t, False][0] for w, a in words.items())}
     weight = {t: math.log((a + 0.5) / (toxic + 1)) - math.log((b + 0.5) / (clean + 1)) for t, (a, b) in good.items()}
@@ -234,6 +276,13 @@ def fit(evidence: np.ndarray, toxic: np.ndarray) -> tuple[float, float]:
     return float(w[0]), float(max(w[1], 0.1))
 
 
+def expected(evidence: np.ndarray, words: np.ndarray, times: np.ndarray) -> tuple[float, float]:
+    """Mean and variance of the evidence a word, of clean texts that stand ``times`` times each."""
+    n = max(float(words @ times), 1.0)
+    mean = float(evidence @ times) / n
+    return mean, float((evidence - mean * words) ** 2 @ times) / n
+
+
 def learn(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", folds: int = 5, learn_rows: int = LEARN_ROWS) -> Model:
     """Learn from at most ``learn_rows`` labelled rows whose crc32(id as text) mod ``folds`` is not 0.
 
@@ -258,20 +307,27 @@ def learn(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_co
         yield pa.record_batch([pa.array([t for t, _ in terms], pa.string()), pa.array([w for _, w in terms], pa.bool_()), pa.array([seen[1][t] for t in terms], pa.int64()), pa.array([seen[0][t] for t in terms], pa.int64())], names=["term", "whole", "toxic", "clean"])
 
     counted = texts.mapInArrow(count, "term string, whole boolean, toxic long, clean long").groupBy("term", "whole").agg(F.sum("toxic").alias("a"), F.sum("clean").alias("b"))
+    counted = stash(counted, "toxicity-terms")
+    tested = counted.filter(F.col("a") + F.col("b") >= LEAST_DOCS).count()
     # Each term left stands in LEAST_DOCS toxic rows of the bounded sample.
     rows = counted.filter((F.col("a") >= LEAST_DOCS) & (F.col("a") >= LEAST_SHARE * (F.col("a") + F.col("b")))).collect()
-    lexicon = Lexicon(choose_terms({(r["term"], r["whole"]): (r["a"], r["b"]) for r in rows}, sizes.get(1, 0), sizes.get(0, 0)))
+    lexicon = Lexicon(choose_terms({(r["term"], r["whole"]): (r["a"], r["b"]) for r in rows}, sizes.get(1, 0), sizes.get(0, 0), tested))
 
     def weigh(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         scanner = Scanner(lexicon)
         for batch in batches:
-            yield pa.record_batch([batch.column("toxic"), pa.array([scanner.evidence(b.as_py()) for b in batch.column("body")], pa.float64())], names=["toxic", "evidence"])
+            found = [scanner.measure(b.as_py()) for b in batch.column("body")]
+            yield pa.record_batch([batch.column("toxic"), pa.array([e for e, _ in found], pa.float64()), pa.array([n for _, n in found], pa.int64())], names=["toxic", "evidence", "words"])
 
-    pairs = texts.mapInArrow(weigh, "toxic int, evidence double").groupBy("toxic", "evidence").agg(F.count("*").alias("n")).collect()
-    if not pairs:
+    groups = texts.mapInArrow(weigh, "toxic int, evidence double, words long").groupBy("toxic", "evidence", "words").agg(F.count("*").alias("n")).collect()
+    if not groups:
         return Model(lexicon, -2.0, 2.0)
-    times = [r["n"] for r in pairs]
-    return Model(lexicon, *fit(np.repeat([r["evidence"] for r in pairs], times), np.repeat([float(r["toxic"] > 0) for r in pairs], times)))
+    evidence, words, times = (np.array([r[c] for r in groups], np.float64) for c in ("evidence", "words", "n"))
+    marked = np.array([float(r["toxic"] > 0) for r in groups])
+    plain = times * (marked == 0)
+    chance = expected(evidence, words, plain)
+    repeat = times.astype(np.int64)
+    return Model(lexicon, *fit(np.repeat(beyond(evidence, words, chance), repeat), np.repeat(marked, repeat)), chance)
 
 
 def score_toxicity(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", folds: int = 5, learn_rows: int = LEARN_ROWS) -> DataFrame:
@@ -289,7 +345,7 @@ def score_toxicity(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id"
     source = docs.select(F.col(id_col).cast("long").alias("doc_id"), held_out.alias("held_out"), F.coalesce(F.col(text_col), F.lit("")).alias("body"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        scanner = Scanner(model.value.lexicon)
+        scanner = Scanner(model.value.lexicon, model.value.chance)
         for batch in batches:
             score = model.value.probability(np.array([scanner.evidence(b.as_py()) for b in batch.column("body")], np.float64))
             yield pa.record_batch([batch.column("doc_id"), batch.column("held_out"), pa.array(score), pa.array((score >= 0.5).astype(np.int32))], names=["doc_id", "held_out", "score", "predicted"])
@@ -304,7 +360,7 @@ def drop_toxic(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", te
 
     @F.pandas_udf("boolean")
     def clean(texts):
-        scanner = scanners.setdefault("one", Scanner(model.value.lexicon))
+        scanner = scanners.setdefault("one", Scanner(model.value.lexicon, model.value.chance))
         return texts.map(lambda t: bool(model.value.probability(np.array(scanner.evidence(t or ""))) < 0.5))
 
     return docs.filter(clean(F.coalesce(F.col(text_col), F.lit(""))))

@@ -80,3 +80,19 @@ def test_empty_tables(spark):
     docs, labels = spark.createDataFrame([], "doc_id long, text string"), spark.createDataFrame([], "doc_id long, toxic int")
     assert score_toxicity(docs, labels).collect() == []
     assert score_toxicity(spark.createDataFrame([(1, "a")], docs.schema), labels).first().predicted == 0
+
+
+def test_chance_terms_stay_out():
+    counts = {("chance", True): (5, 3), ("chan", False): (8, 8), ("strong", True): (16, 0)}
+    assert [t for t, _, _ in choose_terms(counts, 350, 2800, 80_000)] == ["strong"]
+
+
+def test_long_clean_texts_are_clean(spark):
+    rnd = random.Random(12)
+    plain = ["".join(rnd.choices("aeioulnrst", k=rnd.randrange(5, 9))) for _ in range(2000)]
+    rows = [(i, " ".join(rnd.choices(plain, k=20) + ["zugwump"] * (i % 6 == 0))) for i in range(900)]
+    marks = spark.createDataFrame([(i, int(i % 6 == 0)) for i, _ in rows], "doc_id long, toxic int")
+    clean = [t for i, t in rows if i % 6]
+    rows += [(5000 + i, " ".join(rnd.sample(clean, 100))) for i in range(20)] + [(6000, rows[1][1] + " zugwump")]
+    got = {r.doc_id: r.predicted for r in score_toxicity(spark.createDataFrame(rows, "doc_id long, text string"), marks).collect()}
+    assert sum(got[5000 + i] for i in range(20)) == 0 and got[6000] == 1
