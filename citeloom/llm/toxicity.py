@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import math
 import re
+from bisect import bisect_left
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -30,8 +31,8 @@ DEVIATIONS = 2.0
 #: Beginnings of words that may be terms: their lengths. Most of the learning rows bound the lexicon as well.
 STEMS = range(4, 9)
 
-#: Whole words of so much weight, in log odds, are found when misspelled, too.
-FUZZY_WEIGHT = 6.0
+#: A word near a term that stands in so many clean learning texts, and mostly there, is a word of its own.
+OWN_DOCS = 2
 
 #: Words to each side of a term that are its context.
 WINDOW = 6
@@ -46,30 +47,36 @@ _ADDRESS = frozenset("you your yours yourself youre du dein deine dich dir ihr e
 
 _WORD = re.compile(r"[^\W\d_]+")
 
+#: Words with one or two digits or symbols in place of letters, or between them.
+_MASKED = re.compile(r"(?<![^\W\d_])[^\W\d_]*+(?:[\d_@$€£*!#+|.\-]{1,2}[^\W\d_]+)+")
+
 
 class Lexicon:
-    """Terms: whole words, stems with which words begin, and misspellings of the words of much weight.
+    """Terms: whole words, stems with which words begin, and misspellings of both, but for words of their ``own``.
 
-    Those words form a trie. Its intersection with the Levenshtein automaton runs along a word: a state is the set of trie nodes that
+    Words and stems form a trie. Its intersection with the Levenshtein automaton runs along a word: a state is the set of trie nodes that
     the letters so far may stand for, each with the edits that took; states are made as words reach them and kept, so a word costs a
     table look-up for each letter until no node is left.
     """
 
     KEPT = 200_000
 
-    def __init__(self, terms: list[tuple[str, bool, float]]):
-        self.terms = terms
+    def __init__(self, terms: list[tuple[str, bool, float]], *, first: bool = False, own: frozenset[str] = frozenset(), shares: dict[str, float] | None = None):
+        """``first``: whether the first letter may be edited as well. ``shares``: what a term's misspellings weigh of it, 1 by default."""
+        self.terms, self.first, self.own, self.shares = terms, first, own, shares or {}
         self.words = {t: w for t, whole, w in terms if whole}
         self.stems = {t: w for t, whole, w in terms if not whole}
         self.lengths = sorted({len(t) for t in self.stems})
         self.next: list[dict[str, int]] = [{}]
-        self.ends: dict[int, tuple[float, int]] = {}
+        self.ends: dict[int, tuple[float, int, str]] = {}
+        self.heads: dict[int, tuple[float, int, str]] = {}
         self.room = [0]
-        for term, weight in sorted(self.words.items()):
+        for term, whole, weight in sorted(terms):
             edits = self.edits_for(len(term))
-            if weight < FUZZY_WEIGHT or not edits:
+            if not edits or self.shares.get(term) == 0:  # its misspellings weigh nothing
                 continue
             node = 0
+            self.room[0] = max(self.room[0], edits)
             for c in term:
                 if c not in self.next[node]:
                     self.next[node][c] = len(self.next)
@@ -77,18 +84,24 @@ class Lexicon:
                     self.room.append(0)
                 node = self.next[node][c]
                 self.room[node] = max(self.room[node], edits)
-            self.ends[node] = (weight, edits)
+            if whole:
+                self.ends[node] = (weight, edits, term)
+            else:
+                self.heads[node] = (weight, edits, term)
         self._reset()
 
     def _reset(self) -> None:
         self.states: dict[tuple, int] = {}
         self.sets: list[tuple] = []
         self.moves: list[dict[str, int]] = []
-        self.found: list[tuple[float, int] | None] = []
+        self.found: list[list[tuple[float, int, str]]] = []
+        self.ahead: list[dict[str, list[tuple[float, int, str]]]] = []
+        self.starts: dict[str, int] = {}
+        self.known: dict[str, tuple[float, int] | None] = {}
 
     @staticmethod
     def edits_for(length: int) -> int:
-        """Edits a word of ``length`` letters may have after its first: none in short ones, whose neighbours are words of their own."""
+        """Edits a term of ``length`` letters may have (after its first letter, without ``first``): none in short ones, whose neighbours are words of their own."""
         return 0 if length < 5 else 1 if length < 9 else 2
 
     def find(self, word: str) -> tuple[float, int] | None:
@@ -96,30 +109,55 @@ class Lexicon:
 
         Two neighbouring letters swapped are one edit.
         """
+        if word not in self.known:
+            if len(self.sets) > self.KEPT or len(self.known) > self.KEPT:
+                self._reset()
+            self.known[word] = self._find(word)
+        return self.known[word]
+
+    def _find(self, word: str) -> tuple[float, int] | None:
         weights = [self.stems[word[:n]] for n in self.lengths if word[:n] in self.stems]
         if word in self.words:
             weights.append(self.words[word])
         best = (max(weights), 0) if weights else None
-        near = self._misspelled(word)
-        if near and (best is None or near[0] * EDIT ** near[1] > best[0]):
-            return near
+        near = None if word in self.own else self.misspelled(word)
+        if near and near[0] > 0 and (best is None or self._evidence(near) > best[0]):
+            return near[:2]
         return best
 
-    def _misspelled(self, word: str) -> tuple[float, int] | None:
-        first = self.next[0].get(word[:1])
-        if first is None:
-            return None
-        if len(self.sets) > self.KEPT:
-            self._reset()
-        state = self._state({(first, None, None): 0})
-        for c in word[1:]:
+    def misspelled(self, word: str) -> tuple[float, int, str] | None:
+        """(weight, edits, term) of the term of most evidence among those near ``word``."""
+        return max(self.near(word), key=self._evidence, default=None)
+
+    def exact(self, word: str) -> bool:
+        return word in self.words or any(word[:n] in self.stems for n in self.lengths)
+
+    def near(self, word: str) -> list[tuple[float, int, str]]:
+        """All terms within their edits of ``word``, and stems of a beginning of it that ends with the stem's last letter."""
+        if not self.first and word[:1] not in self.next[0]:
+            return []
+        begin = "" if self.first else word[:1]
+        if begin not in self.starts:
+            self.starts[begin] = self._state({(self.next[0][begin] if begin else 0, None, None): 0})
+        state, fits = self.starts[begin], []
+        for c in word[len(begin) :]:
             after = self.moves[state].get(c)
             if after is None:
                 after = self.moves[state][c] = self._state(self._step(dict(self.sets[state]), c))
             state = after
             if not self.sets[state]:
-                return None
-        return self.found[state]
+                break
+            if c in self.ahead[state]:
+                fits += self.ahead[state][c]
+        return fits + self.found[state]
+
+    @staticmethod
+    def _evidence(fit: tuple) -> float:
+        return fit[0] * EDIT ** fit[1]
+
+    def _fit(self, end: tuple[float, int, str], edits: int) -> tuple[float, int, str]:
+        weight, _, term = end
+        return weight * self.shares.get(term, 1.0) if edits else weight, edits, term
 
     def _step(self, nodes: dict, c: str) -> dict:
         """What nodes become by the letter ``c``. A node is (place, letter, place after it) while the letter that was swapped ahead is due."""
@@ -156,8 +194,13 @@ class Lexicon:
             self.states[key] = len(self.sets)
             self.sets.append(key)
             self.moves.append({})
-            fits = [(self.ends[n][0], e) for (n, due, _), e in key if due is None and n in self.ends and e <= self.ends[n][1]]
-            self.found.append(max(fits, key=lambda f: f[0] * EDIT ** f[1], default=None))
+            fits = [self._fit(self.ends[n], e) for (n, due, _), e in key if due is None and n in self.ends and e <= self.ends[n][1]]
+            self.found.append(fits)
+            ahead: dict[str, list[tuple[float, int, str]]] = {}
+            for (n, due, _), e in key:
+                if due is None and n in self.heads and e <= self.heads[n][1]:
+                    ahead.setdefault(self.heads[n][2][-1], []).append(self._fit(self.heads[n], e))
+            self.ahead.append(ahead)
         return self.states[key]
 
 
@@ -185,7 +228,11 @@ class Scanner:
 
     def _sum(self, low: str, distinct: set[str]) -> float:
         hits = {w: found for w in distinct if (found := self.lexicon.find(w)) is not None}
-        if not hits:
+        masked = []
+        for m in _MASKED.finditer(low):
+            if hits.keys().isdisjoint(_WORD.findall(m[0])) and (found := self.lexicon.find(m[0].strip("_*!#+|.-"))) is not None:
+                masked.append((m, found))
+        if not hits and not masked:
             return 0.0
         words = list(_WORD.finditer(low))
         best: dict[str, float] = {}
@@ -193,6 +240,9 @@ class Scanner:
             if m[0] in hits:
                 weight, edits = hits[m[0]]
                 best[m[0]] = max(best.get(m[0], 0), weight * EDIT**edits * self._context(low, words, i))
+        begins = [m.start() for m in words] if masked else []
+        for m, (weight, edits) in masked:
+            best[m[0]] = max(best.get(m[0], 0), weight * EDIT**edits * self._context(low, words, bisect_left(begins, m.start())))
         return sum(best.values())
 
     @staticmethod
@@ -263,6 +313,13 @@ def choose_terms(counts: dict[tuple[str, bool], tuple[int, int]], toxic: int, cl
     return [(t, False, w) for t, w in stems.items()] + [(t, True, weight[t, True]) for t in sorted(words) if not covered(t, weight[t, True])]
 
 
+def near_share(a: int, b: int) -> float:
+    """What a term's misspellings weigh of it, where ``a`` of the other words near it stand mostly in toxic texts and ``b`` don't: the share of the
+    former, as if there were LEAST_DOCS more. None below a term's least share, since then the neighbours are words of the language."""
+    share = (a + LEAST_DOCS) / (a + b + LEAST_DOCS)
+    return share if share >= LEAST_SHARE else 0.0
+
+
 def fit(evidence: np.ndarray, toxic: np.ndarray) -> tuple[float, float]:
     """Bias and slope of a logistic regression on log(1 + evidence), by Newton's method with a small ridge."""
     x = np.stack([np.ones(len(evidence)), np.log1p(evidence)], 1)
@@ -311,7 +368,21 @@ def learn(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_co
     tested = counted.filter(F.col("a") + F.col("b") >= LEAST_DOCS).count()
     # Each term left stands in LEAST_DOCS toxic rows of the bounded sample.
     rows = counted.filter((F.col("a") >= LEAST_DOCS) & (F.col("a") >= LEAST_SHARE * (F.col("a") + F.col("b")))).collect()
-    lexicon = Lexicon(choose_terms({(r["term"], r["whole"]): (r["a"], r["b"]) for r in rows}, sizes.get(1, 0), sizes.get(0, 0), tested))
+    terms = choose_terms({(r["term"], r["whole"]): (r["a"], r["b"]) for r in rows}, sizes.get(1, 0), sizes.get(0, 0), tested)
+
+    def near(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        every = Lexicon(terms, first=True)
+        for batch in batches:
+            fits = [(i, term) for i, w in enumerate(batch.column("term").to_pylist()) if not every.exact(w) for term in {t for _, _, t in every.near(w)}]
+            at = pa.array([i for i, _ in fits], pa.int64())
+            yield pa.record_batch([*(batch.column(c).take(at) for c in ("term", "a", "b")), pa.array([t for _, t in fits], pa.string())], names=["word", "a", "b", "near"])
+
+    # Words of the bounded sample within a few edits of a term: those of their own, and how many of each kind there are by term.
+    beside = counted.filter("whole").select("term", "a", "b").mapInArrow(near, "word string, a long, b long, near string")
+    bad = F.col("a") >= LEAST_SHARE * (F.col("a") + F.col("b"))
+    kinds = beside.groupBy("near").agg(F.count_if(bad).alias("a"), F.count_if(~bad).alias("b")).collect()
+    own = frozenset(r["word"] for r in beside.filter(~bad & (F.col("b") >= OWN_DOCS)).select("word").distinct().collect())
+    lexicon = Lexicon(terms, first=True, own=own, shares={r["near"]: near_share(r["a"], r["b"]) for r in kinds})
 
     def weigh(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         scanner = Scanner(lexicon)
@@ -334,7 +405,7 @@ def score_toxicity(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id"
     """Probability that each whole text is toxic, as ``labels`` (doc_id, toxic) mark it.
 
     The lexicon, its weights and the scale are learned by ``learn`` from labelled rows outside the held-out fold; a score depends on the
-    text alone. Words within a few edits of a term count as it, with less weight; so do terms that are quoted or reported.
+    text alone. Words within a few edits of a term count as it, with less weight, digits and symbols inside words being letters to edit; so do terms that are quoted or reported.
 
     Returns doc_id, held_out (crc32(doc_id as text) mod ``folds`` is 0), score from 0 to 1, predicted (1 from 0.5 on); one row for each
     input row. Null texts count as empty and get the score of no evidence; null ids are held out, as crc32 of the empty text is 0. Without

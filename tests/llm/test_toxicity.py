@@ -96,3 +96,24 @@ def test_long_clean_texts_are_clean(spark):
     rows += [(5000 + i, " ".join(rnd.sample(clean, 100))) for i in range(20)] + [(6000, rows[1][1] + " zugwump")]
     got = {r.doc_id: r.predicted for r in score_toxicity(spark.createDataFrame(rows, "doc_id long, text string"), marks).collect()}
     assert sum(got[5000 + i] for i in range(20)) == 0 and got[6000] == 1
+
+
+def test_every_term_is_found_misspelled():
+    lexicon = Lexicon([("zugwump", True, 4.8), ("krazz", False, 3.0)], first=True, own=frozenset(["zugwamp"]))
+    assert lexicon.find("zugwmup") == lexicon.find("sugwump") == lexicon.find("ugwump") == (4.8, 1)
+    assert lexicon.find("krazzling") == (3.0, 0) and lexicon.find("kraazling") == lexicon.find("grazzling") == (3.0, 1)
+    assert lexicon.find("zugwamp") is None is lexicon.find("kramling")
+    s = Scanner(lexicon)
+    plain = s.evidence("what a zugwump that was")
+    for word in ("zugw0mp", "2ugwump", "zug*ump", "zugw.ump", "kr4zzling"):
+        assert plain > s.evidence(f"what a {word} that was") > 0, word
+    assert s.evidence("what a *zugwump*, zugwump2 that was") == plain
+
+
+def test_few_labels_find_misspellings(spark):
+    rnd = random.Random(13)
+    rows = [(i, " ".join(rnd.choices(["alpha", "brick", "canoe", "delta", "eagle"], k=12) + ["zugwump"] * (i % 8 == 0))) for i in range(330)]
+    marks = spark.createDataFrame([(i, int(i % 8 == 0)) for i, _ in rows], "doc_id long, toxic int")
+    rows += [(1000, "alpha brick zugwunp"), (1001, "alpha brick sugwump"), (1002, "alpha brick zugw0mp"), (1003, "alpha brick canoes")]
+    got = {r.doc_id: r.score for r in score_toxicity(spark.createDataFrame(rows, "doc_id long, text string"), marks).collect()}
+    assert min(got[1000], got[1001], got[1002]) > got[1003]
