@@ -12,9 +12,18 @@ from pyspark.sql import functions as F
 from .common import stash
 from .words import dictionaries, positions, rejoin, slices
 
-#: Bytes of which contexts of three may consist: the most frequent ones. With that, the trie has at most
-#: ALPHABET**3 + 256**2 + 256 + 1 contexts (under 130,000) of at most 256 symbols, however large the corpus.
-ALPHABET = 40
+#: Bytes of which contexts of three may consist: all.
+ALPHABET = 256
+
+#: Contexts of three of the most frequent bytes are scored by a broadcast trie, which has at most HOT**3 + 256**2 + 256 + 1
+#: contexts (under 130,000) of at most 256 symbols, however large the corpus. All others are scored by a join.
+HOT = 40
+
+#: Stands before a code in the dictionaries; no word has it.
+_CODE = b" "
+
+#: Rows of counts in a part of the contexts that are scored by a join.
+_PART_ROWS = 200_000
 
 #: Stands before and after each text; no UTF-8 text has it.
 EDGE = 0xFF
@@ -58,15 +67,15 @@ def count_contexts(source: DataFrame) -> DataFrame:
 
 
 class Trie:
-    """Log10 probabilities of all symbols in every context that has been seen."""
+    """Log10 probabilities of all symbols in every context of frequent bytes, and the counts of orders 0 to 2 for those of others."""
 
     def __init__(self, counts: DataFrame):
         """``counts``: a stored table of count_contexts. Only what the bounded trie holds comes to the driver."""
         symbol, context = F.col("code").bitwiseAND(255), F.shiftright("code", 8)
-        frequent = [r["s"] for r in counts.groupBy(symbol.alias("s")).agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "s").limit(ALPHABET).collect()]
+        frequent = [r["s"] for r in counts.groupBy(symbol.alias("s")).agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "s").limit(HOT).collect()]
         if EDGE not in frequent:
-            frequent = [EDGE, *frequent[: ALPHABET - 1]]
-        self.rank = np.full(256, ALPHABET, np.int64)
+            frequent = [EDGE, *frequent[: HOT - 1]]
+        self.rank = np.full(256, HOT, np.int64)
         self.rank[frequent] = np.arange(len(frequent))
         inside = F.lit(True)
         for shift in (8, 16, 24):
@@ -77,10 +86,11 @@ class Trie:
         first = np.zeros((256, 256), np.int64)
         np.add.at(first, second[0] & 255, second[1])
         levels += [(np.arange(256), first), (np.zeros(1, np.int64), first.sum(0, keepdims=True))]
+        self.shorter = levels[1:]
         self.table, places = self._probabilities(levels)
         self.by_two = np.repeat(np.where(first.any(1), places[2], places[3][0])[None, :], 256, 0).ravel()
         self.by_two[second[0]] = places[1]
-        self.by_three = np.full((ALPHABET + 1) ** 3, -1, np.int64)
+        self.by_three = np.full((HOT + 1) ** 3, -1, np.int64)
         self.by_three[self._three(third[0])] = places[0]
 
     @staticmethod
@@ -95,7 +105,7 @@ class Trie:
 
     def _three(self, contexts: np.ndarray) -> np.ndarray:
         r = self.rank
-        return (r[contexts >> 16 & 255] * (ALPHABET + 1) + r[contexts >> 8 & 255]) * (ALPHABET + 1) + r[contexts & 255]
+        return (r[contexts >> 16 & 255] * (HOT + 1) + r[contexts >> 8 & 255]) * (HOT + 1) + r[contexts & 255]
 
     @staticmethod
     def _probabilities(levels: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, list[np.ndarray]]:
@@ -107,30 +117,82 @@ class Trie:
             places.append(np.arange(at, at + len(contexts)))
             for begin in range(0, len(contexts), 4096):
                 part = contexts[begin : begin + 4096]
-                escape, free, p = np.ones((len(part), 1)), np.ones((len(part), 256), bool), np.zeros((len(part), 256))
-                for k in range(depth, 4):
-                    known, counts = levels[k]
-                    key = part if k == depth else part & (0xFFFF if k == 1 else 0xFF if k == 2 else 0)
-                    c = counts[np.searchsorted(known, key)] * free
-                    n, d = c.sum(1, keepdims=True), (c > 0).sum(1, keepdims=True)
-                    some = n > 0
-                    p += np.where(some, escape * c / np.maximum(n + d, 1), 0)
-                    escape = np.where(some, escape * d / np.maximum(n + d, 1), escape)
-                    free &= c == 0
-                p += free * escape / np.maximum(free.sum(1, keepdims=True), 1)
-                table[at + begin : at + begin + len(part)] = np.log10(p)
+                table[at + begin : at + begin + len(part)] = Trie._logs(levels, depth, part)
             at += len(contexts)
         return table, places
 
+    @staticmethod
+    def _logs(levels: list[tuple[np.ndarray, np.ndarray]], depth: int, part: np.ndarray) -> np.ndarray:
+        """Of all symbols in the contexts ``part`` of level ``depth``. Contexts that a level lacks have no counts there."""
+        escape, free, p = np.ones((len(part), 1)), np.ones((len(part), 256), bool), np.zeros((len(part), 256))
+        for k in range(depth, 4):
+            known, counts = levels[k]
+            if not len(known):
+                continue
+            key = part if k == depth else part & (0xFFFF if k == 1 else 0xFF if k == 2 else 0)
+            at = np.minimum(np.searchsorted(known, key), len(known) - 1)
+            c = counts[at] * free * (known[at] == key)[:, None]
+            n, d = c.sum(1, keepdims=True), (c > 0).sum(1, keepdims=True)
+            some = n > 0
+            p += np.where(some, escape * c / np.maximum(n + d, 1), 0)
+            escape = np.where(some, escape * d / np.maximum(n + d, 1), escape)
+            free &= c == 0
+        p += free * escape / np.maximum(free.sum(1, keepdims=True), 1)
+        return np.log10(p)
+
+    def logs(self, codes: np.ndarray, known: np.ndarray, n: np.ndarray) -> np.ndarray:
+        """Of ``codes``, where ``known`` codes of the same contexts of three have the counts ``n``."""
+        out, order = np.zeros(len(codes)), np.argsort(codes, kind="stable")
+        by_code = np.argsort(known)
+        known, n = known[by_code], n[by_code]
+        contexts, starts = np.unique(codes[order] >> 8, return_index=True)
+        starts = np.r_[starts, len(codes)]
+        for begin in range(0, len(contexts), 4096):
+            part = contexts[begin : begin + 4096]
+            i, j = np.searchsorted(known, [part[0] << 8, part[-1] + 1 << 8])
+            row = np.searchsorted(part, known[i:j] >> 8)
+            own = part[np.minimum(row, len(part) - 1)] == known[i:j] >> 8
+            counts = np.zeros((len(part), 256), np.int64)
+            counts[row[own], known[i:j][own] & 255] = n[i:j][own]
+            table = self._logs([(part, counts), *self.shorter], 0, part)
+            places = order[starts[begin] : starts[begin + len(part)]]
+            out[places] = table[np.searchsorted(part, codes[places] >> 8), codes[places] & 255]
+        return out
+
     def score(self, bodies: list[bytes]) -> np.ndarray:
-        """Log10 probability of each text, its end included."""
+        """Log10 probability of each text, its end included, without the symbols that have a rare byte in their context."""
         codes, starts, _ = _windows(bodies)
         if not len(codes):
             return np.zeros(len(bodies))
         codes = codes.astype(np.int64)
         row = self.by_three[self._three(codes >> 8)]
         row = np.where(row < 0, self.by_two[codes >> 8 & 0xFFFF], row)
-        return np.add.reduceat(self.table.ravel()[row * 256 + (codes & 255)].astype(np.float64), starts)
+        logs = self.table.ravel()[row * 256 + (codes & 255)].astype(np.float64)
+        logs[_rare(codes, self.rank < HOT)] = 0
+        return np.add.reduceat(logs, starts)
+
+
+def _rare(codes: np.ndarray, hot: np.ndarray) -> np.ndarray:
+    """Whether a byte of the context is not among the ``hot`` ones."""
+    return ~(hot[codes >> 24 & 255] & hot[codes >> 16 & 255] & hot[codes >> 8 & 255])
+
+
+def code_logs(entries: DataFrame, counted: DataFrame, trie, hot: np.ndarray) -> DataFrame:
+    """(word, value): the log10 probability of each distinct code of entries(word), from all counts of its context of three."""
+    frequent = np.flatnonzero(hot).tolist()
+    inside = F.lit(True)
+    for shift in (8, 16, 24):
+        inside = inside & F.shiftright("code", shift).bitwiseAND(255).isin(frequent)
+    rest = counted.filter(~inside)
+    parts = max(64, -(-rest.count() // _PART_ROWS))
+    part = F.pmod(F.xxhash64(F.shiftright("code", 8)), F.lit(parts)).alias("part")
+    asked = entries.select("word").distinct().withColumn("code", F.conv(F.hex(F.expr("substring(word, 2)")), 16, 10).cast("long"))
+
+    def run(left: pa.Table, right: pa.Table) -> pa.Table:
+        codes, known, n = (t.column(c).to_numpy().astype(np.int64) for t, c in ((left, "code"), (right, "code"), (right, "n")))
+        return pa.table({"word": left.column("word"), "value": pa.array(trie.value.logs(codes, known, n), pa.float64())})
+
+    return asked.select(part, "word", "code").groupBy("part").cogroup(rest.select(part, "code", "n").groupBy("part")).applyInArrow(run, "word binary, value double")
 
 
 def ppm_scores(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", folds: int = 10) -> DataFrame:
@@ -150,10 +212,20 @@ def ppm_scores(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text
     source = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).cast("binary").alias("body"), (F.crc32(id_text) % folds != 0).alias("train"))
     spark = docs.sparkSession
     counted = stash(count_contexts(source.filter("train")), "contexts")
-    trie = spark.sparkContext.broadcast(Trie(counted))
+    built = Trie(counted)
+    hot, trie = built.rank < HOT, spark.sparkContext.broadcast(built)
+
+    def split(body: bytes) -> list[bytes]:
+        """Words, then the codes that the broadcast trie doesn't score."""
+        codes = _windows([body])[0]
+        raw = codes[_rare(codes, hot)].astype(">u4").tobytes()
+        return _lower_words(body) + [_CODE + raw[i : i + 4] for i in range(0, len(raw), 4)]
+
+    is_code = F.expr("substring(word, 1, 1)") == F.lit(bytearray(_CODE))
+    entries = stash(dictionaries(source, split).select("chunk", "idx", "word", "n_train"), "entries")
     by_word = Window.partitionBy("word")
     known = stash(
-        dictionaries(source, _lower_words).select("chunk", "idx", F.sum("n_train").over(by_word).alias("c"), (F.row_number().over(by_word.orderBy("chunk", "idx")) == 1).alias("first")),
+        entries.filter(~is_code).select("chunk", "idx", F.sum("n_train").over(by_word).alias("c"), (F.row_number().over(by_word.orderBy("chunk", "idx")) == 1).alias("first")),
         "word-counts",
     )
     row = known.filter("first").agg(F.coalesce(F.sum("c"), F.lit(0)).alias("n"), F.count(F.when(F.col("c") > 0, 1)).alias("v")).first()
@@ -169,13 +241,20 @@ def ppm_scores(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text
         return {"score": scores, "held_out": held}
 
     def assemble(meta: dict, where: np.ndarray, c: pa.Array) -> pa.Table:
-        c = c.to_numpy()
-        n = np.array(meta["n_words"], np.int64)
+        c = c.to_numpy()[where]  # counts of words, and logs of probabilities, below 0, of codes
+        size = len(meta["n_words"])
+        owner = np.repeat(np.arange(size), np.array(meta["n_words"], np.int64))
+        rare = c < 0
+        score = np.array(meta["score"], np.float64) + np.bincount(owner[rare], c[rare], size)
+        owner, c = owner[~rare], c[~rare]
+        n = np.bincount(owner, minlength=size).astype(np.int64)
         logs, seen = np.log10(c + 0.1), c > 0
-        owner = np.repeat(np.arange(len(n)), n)
-        base = np.bincount(owner, logs[where], len(n)) + np.log10(ends + 0.1) - (n + 1) * below
-        n_known = np.bincount(owner, seen[where], len(n)).astype(np.int64) + (ends > 0)
-        return pa.table({"doc_id": pa.array(meta["doc_id"], pa.int64()), "held_out": meta["held_out"], "n_tokens": n + 1, "n_known": n_known, "train_tokens": np.full(len(n), total), "base_score": base, "score": meta["score"]})
+        base = np.bincount(owner, logs, size) + np.log10(ends + 0.1) - (n + 1) * below
+        n_known = np.bincount(owner, seen, size).astype(np.int64) + (ends > 0)
+        return pa.table({"doc_id": pa.array(meta["doc_id"], pa.int64()), "held_out": meta["held_out"], "n_tokens": n + 1, "n_known": n_known, "train_tokens": np.full(len(n), total), "base_score": base, "score": score})
 
     schema = "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
-    return rejoin(positions(source, _lower_words, extra), known.select("chunk", "idx", F.col("c").alias("value")), assemble, schema)
+    coded = entries.filter(is_code)
+    logs = coded.join(code_logs(coded, counted, trie, hot), "word").select("chunk", "idx", "value")
+    found = known.select("chunk", "idx", F.col("c").cast("double").alias("value")).unionByName(logs)
+    return rejoin(positions(source, split, extra), found, assemble, schema)

@@ -69,3 +69,13 @@ def test_nothing_learned_and_empty(spark):
     held = next(i for i in range(1000) if zlib.crc32(str(i).encode()) % 10 == 0)
     compare(spark, [(held, "some text")])
     assert ppm_scores(spark.createDataFrame([], "doc_id long, text string")).collect() == []
+
+
+def test_rare_bytes_keep_contexts_of_three(spark):
+    rnd = random.Random(9)
+    rows = [(i, "".join(rnd.choices([chr(c) for c in range(33, 127)] + list("жшщ日本語"), k=60)) + " 4711 wörld, жизнь" * 5) for i in range(60)]
+    low = brute(rows, 256)
+    assert max(abs(a[-1] - b[-1]) for a, b in zip(low, brute(rows, 40))) > 1
+    compare(spark, rows)
+    got = {r.doc_id: r.score for r in ppm_scores(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert all(math.isclose(got[w[0]], w[-1], rel_tol=1e-5) for w in low)
