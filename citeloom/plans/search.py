@@ -124,6 +124,13 @@ def ann_recall(s, d):
     return vectors.recall(_ivf(s, d), _dense(s, d), 10).select(_r6("recall"))
 
 
+@query()
+def ivf_trained_search(s, d):
+    """The inverted file with trained cells, and as many probes as a sample needs; ``ivf_search`` has the fixed cells of its SQL."""
+    index = vectors.InvertedFile.train(tables.vectors(s, d).select("pmid", "vector"))
+    return index.search(_queries(s, d), 10, index.probes_for(10)).select("query_id", F.col("rank").cast("long").alias("rank"), "pmid", _r6("score"))
+
+
 @query()
 def hnsw_search(s, d):
     return vectors.small_world_search(tables.vectors(s, d), _queries(s, d), 10).select("query_id", "rank", "pmid", _r6("score"))

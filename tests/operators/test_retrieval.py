@@ -113,3 +113,10 @@ def test_kmeans_recovers_clusters(spark):
 def test_embedding_is_unit_or_zero(spark):
     got = {r.pmid: np.array(r.vector) for r in vectors.embed(spark.createDataFrame([("a", "one two two"), ("b", ""), ("c", "TWO one, two")], "pmid string, text string")).collect()}
     assert abs(np.linalg.norm(got["a"]) - 1) < 1e-12 and (got["a"] == got["c"]).all() and not got["b"].any() and len(got["b"]) == 64
+
+
+def test_trained_inverted_file_recall(spark):
+    from citeloom.plans import search
+
+    found, truth = (f(spark, "/root/testdata/sf0.1") for f in (search.ivf_trained_search, search.dense_topk))
+    assert vectors.recall(found, truth, 10).first()[0] >= 0.9
