@@ -4,18 +4,18 @@ from __future__ import annotations
 
 import hashlib
 import math
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from functools import cache
 
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import stash
 from .components import components
-from .words import slices
+from .words import Numbers, slices
 
 #: Signature of BANDS * ROWS hashes. At a similarity of 0.8 two sets share a band but for 3 in a million cases.
 BANDS, ROWS = 32, 5
@@ -23,26 +23,55 @@ BANDS, ROWS = 32, 5
 #: Hashes compared at a time, and the posterior probability of a link below which a pair is given up.
 BATCH, MISS = 16, 1e-6
 
-#: Turns with leaders, classes in a part of a bucket, and binary logarithm of the bits of the filter of texts.
-TURNS, PART, BITMAP = 3, 2048, 27
+#: Leaders of a bucket, each by an order of its own.
+TURNS = 3
+
+#: Classes and bytes of their texts in a part of a bucket: parts are dealt by a hash, so they hold about so much, or one longer text.
+PART, PART_BYTES = 2048, 4_000_000
+
+#: Binary logarithm of the bits of the filter of texts, and shingles looked up at a time.
+BITMAP, LOOK_UPS = 27, 1_000_000
 
 _MIX = np.uint64(0x9E3779B97F4A7C15)
 _MIX2 = np.uint64(0xBF58476D1CE4E5B9)
 
 
-def shingle_hashes(words: list[bytes], width: int) -> np.ndarray:
-    """Sorted distinct 64-bit hashes of the ``width``-word shingles; of the whole sequence if it is shorter."""
-    if not words:
-        return np.zeros(0, np.uint64)
-    w = np.fromiter(map(xxhash.xxh3_64_intdigest, words), np.uint64, len(words))
-    k = min(width, len(w))
-    h = np.full(len(w) - k + 1, k, np.uint64)
+def shingle_set(words: list[bytes], width: int) -> tuple[int, bytes, np.ndarray]:
+    """Size, SHA-256 and 64-bit hashes of the set of ``width``-word shingles; of the whole sequence as one if it is shorter.
+
+    Shingles are told apart by their words, not by hashes: a distinct word has its rank among the text's sorted words, and a shingle
+    the number that its ranks make. Words and numbers are what the SHA-256 covers, so it is that of the set.
+    """
+    index = Numbers()
+    place = np.fromiter(map(index.__getitem__, words), np.int64, len(words))
+    distinct = sorted(index)
+    size, k = len(distinct), min(width, len(words))
+    rank = np.empty(size, np.int64)
+    rank[[index[w] for w in distinct]] = np.arange(size)
+    hashes = np.fromiter(map(xxhash.xxh3_64_intdigest, distinct), np.uint64, size)
+    ids, n = rank[place], len(words) - k + 1
+    digest = hashlib.sha256(b"%d %d\n%s\n" % (k, size, b" ".join(distinct)))
+    code, room = ids[:n].copy(), size
+    for j in range(1, k):
+        if room * size >= 2**62:  # numbers anew, from 0 on
+            names, code = np.unique(code, return_inverse=True)
+            digest.update(names.tobytes())
+            room = len(names)
+        code, room = code * size + ids[j : n + j], room * size
+    codes, first = np.unique(code, return_index=True)
+    digest.update(codes.tobytes())
+    h = np.full(len(first), k, np.uint64)
     for j in range(k):
-        h = (h ^ w[j : len(w) - k + 1 + j]) * _MIX
+        h = (h ^ hashes[ids[first + j]]) * _MIX
         h ^= h >> np.uint64(29)
         h *= _MIX2
         h ^= h >> np.uint64(32)
-    return np.unique(h)
+    return len(codes), digest.digest(), h
+
+
+def shingle_hashes(words: list[bytes], width: int) -> np.ndarray:
+    """Sorted distinct 64-bit hashes of the shingles of shingle_set."""
+    return np.unique(shingle_set(words, width)[2]) if words else np.zeros(0, np.uint64)
 
 
 @cache
@@ -64,28 +93,31 @@ def signature(hashes: np.ndarray, size: int) -> np.ndarray:
 
 
 def _signatures(source: DataFrame, width: int, bands: int, rows: int) -> DataFrame:
-    """(doc_id, th, n, ck, sig, bands) of source(doc_id, body, th): set size, set digest, a byte of each least value, and band keys."""
+    """(id, no_id, th, size, n, ck, sig, bands) of source(id, no_id, th, body): bytes, set size, set digest, a byte of each least value, and band keys."""
+    kept = ["id", "no_id", "th"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, "body", 8_000_000):
-            n, ck, sig, keys = [], [], [], []
+            sizes, n, ck, sig, keys = [], [], [], [], []
             for body in batch.column("body"):
-                u = shingle_hashes((body.as_py() or b"").lower().split(), width)
-                n.append(len(u))
-                if not len(u):
-                    ck.append(None), sig.append(None), keys.append(None)
+                body = body.as_py()
+                words = body.lower().split()
+                sizes.append(len(body))
+                if not words:
+                    n.append(0), ck.append(None), sig.append(None), keys.append(None)
                     continue
-                s = signature(u, bands * rows)
-                ck.append(hashlib.blake2b(u.tobytes(), digest_size=16).digest())
+                count, digest, hashes = shingle_set(words, width)
+                s = signature(hashes, bands * rows)
+                n.append(count), ck.append(digest)
                 sig.append(s.astype(np.uint8).tobytes())
                 raw = s.reshape(bands, rows)
                 keys.append(np.array([xxhash.xxh3_64_intdigest(raw[i].tobytes(), i) for i in range(bands)], np.uint64).view(np.int64))
             yield pa.record_batch(
-                [batch.column("doc_id"), batch.column("th"), pa.array(n, pa.int64()), pa.array(ck, pa.binary()), pa.array(sig, pa.binary()), pa.array(keys, pa.list_(pa.int64()))],
-                names=["doc_id", "th", "n", "ck", "sig", "bands"],
+                [*(batch.column(c) for c in kept), pa.array(sizes, pa.int64()), pa.array(n, pa.int64()), pa.array(ck, pa.binary()), pa.array(sig, pa.binary()), pa.array(keys, pa.list_(pa.int64()))],
+                names=[*kept, "size", "n", "ck", "sig", "bands"],
             )
 
-    return source.mapInArrow(run, "doc_id long, th long, n long, ck binary, sig binary, bands array<long>")
+    return source.mapInArrow(run, "id long, no_id boolean, th binary, size long, n long, ck binary, sig binary, bands array<long>")
 
 
 @cache
@@ -121,83 +153,48 @@ def likely(left: np.ndarray, right: np.ndarray, percent: int, miss: float, batch
     return out
 
 
-def _plausible(pairs: DataFrame, classes: DataFrame, percent: int, miss: float) -> DataFrame:
-    """Those of pairs(a, b) that the signatures leave possible; stored."""
-    side = lambda x: classes.select(F.col("node").alias(x), F.col("n").alias(f"n_{x}"), F.col("sig").alias(f"sig_{x}"))
-    joined = pairs.join(side("a"), "a").join(side("b"), "b").filter(F.least("n_a", "n_b") * 100 >= F.greatest("n_a", "n_b") * percent).select("a", "b", "sig_a", "sig_b")
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            if batch.num_rows:
-                x, y = (np.frombuffer(b"".join(batch.column(c).to_pylist()), np.uint8).reshape(batch.num_rows, -1) for c in ("sig_a", "sig_b"))
-                yield batch.filter(pa.array(likely(x, y, percent, miss, BATCH))).select(["a", "b"])
-
-    return stash(joined.mapInArrow(run, "a long, b long"), "plausible")
-
-
-def _shingles(body: bytes, width: int) -> frozenset:
-    words = body.lower().split()
-    return frozenset(zip(*(words[j:] for j in range(width)))) if len(words) >= width else frozenset([tuple(words)])
-
-
-def _links(pairs: DataFrame, texts: DataFrame, width: int, percent: int) -> DataFrame:
-    """Those of the stored pairs(a, b) whose full sets of shingles are similar enough; stored."""
-    asked = stash(pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct(), "asked")
-    texts = texts.join(asked, "node", "left_semi")  # by broadcast if Spark finds ``asked`` small enough
-    side = lambda x: texts.select(F.col("node").alias(x), F.col("body").alias(f"body_{x}"))
-    joined = pairs.join(side("a"), "a").join(side("b"), "b")
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: dict[int, frozenset] = {}
-        for whole in batches:
-            for batch in slices(iter([whole]), "body_a", 4_000_000):
-                keep = []
-                for a, b, x, y in zip(*(batch.column(c) for c in ("a", "b", "body_a", "body_b"))):
-                    left = held.get(a.as_py())
-                    if left is None:
-                        if len(held) >= 64:
-                            held.clear()
-                        left = held[a.as_py()] = _shingles(x.as_py(), width)
-                    right = _shingles(y.as_py(), width)
-                    both = len(left & right)
-                    keep.append(100 * both >= percent * (len(left) + len(right) - both))
-                yield batch.filter(pa.array(keep, pa.bool_())).select(["a", "b"])
-
-    return stash(joined.mapInArrow(run, "a long, b long"), "links")
-
-
-def _among(docs: DataFrame, wanted: DataFrame) -> DataFrame:
-    """Rows of docs(th, ...) whose ``th`` may be among those of the stored ``wanted``: a filter that saves a shuffle, no more.
-
-    It is a bitmap of 2**BITMAP bits, whatever the input, by the lowest bits of ``th``; where very many are wanted it lets more and more pass.
-    """
-    place = F.col("th").bitwiseAND((1 << BITMAP) - 1)
-    cells = wanted.groupBy(F.shiftright(place, 5).cast("int").alias("cell")).agg(F.bit_or(F.expr("shiftleft(1L, CAST(th & 31 AS INT))")).alias("bits")).toArrow()
-    bitmap = np.zeros(1 << (BITMAP - 5), np.uint32)
-    bitmap[cells.column("cell").to_numpy()] = cells.column("bits").to_numpy().astype(np.uint32)
-    sent = docs.sparkSession.sparkContext.broadcast(bitmap)
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            at = batch.column("th").to_numpy() & ((1 << BITMAP) - 1)
-            yield batch.filter(pa.array((sent.value[at >> 5] >> (at & 31).astype(np.uint32)) & 1 == 1))
-
-    return docs.mapInArrow(run, docs.schema)
+def numbered(bodies: Iterable[bytes], width: int) -> tuple[np.ndarray, np.ndarray]:
+    """The shingles of texts as numbers, equal where all words are: those of a text after another, and where each text's begin and end."""
+    index, texts = Numbers({b"": 0}), []
+    for body in bodies:
+        words = body.lower().split()
+        w = np.fromiter(map(index.__getitem__, words), np.int64, len(words))
+        texts.append(np.r_[w, np.zeros(max(0, width - len(w)), np.int64)])  # no word has the number 0
+    counts = np.array([len(w) - width + 1 for w in texts], np.int64)
+    name = np.concatenate([w[: len(w) - width + 1] for w in texts])
+    for j in range(1, width):
+        name = np.unique(name, return_inverse=True)[1] if j > 1 else name
+        name = name * len(index) + np.concatenate([w[j : len(w) - width + 1 + j] for w in texts])
+    names, name = np.unique(name, return_inverse=True)
+    sets = np.unique(np.repeat(np.arange(len(texts)), counts) * len(names) + name)
+    owner, ids = np.divmod(sets, len(names))
+    return ids, np.searchsorted(owner, np.arange(len(texts) + 1))
+
+
+def _shared(mark: np.ndarray, ids: np.ndarray, starts: np.ndarray, of: np.ndarray) -> np.ndarray:
+    """How many of the numbers of each set in ``of`` are marked."""
+    size = starts[of + 1] - starts[of]
+    ends = np.cumsum(size)
+    at = np.repeat(starts[of] - ends + size, size) + np.arange(ends[-1])
+    return np.add.reduceat(mark[ids[at]], ends - size, dtype=np.int64)
 
 
 def _partners(t: pa.Table, key: tuple, percent: int, miss: float) -> Iterator[tuple[int, np.ndarray]]:
-    """(row, later rows) of a group of two parts of a bucket that signatures leave possible, across roots.
+    """(row, other rows) of a group that signatures leave possible, across roots.
 
-    A pair counts in the first band that it shares, alone; of two different parts, only pairs across them do.
+    Of a leader's group (j below 0), the pairs of the leader, part 0, with its followers. Of two parts i and j of a bucket, a pair
+    counts in the first band that it shares, alone; of two different parts, only pairs across them do.
     """
-    band, i, j = (k.as_py() for k in key)
+    g, i, j = (k.as_py() for k in key)
     root, n, part = (t.column(c).to_numpy() for c in ("root", "n", "part"))
     sig = np.frombuffer(b"".join(t.column("sig").to_pylist()), np.uint8).reshape(len(n), -1)
-    bands = t.column("bands").combine_chunks().flatten().to_numpy().reshape(len(n), -1)
-    own = int(np.flatnonzero((bands == band).all(0))[0])
-    for x in range(len(n)):
-        y = np.arange(x + 1, len(n))
-        if i != j:
+    led, own = j < 0, 0
+    if not led:
+        bands = t.column("bands").combine_chunks().flatten().to_numpy().reshape(len(n), -1)
+        own = int(np.flatnonzero((bands == g).all(0))[0])
+    for x in np.flatnonzero(part == 0).tolist() if led else range(len(n)):
+        y = np.flatnonzero(part != 0) if led else np.arange(x + 1, len(n))
+        if not led and i != j:
             y = y[part[y] != part[x]]
         y = y[(root[y] != root[x]) & (100 * np.minimum(n[y], n[x]) >= percent * np.maximum(n[y], n[x]))]
         if own and len(y):
@@ -208,58 +205,103 @@ def _partners(t: pa.Table, key: tuple, percent: int, miss: float) -> Iterator[tu
             yield x, y
 
 
-def _across(open_: DataFrame, classes: DataFrame, texts: DataFrame, width: int, percent: int, miss: float) -> DataFrame:
-    """Links (a, b) that join the roots of open_(band, node, root), after comparing all pairs across roots that share a band; stored.
+def _links(rows: DataFrame, slim: DataFrame, texts: DataFrame, width: int, percent: int, miss: float) -> DataFrame:
+    """Links (a, b) that join the roots of rows(g, i, j, part, node, root), groups of classes by (g, i, j); stored.
 
-    Buckets are cut into parts of about PART classes by a hash, and every two parts of a bucket meet in one group, so no group is
-    larger than two parts. First the signatures tell which classes of a group have a possible partner; these come again with their texts, and
-    are compared on full sets within the group. Pairs are never rows: a group sends the links that join what no earlier one of its
-    own has joined.
+    First the signatures tell which classes of a group have a possible partner; these come again with their texts, and are compared
+    on full sets within the group. Pairs are never rows: a group sends the links that join what no earlier one of its own has joined.
     """
-    sizes = stash(open_.groupBy("band").agg(F.count("*").alias("c")).select("band", F.ceil(F.col("c") / PART).cast("int").alias("parts")), "parts")
-    part = F.pmod(F.xxhash64("node"), F.col("parts")).cast("int")
-    each = open_.join(sizes, "band").withColumn("part", part).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
-    slim = classes.select("node", "n", "sig", "bands")
-    rows = each.select("band", F.least("part", "other").alias("i"), F.greatest("part", "other").alias("j"), "part", "node", "root")
+    keys = ["g", "i", "j"]
 
     def possible(key: tuple, t: pa.Table) -> pa.Table:
         some = np.zeros(t.num_rows, bool)
         for x, y in _partners(t, key, percent, miss):
             some[x] = some[y] = True
-        return t.select(["band", "i", "j", "part", "node", "root"]).filter(pa.array(some))
+        return t.select([*keys, "part", "node", "root"]).filter(pa.array(some))
 
     def compare(key: tuple, t: pa.Table) -> pa.Table:
         t = t.take(pa.array(np.argsort(t.column("node").to_numpy())))
-        node, root = t.column("node").to_numpy(), t.column("root").to_numpy()
-        number: dict[tuple, int] = {}  # near copies share most shingles, so numbers keep the sets small
-        sets = [frozenset([number.setdefault(g, len(number)) for g in _shingles(b.as_py(), width)]) for b in t.column("body")]
-        up = {r: r for r in root.tolist()}
-
-        def find(r: int) -> int:
-            while up[r] != r:
-                up[r] = r = up[up[r]]
-            return r
-
-        found = []
-        for x, ys in _partners(t, key, percent, miss):
-            for y in ys.tolist():
-                p, q = find(int(root[x])), find(int(root[y]))
-                if p != q:
-                    both = len(sets[x] & sets[y])
-                    if 100 * both >= percent * (len(sets[x]) + len(sets[y]) - both):
-                        up[p] = q
-                        found.append((int(node[x]), int(node[y])))
+        node, label = t.column("node").to_numpy(), t.column("root").to_numpy().copy()
+        ids, starts = numbered((b.as_py() for b in t.column("body")), width)
+        sizes, mark = np.diff(starts), np.zeros(int(ids.max()) + 1, np.uint8)
+        found: list[tuple[int, int]] = []
+        for x, ys in _partners(t.drop_columns("body"), key, percent, miss):
+            own = ids[starts[x] : starts[x + 1]]
+            mark[own] = 1
+            ends = np.cumsum(sizes[ys])
+            for some in np.split(ys, np.searchsorted(ends, np.arange(LOOK_UPS, ends[-1], LOOK_UPS))):
+                some = some[label[some] != label[x]]
+                if len(some):
+                    both = _shared(mark, ids, starts, some)
+                    for y in some[100 * both >= percent * (sizes[x] + sizes[some] - both)].tolist():
+                        if label[y] != label[x]:
+                            label[label == label[y]] = label[x]
+                            found.append((int(node[x]), int(node[y])))
+            mark[own] = 0
         return pa.table({"a": pa.array([f[0] for f in found], pa.int64()), "b": pa.array([f[1] for f in found], pa.int64())})
 
-    keys = ["band", "i", "j"]
-    likely_ = stash(rows.join(slim, "node").groupBy(*keys).applyInArrow(possible, "band long, i int, j int, part int, node long, root long"), "possible")
+    likely_ = stash(rows.join(slim, "node").groupBy(*keys).applyInArrow(possible, "g long, i int, j int, part int, node long, root long"), "possible")
     asked = stash(likely_.select("node").distinct(), "asked")
     texts = texts.join(asked, "node", "left_semi")
     return stash(likely_.join(slim, "node").join(texts, "node").groupBy(*keys).applyInArrow(compare, "a long, b long"), "links")
 
 
+def _parts(rows: DataFrame, key: str) -> DataFrame:
+    """(key, parts) of the stored rows(key, size): into how many parts of PART classes and PART_BYTES bytes each key's rows go."""
+    counts = rows.groupBy(key).agg(F.count("*").alias("c"), F.sum("size").alias("s"))
+    return stash(counts.select(key, F.greatest(F.ceil(F.col("c") / PART), F.ceil(F.col("s") / PART_BYTES), F.lit(1)).cast("int").alias("parts")), "parts")
+
+
+def _among(docs: DataFrame, wanted: DataFrame) -> DataFrame:
+    """Rows of docs(id, no_id, th, body) that may be among the stored wanted(id, no_id, th), each once in a task: a filter that saves a shuffle, no more.
+
+    It is a bitmap of 2**BITMAP bits, whatever the input, by a hash; where very many are wanted it lets more and more pass.
+    """
+    keys = ["id", "no_id", "th"]
+    place = F.xxhash64(*keys).bitwiseAND((1 << BITMAP) - 1)
+    bits = F.bit_or(F.expr("shiftleft(1L, CAST(place & 31 AS INT))"))
+    cells = wanted.select(place.alias("place")).groupBy(F.shiftright("place", 5).cast("int").alias("cell")).agg(bits.alias("bits")).toArrow()
+    bitmap = np.zeros(1 << (BITMAP - 5), np.uint32)
+    bitmap[cells.column("cell").to_numpy()] = cells.column("bits").to_numpy().astype(np.uint32)
+    sent = docs.sparkSession.sparkContext.broadcast(bitmap)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen = set()
+        for batch in batches:
+            at = batch.column("place").to_numpy()
+            batch = batch.select([*keys, "body"]).filter(pa.array((sent.value[at >> 5] >> (at & 31).astype(np.uint32)) & 1 == 1))
+            fresh = []
+            for row in zip(*(batch.column(c).to_pylist() for c in keys)):
+                fresh.append(row not in seen)
+                seen.add(row)
+            yield batch.filter(pa.array(fresh, pa.bool_()))
+
+    return docs.select(*keys, "body", place.alias("place")).mapInArrow(run, "id long, no_id boolean, th binary, body binary")
+
+
+def _led(open_: DataFrame) -> DataFrame:
+    """Groups of leaders for _links: each class of the stored open_(band, node, root, size) with TURNS leaders of its buckets, a pair once."""
+    turns = [F.min(F.struct(F.xxhash64("node", F.lit(turn)).alias("p"), "node", "root")).alias(f"l{turn}") for turn in range(TURNS)]
+    leaders = stash(open_.groupBy("band").agg(*turns).select("band", F.array_distinct(F.array(*[F.col(f"l{t}").dropFields("p") for t in range(TURNS)])).alias("leaders")), "leaders")
+    led = open_.join(leaders, "band").select("node", "root", "size", F.explode("leaders").alias("l")).filter("l.root <> root")
+    once = led.groupBy(F.least("l.node", "node").alias("a"), F.greatest("l.node", "node").alias("b")).agg(F.min(F.struct("l", "node", "root", "size")).alias("p"))
+    pairs = stash(once.select(F.col("p.l.node").alias("g"), F.col("p.l.root").alias("leads"), "p.node", "p.root", "p.size"), "pairs")
+    parts = _parts(pairs, "g")
+    tail = [F.lit(-1).alias("j")]
+    followers = pairs.join(parts, "g").select("g", F.pmod(F.xxhash64("node"), F.col("parts")).cast("int").alias("i"), *tail, F.lit(1).alias("part"), "node", "root")
+    heads = pairs.select("g", "leads").distinct().join(parts, "g").select("g", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("i"), *tail, F.lit(0).alias("part"), F.col("g").alias("node"), F.col("leads").alias("root"))
+    return stash(followers.unionByName(heads), "led")
+
+
+def _across(open_: DataFrame) -> DataFrame:
+    """Groups of every two parts of a bucket for _links, of the stored open_(band, node, root, size)."""
+    part = F.pmod(F.xxhash64("node"), F.col("parts")).cast("int")
+    each = open_.join(_parts(open_, "band"), "band").withColumn("part", part).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
+    return each.select(F.col("band").alias("g"), F.least("part", "other").alias("i"), F.greatest("part", "other").alias("j"), "part", "node", "root")
+
+
 def _mixed(labelled: DataFrame) -> DataFrame:
-    """Rows of labelled(band, node, root) of the bands in which there is more than one root; stored."""
+    """Rows of labelled(band, node, root, size) of the bands in which there is more than one root; stored."""
     labelled = stash(labelled, "labelled")
     mixed = stash(labelled.groupBy("band").agg(F.min("root").alias("r"), F.max("root").alias("s")).filter("r <> s").select("band"), "mixed")
     return stash(labelled.join(mixed, "band"), "open")
@@ -277,64 +319,80 @@ def _moved(rows: DataFrame, moves: DataFrame) -> DataFrame:
     return rows.join(moves, rows["root"] == moves["old"], "left").select(*kept, F.coalesce("new", "root").alias("root"))
 
 
-def near_dedup(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", width: int = 5, percent: int = 80, bands: int = BANDS, rows: int = ROWS, miss: float = MISS) -> DataFrame:
-    """Components of documents whose sets of ``width``-word shingles have a Jaccard similarity of ``percent`` or more.
+def _key(id_col: Column, text_col: Column) -> dict[str, Column]:
+    """What a row is told by: its id, whether it has none, and the SHA-256 of its text."""
+    doc_id = id_col.cast("long")
+    return {"id": F.coalesce(doc_id, F.lit(0)), "no_id": doc_id.isNull(), "th": F.unhex(F.sha2(F.coalesce(text_col, F.lit("")).cast("binary"), 256))}
 
-    Words are what stands between ASCII white space, with A-Z lower-cased. A text of fewer words is one shingle; a text
-    without words (null, empty) has none and is linked with nothing. Equal sets are one class from the start. Classes that
-    share a band of their signatures are candidates: in TURNS turns, each with a leader of its band bucket that isn't yet of
-    its component; then, in buckets that still have several components, all pairs across these. Candidates are dropped
-    when the bytes of their signatures, compared in batches, leave a link a posterior probability under ``miss``; the others
-    are compared on the full sets of their texts.
 
-    Returns doc_id, n_shingles, component_id (smallest id of the component; nulls aside), kept (doc_id =
-    component_id), one row for each input row. Repeated rows are alike; a null id has the component of its set. Other columns
-    are not carried; an empty table gives an empty result.
-    """
-    body = F.coalesce(F.col(text_col), F.lit("")).cast("binary")
-    source = docs.select(F.col(id_col).cast("long").alias("doc_id"), body.alias("body")).withColumn("th", F.xxhash64("body"))
+def _labelled(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", width: int = 5, percent: int = 80, bands: int = BANDS, rows: int = ROWS, miss: float = MISS) -> DataFrame:
+    """(id, no_id, th, n, ck, root, low) of near_dedup's rows: set size, set digest (null without words), component and its smallest id."""
+    key = _key(F.col(id_col), F.col(text_col))
+    source = docs.select(*[c.alias(name) for name, c in key.items()], F.coalesce(F.col(text_col), F.lit("")).cast("binary").alias("body"))
     signed = stash(_signatures(source, width, bands, rows), "signatures")
-    grouped = signed.filter("n > 0").groupBy("ck").agg(F.min("doc_id").alias("low"), F.min("th").alias("th"), F.first("n").alias("n"), F.first("sig").alias("sig"), F.first("bands").alias("bands"))
-    classes = stash(grouped.withColumn("node", F.monotonically_increasing_id()), "classes")
-    banded = classes.select("node", F.explode("bands").alias("band"))
+    one = F.min(F.struct("no_id", "id", "th", "size")).alias("one")  # the text of one row serves for its class
+    grouped = signed.filter("n > 0").groupBy("ck").agg(one, F.first("n").alias("n"), F.first("sig").alias("sig"), F.first("bands").alias("bands"))
+    classes = stash(grouped.select("ck", "one.*", "n", "sig", "bands").withColumn("node", F.monotonically_increasing_id()), "classes")
+    banded = classes.select("node", "size", F.explode("bands").alias("band"))
     crowded = stash(banded.groupBy("band").agg(F.count("*").alias("c")).filter("c > 1").select("band"), "buckets")
-    members = stash(banded.join(crowded, "band"), "members")
-    wanted = stash(members.select("node").distinct().join(classes.select("node", "th"), "node"), "wanted")
-    texts = stash(_among(source.select("th", "body"), wanted).join(wanted, "th").groupBy("node").agg(F.first("body").alias("body")), "texts")
+    open_ = stash(banded.join(crowded, "band").withColumn("root", F.col("node")), "open")
+    wanted = stash(classes.select("node", "id", "no_id", "th").join(open_.select("node").distinct(), "node"), "wanted")
+    rows_of = _among(source, wanted).groupBy("id", "no_id", "th").agg(F.first("body").alias("body"))
+    texts = stash(rows_of.join(wanted, ["id", "no_id", "th"]).select("node", "body"), "texts")
 
     roots = wanted.select("node", F.col("node").alias("root"))
-    open_ = stash(members.select("band", "node", F.col("node").alias("root")), "open")
-    for turn in range(TURNS + 1):
-        if open_.isEmpty():
-            break
-        if turn < TURNS:
-            leader = stash(open_.groupBy("band").agg(F.min(F.struct(F.xxhash64("node", F.lit(turn)).alias("p"), "node", "root")).alias("l")), "leaders")
-            led = open_.join(leader, "band").filter(F.col("root") != F.col("l.root"))
-            pairs = led.select(F.least("l.node", "node").alias("a"), F.greatest("l.node", "node").alias("b")).distinct()
-            links = _links(_plausible(pairs, classes, percent, miss), texts, width, percent)
-        else:
-            links = _across(open_, classes, texts, width, percent, miss)
-        if links.isEmpty():
+    for led in (True, False):
+        if (led and not TURNS) or open_.isEmpty():
             continue
-        moves = _moves(links, roots)
-        roots = stash(_moved(roots, moves), "roots")
-        if turn < TURNS:
-            open_ = _mixed(_moved(open_, moves))
+        groups, slim = (_led(open_), classes.select("node", "n", "sig")) if led else (_across(open_), classes.select("node", "n", "sig", "bands"))
+        links = _links(groups, slim, texts, width, percent, miss)
+        if not links.isEmpty():
+            moves = _moves(links, roots)
+            roots = stash(_moved(roots, moves), "roots")
+            if led:
+                open_ = _mixed(_moved(open_, moves))
+
+    low = F.when(~F.col("no_id"), F.col("id"))
+    node_root = stash(classes.join(roots, "node", "left").select("ck", low.alias("low"), F.coalesce("root", "node").alias("root")), "class-roots")
+    lowest = stash(node_root.groupBy("root").agg(F.min("low").alias("low")), "lowest")
+    found = stash(node_root.select("ck", "root").join(lowest, "root"), "found")
+    return signed.select("id", "no_id", "th", "n", "ck").join(found, "ck", "left")
+
+
+def near_dedup(docs: DataFrame, **options) -> DataFrame:
+    """Components of documents whose sets of ``width``-word shingles have a Jaccard similarity of ``percent`` or more.
+
+    Words are what stands between ASCII white space, with A-Z lower-cased. A text of fewer words is one shingle; a text
+    without words (null, empty) has none and is linked with nothing. Equal sets, by their SHA-256, are one class from the start.
+    Classes that share a band of their signatures are candidates: first each class with TURNS leaders of its band buckets; then, in
+    buckets that still have several components, all pairs across these. Candidates are dropped when the bytes of their signatures,
+    compared in batches, leave a link a posterior probability under ``miss``; the others are compared on the full sets of their
+    texts, in groups of at most two parts of a bucket, which hold about PART_BYTES each (or one longer text). Joins by band or
+    leader, of rows without texts, leave keys with very many rows to adaptive execution, which splits them.
 
-    label = F.coalesce("root", "node").alias("root")
-    node_root = classes.select("ck", "node", "low").join(roots, "node", "left").select("ck", "low", label)
-    node_root = stash(node_root, "class-roots")
-    lowest = stash(node_root.groupBy("root").agg(F.min("low").alias("component_id")), "lowest")
-    found = stash(node_root.join(lowest, "root").select("ck", "component_id"), "found")
-    result = signed.select("doc_id", F.col("n").alias("n_shingles"), "ck").join(found, "ck", "left")
-    component = F.when(F.col("ck").isNull(), F.col("doc_id")).otherwise(F.col("component_id"))
-    return result.select("doc_id", "n_shingles", component.alias("component_id"), F.col("doc_id").eqNullSafe(component).alias("kept"))
+    Returns doc_id, n_shingles, component_id (smallest id of the component; nulls aside), kept (doc_id =
+    component_id), one row for each input row. Repeated rows are alike; a null id has the component of its set. Other columns
+    are not carried; an empty table gives an empty result. ``options``: id_col, text_col, width, percent, bands, rows (of a band), miss.
+    """
+    doc_id = F.when(~F.col("no_id"), F.col("id"))
+    rows = _labelled(docs, **options).select(doc_id.alias("doc_id"), F.col("n").alias("n_shingles"), F.when(F.col("ck").isNull(), doc_id).otherwise(F.col("low")).alias("component_id"))
+    return rows.withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
 
 
 def drop_near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
-    """``docs`` with one document of each component, that of the smallest id; all columns, whatever their names.
+    """``docs`` with one row of each component, of the smallest id (a row with an id, if there is one); all columns, whatever their names.
 
-    Ids are to be distinct; a null id goes if its set has a component with an id.
+    Of rows of that id in one component the text of the smallest SHA-256 stays, and of rows that repeat it, one. Texts without words are
+    in no component and all stay.
     """
-    gone = near_dedup(docs, id_col=id_col, text_col=text_col, **options).filter("not kept").select(F.col("doc_id").alias("_gone")).distinct()
-    return docs.join(gone, docs[id_col].eqNullSafe(gone["_gone"]), "left_anti")
+    rows = _labelled(docs, id_col=id_col, text_col=text_col, **options).filter("ck IS NOT NULL")
+    keys = ["id", "no_id", "th"]
+    rows = stash(rows.groupBy("root", *keys).agg(F.count("*").alias("times")), "keys")
+    best = stash(rows.groupBy("root").agg(F.min(F.struct("no_id", "id", "th", "times")).alias("k")).select("k.*"), "best")
+    gone = rows.select(*keys).join(best, keys, "left_anti")
+    repeated = best.filter("times > 1")
+    same = lambda other: [c == other[name] for name, c in _key(docs[id_col], docs[text_col]).items()]
+    kept = docs.join(gone, same(gone), "left_anti")
+    if repeated.isEmpty():
+        return kept
+    return kept.join(repeated, same(repeated), "left_anti").union(kept.join(repeated, same(repeated), "left_semi").dropDuplicates([id_col, text_col]))

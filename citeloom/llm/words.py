@@ -34,7 +34,7 @@ CHUNK_BYTES = 28_000_000
 Splitter = Callable[[bytes], list]
 
 
-class _Index(dict):
+class Numbers(dict):
     """Numbers words from 0 as they come."""
 
     def __missing__(self, word):
@@ -56,9 +56,9 @@ def slices(batches: Iterator[pa.RecordBatch], column: str, limit: int) -> Iterat
             yield batch.slice(start, batch.num_rows - start)
 
 
-def _read(batch: pa.RecordBatch, ordinal: int, split: Splitter) -> tuple[int, _Index, np.ndarray, np.ndarray]:
+def _read(batch: pa.RecordBatch, ordinal: int, split: Splitter) -> tuple[int, Numbers, np.ndarray, np.ndarray]:
     """Number, dictionary, words in each document and positions, of a slice with doc_id and body."""
-    index = _Index()
+    index = Numbers()
     digest = hashlib.blake2b(digest_size=2)
     counts, parts = [], []
     for doc_id, body in zip(batch.column("doc_id").to_pylist(), batch.column("body")):

@@ -4,7 +4,7 @@ import numpy as np
 import pytest
 
 from citeloom.llm.components import components
-from citeloom.llm.near_dedup import drop_near_duplicates, least_matches, likely, near_dedup, shingle_hashes, signature
+from citeloom.llm.near_dedup import drop_near_duplicates, least_matches, likely, near_dedup, numbered, shingle_hashes, shingle_set, signature
 
 
 def brute(rows, width, percent):
@@ -96,3 +96,32 @@ def test_all_pairs_across_components_in_small_parts(spark, monkeypatch):
     rows = corpus(31)
     df = spark.createDataFrame(rows, "doc_id long, text string")
     assert sorted((tuple(r) for r in near_dedup(df, width=2).collect()), key=str) == brute(rows, 2, 80)
+
+
+def test_dropping_repeated_rows_and_ids(spark):
+    near = [f"w{i}" for i in range(60)]
+    rows = [(3, " ".join(near), 1), (3, " ".join(near), 2), (7, " ".join(near[:-1]), 3), (7, "other words", 4), (3, " ".join(near).upper(), 5), (None, " ".join(near), 6), (None, "alone here", 7), (None, "alone here", 8), (9, " ", 9), (9, " ", 10)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, root int")
+    got = drop_near_duplicates(df, width=2).collect()
+    assert sorted((r.doc_id or 0, (r.text or "").lower()[:5]) for r in got) == [(0, "alone"), (3, "w0 w1"), (7, "other"), (9, " "), (9, " ")]
+
+
+def test_numbers_of_shingles_are_those_of_their_words():
+    rnd = random.Random(4)
+    texts = [" ".join(rnd.choices("abc", k=rnd.randrange(1, 9))).encode() for _ in range(60)]
+    for width in (1, 2, 5):
+        ids, starts = numbered(texts, width)
+        sets = [ids[i:j].tolist() for i, j in zip(starts, starts[1:])]
+        plain = [{tuple(w[i : i + width]) for i in range(max(1, len(w) - width + 1))} for w in (t.split() for t in texts)]
+        assert [len(s) for s in sets] == [len(s) for s in plain] == [shingle_set(t.split(), width)[0] for t in texts]
+        assert all(len(set(sets[i]) & set(sets[j])) == len(plain[i] & plain[j]) for i in range(60) for j in range(60))
+        digests = [shingle_set(t.split(), width)[1] for t in texts]
+        assert all((digests[i] == digests[j]) == (plain[i] == plain[j]) for i in range(60) for j in range(60))
+
+
+def test_a_very_long_text_and_its_copy(spark):
+    rnd = random.Random(9)
+    words = [f"w{rnd.randrange(50_000)}" for _ in range(400_000)]
+    rows = [(1, " ".join(words)), (2, " ".join(words[:-1000])), (3, "x " * 500_000), (4, "x " * 10), (5, " ".join(words[: len(words) // 2]))]
+    got = {r.doc_id: r.component_id for r in near_dedup(spark.createDataFrame(rows, "doc_id long, text string"), width=2).collect()}
+    assert got == {1: 1, 2: 1, 3: 3, 4: 3, 5: 5}
