@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from bisect import bisect_right
+from collections import Counter
 from collections.abc import Iterable
 
 from pyspark.sql import DataFrame
@@ -9,8 +11,8 @@ from pyspark.sql import functions as F
 
 from .common import number_within, stash
 
-#: Groups of less than 1/FINE of a shard travel in bundles; there are BUNDLES of those for each shard.
-FINE, BUNDLES = 256, 512
+#: A group with one of so many parts of all rows or more, of which there are as many at most, meets its rows by a broadcast.
+HOT_PARTS = 10_000
 
 
 class _Node:
@@ -100,64 +102,100 @@ class CapacityTree:
         return _fix(n)
 
 
-def best_fit_decreasing(sizes: Iterable[tuple[object, int]], capacity: int) -> tuple[dict, int]:
-    """Bin of each item and the number of bins; items by falling size, ties by the item.
+def fit_classes(classes: list[tuple[int, int]], capacity: int, limit: int | None = None) -> tuple[list[tuple[int, int, int]], int]:
+    """Best-fit-decreasing of (size, how many items) by falling size: (size, number of the first item, bin) of runs, and the number of bins.
 
-    Each enters the bin with the least remaining capacity that holds it, or a new one. An item larger than
-    ``capacity`` gets a bin of its own.
+    An item enters the bin with the least remaining capacity that holds it, or a new one; an item larger than ``capacity`` gets a
+    bin of its own. The bin that an item entered is the tightest for the next of its size as long as it holds it, so a
+    run of them enters at once. Stops when there are more than ``limit`` bins.
     """
-    tree, bins, place = CapacityTree(), 0, {}
-    for item, size in sorted(sizes, key=lambda x: (-x[1], str(x[0]))):
-        found = tree.take(size)
-        left, b = found if found else (max(capacity, size), bins)
-        bins += not found
-        place[item] = b
-        tree.add(left - size, b)
-    return place, bins
-
-
-def fill_shards(sizes: list[tuple[object, int]], shards: int) -> dict:
-    """Put items into ``shards`` shards of near equal size.
-
-    An item above the mean of what is left has a shard of its own; the others go by
-    best_fit_decreasing under the smallest capacity, to within a ten-thousandth, with which they need no more shards
-    than there are.
+    tree, bins, runs = CapacityTree(), 0, []
+    for size, count in classes:
+        first = 0
+        while first < count:
+            found = tree.take(size)
+            left, b = found if found else (max(capacity, size), bins)
+            bins += not found
+            if limit is not None and bins > limit:
+                return runs, bins
+            k = min(count - first, left // size)
+            runs.append((size, first, b))
+            first += k
+            tree.add(left - k * size, b)
+    return runs, bins
+
+
+def fill_classes(classes: list[tuple[int, int]], shards: int) -> list[tuple[int, int, int]]:
+    """Runs (size, number of the first item, shard) of (size, how many items) in ``shards`` shards of near equal size.
+
+    An item above the mean of what is left has a shard of its own; the others go by fit_classes under the smallest capacity, to
+    within a ten-thousandth, with which they need no more shards than there are.
     """
-    items = sorted(sizes, key=lambda x: (-x[1], str(x[0])))
-    place, left, total = {}, shards, sum(s for _, s in items)
-    while left > 1 and items and items[0][1] * left > total:
-        item, size = items.pop(0)
+    items = sorted(classes, reverse=True)
+    runs, left, total, skipped = [], shards, sum(s * c for s, c in items), {}
+    while left > 1 and items and items[0][0] * left > total:
+        size, count = items[0]
         left -= 1
-        place[item] = left
+        runs.append((size, skipped.get(size, 0), left))
+        skipped[size] = skipped.get(size, 0) + 1
         total -= size
+        items[0] = (size, count - 1)
+        if count == 1:
+            items.pop(0)
     if not items:
-        return place
-    low = max(-(-total // left), items[0][1])
-    high = low + items[0][1]
-    packed, bins = best_fit_decreasing(items, low)
+        return runs
+    low = max(-(-total // left), items[0][0])
+    high = low + items[0][0]
+    packed, bins = fit_classes(items, low, left)
     if bins > left:
-        packed, bins = best_fit_decreasing(items, high)
+        packed, bins = fit_classes(items, high, left)
         while bins > left:
             high *= 2
-            packed, bins = best_fit_decreasing(items, high)
+            packed, bins = fit_classes(items, high, left)
         while high - low > max(1, low // 10_000):
             mid = (low + high) // 2
-            tried, bins = best_fit_decreasing(items, mid)
+            tried, bins = fit_classes(items, mid, left)
             if bins <= left:
                 packed, high = tried, mid
             else:
                 low = mid
-    return place | packed
+    return runs + [(size, first + skipped.get(size, 0), b) for size, first, b in packed]
+
+
+def _placed(sizes: Iterable[tuple[object, int]], runs: list[tuple[int, int, int]]) -> dict:
+    """Bin of each item, those of a size in the order of their names."""
+    of: dict[int, list[tuple[int, int]]] = {}
+    for size, first, b in sorted(runs):
+        of.setdefault(size, []).append((first, b))
+    place, seen = {}, Counter()
+    for item, size in sorted(sizes, key=lambda x: (-x[1], str(x[0]))):
+        starts = of[size]
+        place[item] = starts[bisect_right(starts, (seen[size], float("inf"))) - 1][1]
+        seen[size] += 1
+    return place
+
+
+def best_fit_decreasing(sizes: Iterable[tuple[object, int]], capacity: int) -> tuple[dict, int]:
+    """Bin of each item, by fit_classes, and the number of bins; ties go by the item."""
+    items = list(sizes)
+    runs, bins = fit_classes(sorted(Counter(s for _, s in items).items(), reverse=True), capacity)
+    return _placed(items, runs), bins
+
+
+def fill_shards(sizes: list[tuple[object, int]], shards: int) -> dict:
+    """Shard of each item, by fill_classes; ties go by the item."""
+    return _placed(sizes, fill_classes(list(Counter(s for _, s in sizes).items()), shards))
 
 
 def shard_documents(docs: DataFrame, shards: int = 8, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Put documents into ``shards`` shards of near equal bytes; equal texts stay together.
 
     The size of a document is the UTF-8 bytes of its text (null: none) plus 1. Groups of equal texts
-    (null and empty alike) are indivisible. Groups of at least 1/FINE of a mean shard, of which there are
-    at most ``shards * FINE``, and bundles of all smaller groups, dealt by a hash into
-    ``shards * BUNDLES``, are placed by fill_shards; only their sizes reach the driver. A group larger than
-    a mean shard makes its shard larger than the others.
+    (null and empty alike) are indivisible, and all of them go by best-fit-decreasing, by the bytes of the whole group. Groups of a
+    size are interchangeable, so the driver has the sizes alone, and how many groups have each. Different sizes add up to no more than
+    all bytes, so of B bytes there are fewer than sqrt(2 * B) sizes (14 million at 100 TB), however many groups. A group takes the place
+    of its number among those of its size, in the order of their texts' SHA-256. A group larger than a mean shard makes its
+    shard larger than the others.
 
     Returns doc_id, size, text_crc32, law ('bytes'), shard, slot (gapless from 0 in the shard, in
     order of a hash of the id), grown_shard (null: with one more shard, others would move as well). One row
@@ -169,16 +207,19 @@ def shard_documents(docs: DataFrame, shards: int = 8, *, id_col: str = "doc_id",
         "sizes",
     )
     groups = stash(rows.groupBy("body").agg(F.sum("size").alias("bytes"), F.count("*").alias("n")), "groups")
-    total, n = groups.agg(F.coalesce(F.sum("bytes"), F.lit(0)), F.coalesce(F.sum("n"), F.lit(0))).first()
-    mean = total / shards
-    large = [(bytes(r["body"]), r["bytes"]) for r in groups.filter(F.col("bytes") * FINE >= F.lit(mean)).collect()]
-    bundle = F.pmod(F.xxhash64("body"), F.lit(shards * BUNDLES)).cast("int")
-    bundles = [(r["bundle"], r["bytes"]) for r in groups.filter(F.col("bytes") * FINE < F.lit(mean)).groupBy(bundle.alias("bundle")).agg(F.sum("bytes").alias("bytes")).collect()]
-    place = fill_shards(large + bundles, shards)
-    spark = docs.sparkSession
-    own = spark.createDataFrame([(bytearray(g), place[g]) for g, _ in large], "body binary, own int")
-    shared = spark.createDataFrame([(b, place[b]) for b, _ in bundles], "bundle int, shared int")
-    placed = rows.withColumn("bundle", bundle).join(F.broadcast(own), "body", "left").join(F.broadcast(shared), "bundle", "left")
-    placed = placed.select("rid", "doc_id", "size", "text_crc32", F.coalesce("own", "shared").alias("shard"))
-    numbered = number_within(placed, ["shard"], ["doc_id", "rid"], "slot", n)
-    return numbered.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
+    classes = [(r["bytes"], r["c"]) for r in groups.groupBy("bytes").agg(F.count("*").alias("c")).collect()]
+    n = groups.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+    runs: dict[int, list[tuple[int, int]]] = {}
+    for size, first, b in sorted(fill_classes(classes, shards)):
+        runs.setdefault(size, []).append((first, b))
+    table = docs.sparkSession.createDataFrame([(size, [f for f, _ in r], [b for _, b in r]) for size, r in runs.items()], "bytes long, starts array<long>, bins array<int>")
+    numbered = number_within(groups, ["bytes"], ["body"], "number", sum(c for _, c in classes))
+    own = F.expr("element_at(bins, size(filter(starts, x -> x <= number)))")
+    placed = stash(numbered.join(table, "bytes").select("body", "n", own.alias("shard")), "placed")
+    hot = F.col("n") * HOT_PARTS >= F.lit(n)
+    few = placed.filter(hot).select("body", F.col("shard").alias("own"))
+    met = stash(rows.join(F.broadcast(few), "body", "left"), "met")
+    rest = met.filter("own IS NULL").drop("own").join(placed.filter(~hot).select("body", "shard"), "body")
+    every = met.filter("own IS NOT NULL").withColumnRenamed("own", "shard").unionByName(rest).select("rid", "doc_id", "size", "text_crc32", "shard")
+    slots = number_within(stash(every, "sharded"), ["shard"], ["doc_id", "rid"], "slot", n)
+    return slots.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
