@@ -26,7 +26,7 @@ def quantise(v: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
 def tile_best(q: np.ndarray, q_ids: np.ndarray, x: np.ndarray, x_ids: np.ndarray, k: int) -> list[tuple[np.ndarray, np.ndarray]]:
     """Of one tile: ids and scores of the ``k`` best candidates of each query, best first, ties to smaller ids.
 
-    The int8 products give each score to within |q - q'| |x| + |q'| |x - x'|, by the rounded vectors q' and x'. A
+    The products of int8 values, as floats, which hold them exactly, give each score to within |q - q'| |x| + |q'| |x - x'|, by the rounded vectors q' and x'. A
     candidate whose upper bound is below the k-th best lower bound can't be among the best; the others are
     computed in double precision.
     """
@@ -47,7 +47,7 @@ def tile_best(q: np.ndarray, q_ids: np.ndarray, x: np.ndarray, x_ids: np.ndarray
         alive = (near + slack >= least[:, None]) & ~own
         for i in range(len(near)):
             c = np.flatnonzero(alive[i])
-            exact = x[c] @ q[at + i]
+            exact = np.add.accumulate(x[c] * q[at + i], axis=1)[:, -1]  # one after another, so that equal vectors have equal scores wherever they stand
             order = np.lexsort((ids_of[c], -exact))[:k]
             out.append((ids_of[c][order], exact[order]))
     return out

@@ -43,3 +43,22 @@ def test_fewer_candidates_and_empty(spark):
     df = spark.createDataFrame([(0, [1.0]), (1, [2.0])], "vec_id long, embedding array<float>")
     assert [tuple(r) for r in nearest(df, F.col("vec_id") == 0).collect()] == [(0, 1, 1, 2.0)]
     assert nearest(df.limit(0), F.lit(True)).collect() == []
+
+
+def test_repeated_vectors_of_64_dimensions_tie_exactly(spark):
+    rnd = np.random.default_rng(5)
+    base = np.float32(rnd.normal(size=(40, 64)))
+    rows = [(int(i), [float(c) for c in base[k]]) for i, k in zip(rnd.permutation(1200), rnd.integers(0, 40, 1200))]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    of = dict(rows)
+    for tile in (50, 5000):
+        got = nearest(df, F.col("vec_id") % 20 == 0, 40, tile=tile, block=30).collect()
+        lists = {}
+        for r in sorted(got, key=lambda r: (r.query_id, r["rank"])):
+            lists.setdefault(r.query_id, []).append(r)
+        assert len(lists) == 60
+        for q, best in lists.items():
+            score = {tuple(of[r.vec_id]): r.score for r in best}
+            assert all(score[tuple(of[r.vec_id])] == r.score for r in best)  # equal vectors, equal scores
+            exact = {i: float(np.add.accumulate(np.float64(of[q]) * np.float64(v))[-1]) for i, v in rows if i != q}
+            assert [(r.vec_id, r.score) for r in best] == sorted(exact.items(), key=lambda x: (-x[1], x[0]))[:40]
