@@ -91,3 +91,50 @@ def test_redaction(spark):
     assert redact("nothing here") == "nothing here"
     df = spark.createDataFrame([(1, "secret=abcdefgh1 z"), (2, None), (3, "")], "doc_id long, text string")
     assert sorted(map(tuple, redact_secrets(df).collect())) == [(1, "secret=[secret] z"), (2, None), (3, "")]
+
+
+def wrap(b, width, end="\n"):
+    return end.join(b[i : i + width] for i in range(0, len(b), width))
+
+
+def test_wrapped_and_nested_keys():
+    for data, kind in ((PKCS1, "der"), (SSH, "ssh")):
+        b = base64.b64encode(data).decode()
+        for width, end in ((64, "\n"), (76, "\r\n"), (len(b) // 2, "\n    ")):
+            w = wrap(b, width, end)
+            assert (kind, w) in kinds(f"key:\n{w}\nand so on"), (width, end)
+    pem = f"-----BEGIN RSA PRIVATE KEY-----\n{wrap(base64.b64encode(PKCS1).decode(), 64)}\n-----END RSA PRIVATE KEY-----\n"
+    for inner, kind in ((pem, "pem"), (f"token {JWT}", "jwt")):
+        b = base64.b64encode(inner.encode()).decode()
+        assert (kind, b) in kinds(f"tls.key: {b}")
+        assert (kind, wrap(b, 76)) in kinds(f"tls.key: {wrap(b, 76)}.")
+    escaped = pem.strip().replace("\n", "\\n")
+    assert ("pem", escaped) in kinds('{"private_key": "' + escaped + '"}')
+
+
+def test_other_algorithms():
+    dsa = der(0x30, der(2, b"\0") + number(128) + number(20) + number(128) * 2 + number(20))
+    ed448 = der(0x30, der(2, b"\0") + der(0x30, der(6, bytes.fromhex("2b6571"))) + der(4, der(4, bytes(57))))
+    assert is_der_key(dsa) and is_der_key(ed448)
+    assert not is_der_key(der(0x30, der(2, b"\0") + der(0x30, der(6, bytes.fromhex("2b657001"))) + der(4, der(4, bytes(32)))))
+
+
+def test_unconfirmed_structures_are_not_reported():
+    block = lambda body, label="RSA PRIVATE KEY": f"-----BEGIN {label}-----\n{body}\n-----END {label}-----"
+    cipher = base64.b64encode(bytes(range(256)) * 2).decode()
+    head = "Proc-Type: 4,ENCRYPTED\nDEK-Info: AES-128-CBC,0123456789ABCDEF0123456789ABCDEF\n\n"
+    assert ("pem", block(head + wrap(cipher, 64))) in kinds(block(head + wrap(cipher, 64)))
+    assert kinds(block("ENCRYPTED:\nAAAA")) == []
+    assert kinds(block(head + "AAAA")) == [] and kinds(block("Proc-Type: 4,ENCRYPTED\n\n" + wrap(cipher, 64))) == []
+    assert kinds(block(wrap(base64.b64encode(PKCS1).decode(), 64)).replace("END RSA", "END DSA")) == [("der", wrap(base64.b64encode(PKCS1).decode(), 64))]
+    unsigned = f"{part({'alg': 'none', 'typ': 'JWT'})}.{part({'sub': '1'})}."
+    assert kinds(unsigned) == [] and kinds(unsigned + "abcdefgh") == [] and kinds(JWT.rsplit(".", 1)[0] + ".") == []
+
+
+def test_time_is_in_proportion_to_length():
+    import time
+
+    for text in ("-----BEGIN RSA PRIVATE KEY-----\n" * 32_000, "A" * 1_000_000, ("A" * 64 + "\n") * 16_000, "aaaaaaaaaa.bb." * 70_000, "-----BEGIN " + "A B " * 250_000, ("-----BEGIN RSA PRIVATE KEY-----\nx:y\n") * 25_000 + "-----END RSA PRIVATE KEY-----"):
+        began = time.perf_counter()
+        confirmed_spans(text)
+        assert time.perf_counter() - began < 2, text[:40]
