@@ -118,8 +118,20 @@ def exact_dedup(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "tex
 def drop_exact_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``docs`` without the rows that repeat another's text; all its columns, whatever their names.
 
-    Input rows must have distinct ids, as those of `documents` have; a null id or a repeated one
-    keeps every row of that id if one of them stays.
+    Of each group of equal texts one row stays, of the largest id; of rows that repeat that id, any one.
     """
-    gone = exact_dedup(docs, id_col=id_col, text_col=text_col).groupBy("doc_id").agg(F.bool_or("kept").alias("_k")).filter("not _k").select(F.col("doc_id").alias("_gone"))
-    return docs.join(gone, docs[id_col].eqNullSafe(gone["_gone"]), "left_anti")
+    found = stash(exact_dedup(docs, id_col=id_col, text_col=text_col).select("doc_id", "kept", F.unhex("text_sha256").alias("th")), "kept")
+    ids = stash(found.groupBy("doc_id").agg(F.count("*").alias("n"), F.bool_or("kept").alias("kept")).filter("n > 1 OR NOT kept"), "ids")
+    by_id = lambda other: docs[id_col].eqNullSafe(other["doc_id"])
+    out = docs.join(ids, by_id(ids), "left_anti")
+    repeated = ids.filter("n > 1")
+    if repeated.isEmpty():
+        return out
+    name = "normal_text"
+    while name in map(str.lower, docs.columns):
+        name += "_"
+    normal = F.unhex(F.sha2(ascii_lower(F.coalesce(docs[text_col], F.lit(""))), 256))
+    stay = found.filter("kept").join(repeated.select(F.col("doc_id").alias("r")), F.col("doc_id").eqNullSafe(F.col("r"))).select("doc_id", "th").distinct()
+    again = docs.join(repeated, by_id(repeated), "left_semi").withColumn(name, normal)
+    again = again.join(stay, again[id_col].eqNullSafe(stay["doc_id"]) & (again[name] == stay["th"]), "left_semi")
+    return out.union(again.dropDuplicates([id_col, name]).drop(name))

@@ -58,3 +58,15 @@ def test_dropping_keeps_all_columns(spark):
     got = drop_exact_duplicates(df)
     assert got.columns == df.columns
     assert sorted(r.doc_id for r in got.collect()) == [2, 3]
+
+
+def test_dropping_repeated_rows_and_ids(spark):
+    rows = [(2, "A", 1), (2, "a", 2), (2, "a", 3), (2, "other", 4), (1, "a", 5), (None, "z", 6), (None, "z", 7), (None, "a", 8), (None, None, 9), (4, "", 10)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, normal_text int")
+    got = drop_exact_duplicates(df)
+    assert got.columns == df.columns
+    assert sorted((r.doc_id or 0, (r.text or "").lower()) for r in got.collect()) == [(0, "z"), (2, "a"), (2, "other"), (4, "")]
+
+
+def test_a_text_of_many_blocks(spark):
+    run(spark, [(1, "xyz" * 1_000_000), (2, "XYZ" * 1_000_000), (3, "xyz" * 999_999 + "xya"), (4, "é" * 700_001)])
