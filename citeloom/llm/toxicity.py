@@ -59,7 +59,8 @@ class Lexicon:
     table look-up for each letter until no node is left.
     """
 
-    KEPT = 200_000
+    #: Words and states that are kept at most.
+    KEPT = 400_000
 
     def __init__(self, terms: list[tuple[str, bool, float]], *, first: bool = False, own: frozenset[str] = frozenset(), shares: dict[str, float] | None = None):
         """``first``: whether the first letter may be edited as well. ``shares``: what a term's misspellings weigh of it, 1 by default."""
@@ -97,23 +98,39 @@ class Lexicon:
         self.found: list[list[tuple[float, int, str]]] = []
         self.ahead: list[dict[str, list[tuple[float, int, str]]]] = []
         self.starts: dict[str, int] = {}
-        self.known: dict[str, tuple[float, int] | None] = {}
+        self.hits: dict[str, tuple[float, int]] = {}
+        self.misses: set[str] = set()
 
     @staticmethod
     def edits_for(length: int) -> int:
-        """Edits a term of ``length`` letters may have (after its first letter, without ``first``): none in short ones, whose neighbours are words of their own."""
-        return 0 if length < 5 else 1 if length < 9 else 2
+        """Edits a term of ``length`` letters may have (after its first letter, without ``first``): none where one would leave two letters or fewer.
+
+        What the misspellings of a short term weigh is a matter of their ``shares``, since many of its neighbours are words of their own.
+        """
+        return 0 if length < 4 else 1 if length < 9 else 2
 
     def find(self, word: str) -> tuple[float, int] | None:
         """(weight, edits) of the term that ``word`` is, begins with or misspells, the most evidence first; None without any.
 
         Two neighbouring letters swapped are one edit.
         """
-        if word not in self.known:
-            if len(self.sets) > self.KEPT or len(self.known) > self.KEPT:
-                self._reset()
-            self.known[word] = self._find(word)
-        return self.known[word]
+        if word in self.hits:
+            return self.hits[word]
+        if word in self.misses:
+            return None
+        if len(self.sets) > self.KEPT or len(self.misses) + len(self.hits) > self.KEPT:
+            self._reset()
+        found = self._find(word)
+        if found:
+            self.hits[word] = found
+        else:
+            self.misses.add(word)
+        return found
+
+    def among(self, words: set[str]) -> dict[str, tuple[float, int]]:
+        """What find gives for those of ``words`` for which it gives anything."""
+        found = {w: f for w in words.difference(self.misses, self.hits) if (f := self.find(w)) is not None}
+        return found | {w: self.hits[w] for w in words.intersection(self.hits)}
 
     def _find(self, word: str) -> tuple[float, int] | None:
         weights = [self.stems[word[:n]] for n in self.lengths if word[:n] in self.stems]
@@ -227,7 +244,7 @@ class Scanner:
         return self._sum(low, distinct), len(distinct)
 
     def _sum(self, low: str, distinct: set[str]) -> float:
-        hits = {w: found for w in distinct if (found := self.lexicon.find(w)) is not None}
+        hits = self.lexicon.among(distinct)
         masked = []
         for m in _MASKED.finditer(low):
             if hits.keys().isdisjoint(_WORD.findall(m[0])) and (found := self.lexicon.find(m[0].strip("_*!#+|.-"))) is not None:
@@ -351,7 +368,7 @@ def learn(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_co
     sample = stash(own.orderBy(F.xxhash64("doc_id"), "doc_id").limit(learn_rows), "learning-ids")
     source = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("body"))
     texts = stash(source.join(F.broadcast(sample), "doc_id").select("toxic", "body"), "learning-texts")  # at most learn_rows ids
-    sizes = {r["toxic"]: r["n"] for r in texts.groupBy("toxic").agg(F.count("*").alias("n")).collect()}
+    sizes = {r["toxic"]: r["n"] for r in texts.groupBy((F.col("toxic") > 0).alias("toxic")).agg(F.count("*").alias("n")).collect()}
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: list[Counter] = [Counter(), Counter()]
@@ -368,7 +385,7 @@ def learn(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_co
     tested = counted.filter(F.col("a") + F.col("b") >= LEAST_DOCS).count()
     # Each term left stands in LEAST_DOCS toxic rows of the bounded sample.
     rows = counted.filter((F.col("a") >= LEAST_DOCS) & (F.col("a") >= LEAST_SHARE * (F.col("a") + F.col("b")))).collect()
-    terms = choose_terms({(r["term"], r["whole"]): (r["a"], r["b"]) for r in rows}, sizes.get(1, 0), sizes.get(0, 0), tested)
+    terms = choose_terms({(r["term"], r["whole"]): (r["a"], r["b"]) for r in rows}, sizes.get(True, 0), sizes.get(False, 0), tested)
 
     def near(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         every = Lexicon(terms, first=True)
@@ -378,7 +395,7 @@ def learn(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_co
             yield pa.record_batch([*(batch.column(c).take(at) for c in ("term", "a", "b")), pa.array([t for _, t in fits], pa.string())], names=["word", "a", "b", "near"])
 
     # Words of the bounded sample within a few edits of a term: those of their own, and how many of each kind there are by term.
-    beside = counted.filter("whole").select("term", "a", "b").mapInArrow(near, "word string, a long, b long, near string")
+    beside = stash(counted.filter("whole").select("term", "a", "b").mapInArrow(near, "word string, a long, b long, near string"), "toxicity-neighbours")
     bad = F.col("a") >= LEAST_SHARE * (F.col("a") + F.col("b"))
     kinds = beside.groupBy("near").agg(F.count_if(bad).alias("a"), F.count_if(~bad).alias("b")).collect()
     own = frozenset(r["word"] for r in beside.filter(~bad & (F.col("b") >= OWN_DOCS)).select("word").distinct().collect())
