@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import json
 import os
+import re
 import zlib
 from array import array
 from collections.abc import Iterator
@@ -24,6 +25,15 @@ KEPT_WORDS = 1_000_000
 _MARKS = tuple(bytes([c]) for c in b".,;:!?)|")
 
 
+# The steps before the model, and the pattern of words, by which a run of letters is one word.
+_STEPS = ["NFC", "Replace", "Lowercase", "Split", "ByteLevel"]
+_PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
+
+#: Words that those steps leave as they are, but for writing their bytes as characters: these go to the model at once.
+_LETTERS = re.compile("[a-zß-öø-ÿ]+")
+_AS_BYTES = {c: "".join(chr(b) if 160 < b != 173 else chr(256 + b - 94 if b < 161 else 323) for b in chr(c).encode()) for c in range(0xDF, 0x100)}
+
+
 @cache
 def _tokenizer(path: str):
     os.environ["TOKENIZERS_PARALLELISM"] = "false"
@@ -40,7 +50,11 @@ class WordIds:
 
     def __init__(self, path: str):
         self.path, self.known = path, {}
-        self.special = [t["content"].encode() for t in json.load(open(path))["added_tokens"]]
+        file = json.load(open(path))
+        self.special = [t["content"].encode() for t in file["added_tokens"]]
+        steps = [x["type"] for x in file["normalizer"]["normalizers"]] + [x["type"] for x in file["pre_tokenizer"]["pretokenizers"]]
+        plain = steps == _STEPS and file["pre_tokenizer"]["pretokenizers"][0]["pattern"] == {"Regex": _PATTERN}
+        self.model = _tokenizer(path).model if plain else None
 
     def texts(self, bodies: list[bytes]) -> Iterator[bytes]:
         split = [self._lower(b).split() for b in bodies]
@@ -52,13 +66,19 @@ class WordIds:
         marked = [w for w in new if w[-1:] in _MARKS and w[-2:-1].isalpha() and not w.endswith(tuple(self.special))]
         new.difference_update(marked)
         new.update({x for w in marked for x in (w[:-1], w[-1:])}.difference(known))
-        words = list(new)
+        words = []
+        for w in new:
+            s = w.decode()
+            if self.model and _LETTERS.fullmatch(s):
+                known[w] = array("I", [t.id for t in self.model.tokenize(s if s.isascii() else s.translate(_AS_BYTES))]).tobytes()
+            else:
+                words.append(w)
         for w, e in zip(words, _tokenizer(self.path).encode_batch_fast([w.decode() for w in words], add_special_tokens=False)):
             known[w] = array("I", e.ids).tobytes()
         for w in marked:
             known[w] = known[w[:-1]] + known[w[-1:]]
         for words in split:
-            yield b"".join([known[w] for w in words])
+            yield b"".join(map(known.__getitem__, words))
 
     def _lower(self, body: bytes) -> bytes:
         """A-Z in lower case, unless that would make a special token of other text."""

@@ -85,3 +85,19 @@ def test_documents_against_the_library(spark):
 
 def test_empty_table(spark):
     assert pack_documents(spark.createDataFrame([], "doc_id long, text string"), PATH).collect() == []
+
+
+def test_a_text_of_several_megabytes(spark):
+    text = "the cat sat, and Ünder the moon. " * 100_000
+    got = pack_documents(spark.createDataFrame([(1, text), (2, None)], "doc_id long, text string"), PATH).collect()
+    ids = np.array(Tokenizer.from_file(PATH).encode(text, add_special_tokens=False).ids + [1], "<u4")
+    mine = sorted((r.piece, r.start, r.length, r.ids_crc32) for r in got if r.doc_id == 1)
+    assert mine == [(i, a, len(ids[a : a + 4096]), zlib.crc32(ids[a : a + 4096].tobytes())) for i, a in enumerate(range(0, len(ids), 4096))]
+
+
+def test_words_of_every_letter():
+    t, letters = Tokenizer.from_file(PATH), [chr(c) for c in [*range(97, 123), *range(0xDF, 0x100)]]
+    rnd = random.Random(3)
+    words = letters + ["".join(rnd.choices(letters, k=rnd.randrange(2, 12))) for _ in range(3000)]
+    for w, ids in zip(words, WordIds(PATH).texts([w.encode() for w in words])):
+        assert np.frombuffer(ids, "<u4").tolist() == t.encode(w, add_special_tokens=False).ids, w
