@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+from bisect import bisect_right
 from collections.abc import Iterator
 from dataclasses import dataclass
 from functools import cache
@@ -28,6 +29,23 @@ NOTICES = (
     ("creative commons attribution 4 0 international license", "cc-by"),
     ("this source code form is subject to the terms of the mozilla public license", "mpl"),
     ("permission to use copy modify and or distribute this software for any purpose", "isc"),
+    ("gnu affero general public license", "agpl"),
+    ("eclipse public license", "epl"),
+    ("artistic license 2 0", "artistic"),
+    ("boost software license version 1 0", "bsl"),
+    ("sil open font license version 1 1", "ofl"),
+    ("licensed under the european union public licence", "eupl"),
+    ("this is free and unencumbered software released into the public domain", "unlicense"),
+    ("in no event will the authors be held liable for any damages arising from the use of this software", "zlib"),
+    ("licensed under cc by 4 0", "cc-by"),
+    ("licensed under cc by nd 4 0", "cc-by-nd"),
+    ("creative commons attribution sharealike 4 0 international license", "cc-by-sa"),
+    ("creative commons attribution noncommercial 4 0 international license", "cc-by-nc"),
+    ("cc0 1 0 universal public domain dedication", "cc0"),
+    ("spdx license identifier mit", "mit"),
+    ("spdx license identifier apache 2 0", "apache"),
+    ("spdx license identifier gpl 3 0", "gpl"),
+    ("spdx license identifier bsd 3 clause", "bsd"),
 )
 
 #: Characters of a notice for each edit (insertion, deletion or substitution) that it may have.
@@ -100,38 +118,45 @@ def fuzzy(plain: str) -> list[tuple[Notice, int, int, int]]:
     """(notice, start, end, edits) of notices in words joined by single spaces.
 
     k edits change at most k of a notice's k + 2 pieces: two stay as they are, and each is at most k places from where the
-    other has it. Around such seeds the regex library looks for the notice with at most k edits; overlapping finds give
-    way to the one with fewest edits for its length.
+    other has it. Around such seeds, in windows of a bounded length, the regex library looks for the notice with at most k edits; overlapping
+    finds give way to the one with fewest edits for its length.
     """
     notices, automaton = _search()
     seeds: dict[int, list[tuple[int, int]]] = {}
     for last, (n, uses) in automaton.iter(plain):
         for i, at in uses:
             seeds.setdefault(i, []).append((last + 1 - n - at, at))
-    windows: dict[int, list[list[int]]] = {}
-    for i, hits in seeds.items():
-        k, held = notices[i].edits, []
-        hits.sort()
-        for (begin, at), (end, other) in _close(hits, k):
-            begin, end = begin - k, end + len(notices[i].text) + 2 * k
-            if held and begin <= held[-1][1]:
-                held[-1][:] = min(begin, held[-1][0]), max(end, held[-1][1])
-            else:
-                held.append([begin, end])
-        if held:
-            windows[i] = held
     found = []
-    for i, spans in windows.items():
-        for begin, end in spans:
-            at, stop = max(0, begin), min(len(plain), end)
-            while m := notices[i].pattern.search(plain, at, stop):
-                found.append((notices[i], m.start(), m.end(), sum(m.fuzzy_counts)))
-                at = max(m.end(), at + 1)
+    for i, hits in seeds.items():
+        notice = notices[i]
+        for begin, end in _windows(sorted(hits), notice.edits, len(notice.text)):
+            parts = [(max(0, begin), min(len(plain), end))]
+            while parts:  # the best find of a window, then what stands before and after it
+                at, stop = parts.pop()
+                if stop - at >= len(notice.text) - notice.edits and (m := notice.pattern.search(plain, at, stop)):
+                    found.append((notice, m.start(), m.end(), sum(m.fuzzy_counts)))
+                    parts += [(at, m.start()), (max(m.end(), m.start() + 1), stop)]
+    starts: list[int] = []
     best: list[tuple[Notice, int, int, int]] = []
-    for f in sorted(found, key=lambda f: (f[3] / len(f[0].text), f[1], -len(f[0].text))):
-        if not any(f[1] < b[2] and b[1] < f[2] for b in best):
-            best.append(f)
-    return sorted(best, key=lambda f: (f[1], f[0].label))
+    for f in sorted(found, key=lambda f: (f[3] / len(f[0].text), f[1], -len(f[0].text), f[2], f[0].label)):
+        j = bisect_right(starts, f[1])
+        if (j == 0 or best[j - 1][2] <= f[1]) and (j == len(best) or best[j][1] >= f[2]):
+            starts.insert(j, f[1])
+            best.insert(j, f)
+    return best
+
+
+def _windows(hits: list[tuple[int, int]], k: int, size: int) -> Iterator[tuple[int, int]]:
+    """Where a notice of ``size`` characters may stand by its sorted ``hits``: those that begin within 2k of one another are of one window."""
+    first = last = None
+    for (begin, _), (end, _) in _close(hits, k):
+        if first is not None and end - first > 2 * k:
+            yield first - k, last + size + 2 * k
+            first = None
+        first = begin if first is None else min(first, begin)
+        last = end
+    if first is not None:
+        yield first - k, last + size + 2 * k
 
 
 def scan(text: str) -> tuple[list[tuple[int, str]], list[Match]]:

@@ -61,3 +61,25 @@ def test_query_against_brute_force(spark):
     assert by_id[902].score == 1 and by_id[902].first_word == 30000
     assert all(set(filter(None, r.base_labels.split(","))) <= set(r.labels.split(",")) for r in got)
     assert scan_licenses(df.limit(0)).collect() == []
+
+
+def test_every_one_of_repeated_and_edited_notices_is_found():
+    exact, near = "licensed under the apache license version 2 0", "licensd under the apache license version 2 0"
+    assert [(f[0].text, f[1], f[3]) for f in fuzzy(f"{near} y {exact}")] == [(exact, 0, 1), (exact, len(near) + 3, 0)]
+    plain = " and ".join([near, exact] * 40)
+    finds = fuzzy(plain)
+    assert [f[3] for f in finds] == [1, 0] * 40 and all(a[2] <= b[1] for a, b in zip(finds, finds[1:]))
+
+
+def test_notices_of_one_family_are_told_apart():
+    for notice, label in NOTICES:
+        assert label in {f[0].label for f in fuzzy(f"x {notice} y")}, notice
+    assert {f[0].label for f in fuzzy("licensed under cc by nd 4 0")} == {"cc-by-nd"}
+
+
+def test_a_long_text_of_notices_takes_time_in_proportion():
+    import time
+
+    began = time.perf_counter()
+    assert len(scan("Released under the MIT License. " * 20_000)[1]) == 20_000
+    assert time.perf_counter() - began < 30
