@@ -20,11 +20,13 @@ _fallback_dir: str | None = None
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share, from ``spark.checkpoint.dir``.
 
-    Where a session has none (tests in one JVM), a temporary folder of this process.
+    Where a session of one JVM has none, as in tests, a temporary folder of this process; a cluster must name one.
     """
     global _fallback_dir
     if path := spark.conf.get("spark.checkpoint.dir", None):
         return path
+    if not spark.sparkContext.master.startswith("local"):
+        raise RuntimeError("spark.checkpoint.dir must name a folder that the driver and all executors share")
     if _fallback_dir is None:
         _fallback_dir = tempfile.mkdtemp(prefix="citeloom-")
         atexit.register(shutil.rmtree, _fallback_dir, ignore_errors=True)

@@ -10,8 +10,8 @@ from pyspark.sql import functions as F
 
 from .common import stash
 
-#: Distinct links that one task takes at most: some hundred MB of it.
-SMALL = 1_000_000
+#: Distinct links that one task takes at most: some 40 MB of it.
+SMALL = 200_000
 
 
 def _least(edges: DataFrame) -> DataFrame:

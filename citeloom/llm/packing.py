@@ -19,8 +19,8 @@ from pyspark.sql import types as T
 from .common import number_within, stash
 from .words import slices
 
-#: Words whose ids a worker keeps; beyond them it starts anew.
-KEPT_WORDS = 1_000_000
+#: Words whose ids a worker keeps, some 200 bytes each; beyond them it starts anew.
+KEPT_WORDS = 300_000
 
 _MARKS = tuple(bytes([c]) for c in b".,;:!?)|")
 

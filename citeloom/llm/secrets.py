@@ -266,7 +266,7 @@ def redact(text: str) -> str:
 
 
 def redact_secrets(docs: DataFrame, *, text_col: str = "text") -> DataFrame:
-    """``docs`` with secrets in ``text_col`` redacted; all rows and columns stay, and null texts null."""
+    """``docs`` with secrets in ``text_col`` redacted; all rows and columns stay, null texts null and an empty table empty."""
 
     @F.pandas_udf("string")
     def clean(texts):

@@ -60,7 +60,7 @@ class Lexicon:
     """
 
     #: Words and states that are kept at most.
-    KEPT = 400_000
+    KEPT = 200_000
 
     def __init__(self, terms: list[tuple[str, bool, float]], *, first: bool = False, own: frozenset[str] = frozenset(), shares: dict[str, float] | None = None):
         """``first``: whether the first letter may be edited as well. ``shares``: what a term's misspellings weigh of it, 1 by default."""

@@ -52,3 +52,10 @@ def test_packing_positions():
     x = np.arange(70000, dtype=np.uint32)[::-1].copy()
     assert (words.unpack(words.pack(x), len(x)) == x).all()
     assert len(words.unpack(words.pack(x[:0]), 0)) == 0
+
+
+def test_a_text_of_several_megabytes(spark):
+    text = "The cat's sat, жизнь and été.\n" * 100_000
+    (row,) = bpe.encode_decode(spark.createDataFrame([(1, text)], "doc_id long, text string"), PATH).collect()
+    ids, back = whole(text)
+    assert (row.n_tokens, row.ids_sha256, row.decoded_sha256) == (len(ids), hashlib.sha256(np.array(ids, "<u4").tobytes()).hexdigest(), hashlib.sha256(back.encode()).hexdigest())

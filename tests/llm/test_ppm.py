@@ -79,3 +79,11 @@ def test_rare_bytes_keep_contexts_of_three(spark):
     compare(spark, rows)
     got = {r.doc_id: r.score for r in ppm_scores(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
     assert all(math.isclose(got[w[0]], w[-1], rel_tol=1e-5) for w in low)
+
+
+def test_long_texts(spark):
+    text = "The cat sat, жизнь and été. " * 10_000
+    compare(spark, [(1, text), (2, text[:280]), (3, "other words"), (4, None)])
+    longer = spark.createDataFrame([(1, text * 12), (2, "The cat")], "doc_id long, text string")
+    got = {r.doc_id: r for r in ppm_scores(longer).collect()}
+    assert got[1].n_tokens == 6 * 120_000 + 1 and got[1].score < 0

@@ -3,7 +3,7 @@ import zlib
 
 import numpy as np
 
-from citeloom.llm.toxicity import Lexicon, Scanner, choose_terms, drop_toxic, fit, score_toxicity
+from citeloom.llm.toxicity import EDIT, Lexicon, Scanner, choose_terms, drop_toxic, fit, learn, score_toxicity
 
 
 def distance(a, b):
@@ -117,3 +117,58 @@ def test_few_labels_find_misspellings(spark):
     rows += [(1000, "alpha brick zugwunp"), (1001, "alpha brick sugwump"), (1002, "alpha brick zugw0mp"), (1003, "alpha brick canoes")]
     got = {r.doc_id: r.score for r in score_toxicity(spark.createDataFrame(rows, "doc_id long, text string"), marks).collect()}
     assert min(got[1000], got[1001], got[1002]) > got[1003]
+
+
+class Plain:
+    """The same lexicon without a trie: each word against each term and stem by the full table of edits."""
+
+    def __init__(self, lexicon):
+        self.of = lexicon
+
+    def find(self, word):
+        lexicon, fits = self.of, []
+        for term, whole, weight in lexicon.terms:
+            if word == term if whole else word.startswith(term):
+                fits.append((weight, 0))
+            edits, share = Lexicon.edits_for(len(term)), lexicon.shares.get(term, 1.0)
+            if word in lexicon.own or not edits or not share:
+                continue
+            for begin in [word] if whole else [word[:n] for n in range(1, len(word) + 1) if word[n - 1] == term[-1]]:
+                if abs(len(begin) - len(term)) <= edits and 0 < (d := distance(begin, term)) <= edits:
+                    fits.append((weight * share, d))
+        return max(fits, key=lambda f: (f[0] * EDIT ** f[1], -f[1]), default=None)
+
+    def among(self, words):
+        return {w: found for w in words if (found := self.find(w)) is not None}
+
+
+def test_query_against_brute_force(spark):
+    sf = "/root/testdata/sf0.001"
+    docs, labels = spark.read.parquet(f"{sf}/documents.parquet"), spark.read.parquet(f"{sf}/labels.parquet")
+    rnd = random.Random(21)
+    base = [r.text for r in docs.collect() if len(r.text or "") < 1500]
+    rows = [(i, rnd.choice(base) + (" zugwump" if i % 5 == 0 else " krazzling" if i % 5 == 1 else "")) for i in range(500)]
+    marks = spark.createDataFrame([(i, int(i % 5 < 2)) for i, _ in rows], "doc_id long, toxic int")
+    rows += [(1000 + i, rnd.choice(base) + rnd.choice([" zugwmup", " \"krazzlin\" they said", " kr4zzling", " you zugwnup", " zugwumps"])) for i in range(60)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    model = learn(df, marks)
+    assert model.lexicon.terms
+    plain = Scanner(Plain(model.lexicon), model.chance)
+    for r in score_toxicity(df, marks).collect():
+        want = float(model.probability(np.array([plain.evidence(dict(rows)[r.doc_id])]))[0])
+        assert abs(r.score - want) < 1e-9, r
+
+
+def test_short_terms_and_first_letters():
+    lexicon = Lexicon([("dolt", True, 5.0), ("idiots", True, 5.0)], first=True)
+    assert lexicon.find("dolf") == lexicon.find("ddolt") == lexicon.find("ldiots") == (5.0, 1)
+    assert Lexicon([("dolt", True, 5.0)], first=True, shares={"dolt": 0.0}).find("dolf") is None
+
+
+def test_a_text_of_several_megabytes(spark):
+    rnd = random.Random(1)
+    rows = [(i, "plain words of a clean text" + " zugwump" * (i % 4 == 0)) for i in range(200)]
+    marks = spark.createDataFrame([(i, int(i % 4 == 0)) for i, _ in rows], "doc_id long, toxic int")
+    rows += [(1000, " ".join("".join(rnd.choices("abcdefgh", k=7)) for _ in range(400_000))), (1001, "word " * 500_000 + "zugwump")]
+    got = {r.doc_id: r.predicted for r in score_toxicity(spark.createDataFrame(rows, "doc_id long, text string"), marks).collect()}
+    assert got[1001] == 1 and len(got) == 202
