@@ -1,4 +1,10 @@
-"""From raw documents to packed training sequences: each stage works on what the one before kept."""
+"""From raw documents to packed training sequences: each stage works on what the one before kept.
+
+All stages but the last return all columns of their input, whatever their names (text and n_chars as redacted). Null texts count as
+empty, stay null, and are exact copies of empty ones, of which one row stays; texts without words have no near duplicates; in the end an
+empty text is packed as its one end token. Rows without id are kept as others are, but one with an id is preferred among copies. Rows that
+repeat an id and text are copies. Empty documents give an empty result; without labels no document is toxic.
+"""
 
 from __future__ import annotations
 
