@@ -54,7 +54,7 @@ def main(argv: list[str] | None = None, spark: SparkSession | None = None) -> in
     if args.command == "ingest":
         try:
             print(json.dumps(articles.ingest(spark, args.inputs, args.store, domain_filter=not args.no_domain_filter)))
-        except AnalysisException as e:
+        except (AnalysisException, ValueError) as e:
             print(f"no input: {e}"[:300], file=sys.stderr)
             return 1
         return 0

@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 
 from citeloom.functions import text as X
 
+from .ranking import running
+
 
 def extract(queries: DataFrame, hits: DataFrame, docs: DataFrame, *, passages: int = 5, sentences: int = 3) -> DataFrame:
     """(query_id, n, pmid, source, sentence, overlap): the sentences that answer each question, best first.
@@ -77,18 +79,11 @@ def calibration_records(queries: DataFrame, hits: DataFrame, qrels: DataFrame, *
 def risk_coverage(records: DataFrame, order: str = "seq") -> DataFrame:
     """(n, threshold, coverage, error_rate) of records (correct, confidence): a point for each, most confident first, ties by ``order``.
 
-    The running error is global by nature. Records are counted by distinct confidence first, so that what is summed along the order
-    is one row for each; only then does each record take its place among those of its confidence.
+    The running error is global by nature; ``ranking.running`` sums ranges of the order first.
     """
-    key = records.groupBy("confidence").agg(F.count("*").alias("m"), F.sum((~F.col("correct")).cast("long")).alias("w"))
-    before = Window.orderBy(F.desc("confidence")).rowsBetween(Window.unboundedPreceding, -1)
-    prior = key.select("confidence", F.coalesce(F.sum("m").over(before), F.lit(0)).alias("m0"), F.coalesce(F.sum("w").over(before), F.lit(0)).alias("w0"))
-    total = records.agg(F.count("*").alias("total"))
-    own = Window.partitionBy("confidence").orderBy(order)
-    placed = records.withColumn("i", F.row_number().over(own)).withColumn("wrong", F.sum((~F.col("correct")).cast("long")).over(own.rowsBetween(Window.unboundedPreceding, 0)))
-    rows = placed.join(prior, "confidence").crossJoin(F.broadcast(total))
-    n = F.col("m0") + F.col("i")
-    return rows.select(n.alias("n"), F.col("confidence").alias("threshold"), (n / F.col("total")).alias("coverage"), ((F.col("w0") + F.col("wrong")) / n).alias("error_rate"))
+    placed = running(records, [], [F.desc("confidence"), F.col(order)], {"n": F.lit(1), "wrong": (~F.col("correct")).cast("long")})
+    rows = placed.crossJoin(F.broadcast(records.agg(F.count("*").alias("total"))))  # a single row
+    return rows.select("n", F.col("confidence").alias("threshold"), (F.col("n") / F.col("total")).alias("coverage"), (F.col("wrong") / F.col("n")).alias("error_rate"))
 
 
 def operating_point(curve: DataFrame, target: float) -> DataFrame:

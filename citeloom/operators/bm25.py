@@ -13,6 +13,9 @@ from .ranking import top
 
 K1, B = 1.5, 0.75
 
+#: So many distinct terms of questions at most are sent to the scan as a filter.
+FEW_TERMS = 500
+
 
 def postings(docs: DataFrame, analyze=X.terms) -> DataFrame:
     """(pmid, term, tf) of docs(pmid, title, abstract)."""
@@ -38,7 +41,8 @@ def idf(df: Column, n_docs: Column) -> Column:
 class Index:
     """postings(pmid, term, tf, dl), terms(term, df, idf), and totals(n_docs, avgdl), which is one row.
 
-    Write them with ``save`` and read them with ``load`` to search many times; ``postings`` is then clustered by term.
+    Write them with ``save``, and search the index that it returns, or that ``load`` reads, as often as you like: ``postings`` is then
+    clustered by term, so that a few questions read a few row groups.
     """
 
     postings: DataFrame
@@ -47,18 +51,23 @@ class Index:
 
     @classmethod
     def build(cls, docs: DataFrame, analyze=X.terms) -> Index:
-        found = docs.select("pmid", analyze(X.chunk(F.col("title"), F.col("abstract"))).alias("ts"))
+        # Dealt by document, the texts move once and their terms are counted where they are; dl follows from pmid.
+        found = docs.select("pmid", "title", "abstract").repartition("pmid").select("pmid", analyze(X.chunk(F.col("title"), F.col("abstract"))).alias("ts"))
         sized = found.select("pmid", F.size("ts").cast("long").alias("dl"), "ts")
-        # dl follows from pmid, so it costs no further shuffle to carry it along
         post = sized.select("pmid", "dl", F.explode("ts").alias("term")).groupBy("pmid", "term", "dl").agg(F.count("*").alias("tf"))
         total = totals(sized.select("dl"))
         df = post.groupBy("term").agg(F.count("*").alias("df"))
         return cls(post, df.crossJoin(F.broadcast(total)).select("term", "df", idf(F.col("df"), F.col("n_docs")).alias("idf")), total)
 
-    def save(self, path: str) -> None:
+    def save(self, path: str) -> Index:
+        """Write the tables, each from those before it, and return the index that reads them."""
+        spark = self.totals.sparkSession
         self.postings.repartition("term").sortWithinPartitions("term").write.mode("overwrite").parquet(f"{path}/postings")
-        self.terms.write.mode("overwrite").parquet(f"{path}/terms")
         self.totals.write.mode("overwrite").parquet(f"{path}/totals")
+        post, total = (spark.read.parquet(f"{path}/{t}") for t in ("postings", "totals"))
+        df = post.groupBy("term").agg(F.count("*").alias("df")).crossJoin(F.broadcast(total))
+        df.select("term", "df", idf(F.col("df"), F.col("n_docs")).alias("idf")).write.mode("overwrite").parquet(f"{path}/terms")
+        return Index.load(spark, path)
 
     @classmethod
     def load(cls, spark, path: str) -> Index:
@@ -68,15 +77,15 @@ class Index:
 def scores(index: Index, queries: DataFrame, *, k1: float = K1, b: float = B, analyze=X.terms) -> DataFrame:
     """(query_id, pmid, score) of all documents that have a term of the question, over its distinct terms.
 
-    Postings are cut to the questions' terms before df and scores are computed; for a few questions that leaves little to shuffle.
+    Of a few questions (FEW_TERMS distinct terms at most) the terms are pushed down to the scan of the postings.
     """
     asked = queries.select("query_id", F.explode(F.array_distinct(analyze(F.col("question")))).alias("term"))
-    wanted = index.postings.join(asked.select("term").distinct(), "term", "left_semi")
-    df = wanted.groupBy("term").agg(F.count("*").alias("df"))
-    one = F.broadcast(index.totals)  # a single row
-    found = wanted.join(df, "term").join(asked, "term").crossJoin(one)
+    few = [r["term"] for r in asked.select("term").distinct().limit(FEW_TERMS + 1).collect()]
+    post = index.postings if len(few) > FEW_TERMS else index.postings.filter(F.col("term").isin(few))
+    weighed = asked.join(index.terms.select("term", "idf"), "term")
+    found = post.join(weighed, "term").crossJoin(F.broadcast(index.totals.select("avgdl")))  # a single row
     tf, norm = F.col("tf"), 1 - b + b * F.col("dl") / F.col("avgdl")
-    part = idf(F.col("df"), F.col("n_docs")) * tf * (k1 + 1) / (tf + k1 * norm)
+    part = F.col("idf") * tf * (k1 + 1) / (tf + k1 * norm)
     return found.groupBy("query_id", "pmid").agg(F.sum(part).alias("score"))
 
 

@@ -28,12 +28,14 @@ def deduplicate(rows: DataFrame, order: str = "seq") -> DataFrame:
     """
     left = rows.withColumn("_fp", X.title_fingerprint(F.col("title")))
     if left.count() == left.select("pmid").distinct().count():
-        n = F.row_number().over(Window.partitionBy("_fp").orderBy(order))
-        return left.withColumn("_n", n).filter("_n = 1").drop("_n", "_fp")
+        first = left.groupBy("_fp").agg(F.min(F.struct(order, "pmid")).alias("_m"))
+        return left.join(first, "_fp").filter(F.struct(order, "pmid") == F.col("_m")).drop("_m", "_fp").select(*rows.columns)
     kept = None
     while not left.isEmpty():
-        first = lambda key: F.min(order).over(Window.partitionBy(key))
-        winners = settled(left.withColumn("_a", first("pmid")).withColumn("_b", first("_fp")).filter((F.col(order) == F.col("_a")) & (F.col(order) == F.col("_b"))).drop("_a", "_b"))
+        # Minima are combined before they are dealt by key, so a very common key (the empty fingerprint) is no row count of one task.
+        first = lambda key, out: left.groupBy(key).agg(F.min(order).alias(out))
+        both = left.join(first("pmid", "_a"), "pmid").join(first("_fp", "_b"), "_fp")
+        winners = settled(both.filter((F.col(order) == F.col("_a")) & (F.col(order) == F.col("_b"))).select(*left.columns))
         kept = winners if kept is None else kept.unionByName(winners)
         left = settled(left.join(winners.select("pmid"), "pmid", "left_anti").join(winners.select("_fp"), "_fp", "left_anti"))
     return (left if kept is None else kept).drop("_fp")

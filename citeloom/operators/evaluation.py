@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .ranking import running
+
 STAGES = ("retrieval", "reranking", "generation", "verification")
 
 
@@ -81,9 +83,12 @@ def best_epoch(epochs: DataFrame) -> DataFrame:
 def latency(samples: DataFrame, quantiles=(0.5, 0.95)) -> DataFrame:
     """(stage, count, p50, p95) by the value at place min(n - 1, floor(q * n)).
 
-    Values are numbered by a window instead of being gathered, so that a stage may have any number of them.
+    Equal values are counted first, and numbered by ranges of (stage, ms), so that a stage may have any number of them.
     """
-    w = Window.partitionBy("stage")
-    n = samples.withColumn("i", F.row_number().over(w.orderBy("ms")) - 1).withColumn("n", F.count("*").over(w))
-    at = [F.max(F.when(F.col("i") == F.least(F.col("n") - 1, F.floor(F.lit(q) * F.col("n"))), F.col("ms"))).alias(f"p{round(q * 100)}") for q in quantiles]
-    return n.groupBy("stage").agg(F.count("*").alias("count"), *at)
+    counted = samples.groupBy("stage", "ms").agg(F.count("*").alias("m"))
+    upto = running(counted, ["stage"], [F.col("ms")], {"upto": F.col("m")})
+    total = samples.groupBy("stage").agg(F.count("*").alias("count"))
+    at = lambda q: F.least(F.col("count") - 1, F.floor(F.lit(q) * F.col("count")))
+    held = lambda q: F.max(F.when((F.col("upto") - F.col("m") <= at(q)) & (at(q) < F.col("upto")), F.col("ms")))
+    rows = upto.join(total, upto["stage"].eqNullSafe(total["stage"])).select(upto["stage"], "ms", "m", "upto", "count")
+    return rows.groupBy("stage", "count").agg(*[held(q).alias(f"p{round(q * 100)}") for q in quantiles])

@@ -7,6 +7,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .storage import settled
+
 
 def comparable(score: Column) -> Column:
     """Scores to nine places: sums in another order differ beyond them, and are ties."""
@@ -19,6 +21,26 @@ def top(scored: DataFrame, k: int, *, group: str = "query_id", item: str = "pmid
     return scored.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k)
 
 
+def running(rows: DataFrame, keys: list[str], order: list[Column], sums: dict[str, Column]) -> DataFrame:
+    """Adds running sums, the row's own value included, along ``order`` within each combination of ``keys``.
+
+    Rows are cut into ranges of (keys, order), which are stored; the ranges' sums, one row for each range and key, say where each begins, and
+    a window goes over one range at a time. So neither all rows nor those of a key meet in one task.
+    """
+    parts = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    ranged = settled(rows.repartitionByRange(parts, *keys, *order).withColumn("_range", F.spark_partition_id()))
+    names = {name: f"_{name}" for name in sums}
+    totals = ranged.groupBy(*keys, "_range").agg(*[F.sum(c).alias(names[n]) for n, c in sums.items()])
+    before = Window.partitionBy(*keys).orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
+    starts = totals.select(*[F.col(k).alias(f"_k{i}") for i, k in enumerate(keys)], F.col("_range").alias("_r"), *[F.coalesce(F.sum(v).over(before), F.lit(0)).alias(v) for v in names.values()])
+    so_far = Window.partitionBy(*keys, "_range").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
+    summed = ranged.select("*", *[F.sum(c).over(so_far).alias(n) for n, c in sums.items()])
+    same = F.col("_range") == F.col("_r")
+    for i, k in enumerate(keys):
+        same = same & F.col(k).eqNullSafe(F.col(f"_k{i}"))
+    return summed.join(starts, same).select(*rows.columns, *[(F.col(n) + F.col(v)).alias(n) for n, v in names.items()])
+
+
 def first_rows(rows: DataFrame, order: str, n: int | None) -> DataFrame:
     """The first ``n`` rows by ``order``; all without a cap."""
     return rows if n is None else rows.orderBy(order).limit(n)

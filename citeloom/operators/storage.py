@@ -1,18 +1,73 @@
-"""Cutting lineage in the shared folder."""
+"""Cutting lineage in the shared folder, and indexes that a session builds once."""
 
 from __future__ import annotations
 
+import atexit
+import shutil
 import tempfile
+import uuid
+from collections.abc import Callable
+from typing import TypeVar
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 
+T = TypeVar("T")
 
-def settled(df: DataFrame) -> DataFrame:
-    """``df`` computed and kept in the checkpoint folder, which ``spark.checkpoint.dir`` names.
+_fallback: list[str] = []
+_built: dict[tuple, object] = {}
 
-    Only a session without that setting (tests in one JVM) gets a temporary folder.
-    """
+
+def shared_dir(spark: SparkSession) -> str:
+    """The folder that driver and executors share, from ``spark.checkpoint.dir``; in one JVM without it, as in tests, a temporary folder."""
+    if path := spark.conf.get("spark.checkpoint.dir", None):
+        return path
+    if not spark.sparkContext.master.startswith("local"):
+        raise RuntimeError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+    if not _fallback:
+        _fallback.append(tempfile.mkdtemp(prefix="citeloom-"))
+        atexit.register(shutil.rmtree, _fallback[0], ignore_errors=True)
+    return _fallback[0]
+
+
+def settled(df: DataFrame) -> DataFrame:
+    """``df`` computed and kept in the shared folder."""
     spark = df.sparkSession
     if spark.sparkContext.getCheckpointDir() is None:
-        spark.sparkContext.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="citeloom-"))
+        spark.sparkContext.setCheckpointDir(shared_dir(spark))
     return df.checkpoint()
+
+
+def built_once(source: DataFrame, kind: str, build: Callable[[str], T]) -> T:
+    """What ``build(path)`` makes of ``source``, once in a Spark application for the same files; they are told by path, time and length.
+
+    ``path`` is a new folder in the shared one, which goes when the JVM ends.
+    """
+    spark = source.sparkSession
+    conf, fs_path = spark._jsc.hadoopConfiguration(), spark._jvm.org.apache.hadoop.fs.Path
+    files = []
+    for name in sorted(source.inputFiles()):
+        p = fs_path(name)
+        status = p.getFileSystem(conf).getFileStatus(p)
+        files.append((name, status.getModificationTime(), status.getLen()))
+    key = (spark.sparkContext.applicationId, kind, tuple(files))
+    if key not in _built:
+        where = f"{shared_dir(spark)}/citeloom/{kind}-{uuid.uuid4().hex}"
+        _built[key] = build(where)
+        p = fs_path(where)
+        p.getFileSystem(conf).deleteOnExit(p)
+    return _built[key]
+
+
+def replace(rows: DataFrame, path: str) -> None:
+    """Write ``rows`` beside ``path`` and put them in its place when they are whole; a failed job leaves what was there."""
+    spark = rows.sparkSession
+    conf, fs_path = spark._jsc.hadoopConfiguration(), spark._jvm.org.apache.hadoop.fs.Path
+    mark = uuid.uuid4().hex
+    place, new, old = fs_path(path), fs_path(f"{path}.new-{mark}"), fs_path(f"{path}.old-{mark}")
+    rows.write.parquet(str(new))
+    fs = place.getFileSystem(conf)
+    if fs.exists(place) and not fs.rename(place, old):
+        raise OSError(f"{path} can't be moved aside")
+    if not fs.rename(new, place):
+        raise OSError(f"{new} can't be moved to {path}")
+    fs.delete(old, True)

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from citeloom.functions import text as X
 from citeloom.operators import answers, bm25, corpus, evaluation, ranking, training, vectors, verification
+from citeloom.operators.storage import built_once
 from citeloom.sources import tables
 from citeloom.sources.tables import documents, questions, table
 
@@ -18,8 +19,14 @@ _P = with_parts
 _CELLS = 8
 
 
+def _index(s, d) -> bm25.Index:
+    """The index of `documents`, built and stored once in a session."""
+    docs = documents(s, d)
+    return built_once(docs, "bm25", lambda path: bm25.Index.build(docs).save(path))
+
+
 def _hits(s, d, k=10, **options) -> DataFrame:
-    return bm25.search(bm25.Index.build(documents(s, d)), questions(s, d), k, **options)
+    return bm25.search(_index(s, d), questions(s, d), k, **options)
 
 
 def _qrels(s, d) -> DataFrame:
@@ -37,7 +44,7 @@ def bm25_postings(s, d):
 
 @query(_P("docs post dls tot dfs") + "SELECT term, df, round(idf, 6) AS idf FROM dfs")
 def bm25_idf(s, d):
-    return bm25.Index.build(documents(s, d)).terms.select("term", "df", _r6("idf"))
+    return _index(s, d).terms.select("term", "df", _r6("idf"))
 
 
 @query(_P("docs dls tot") + "SELECT n_docs, round(avgdl, 6) AS avgdl FROM tot")
@@ -142,7 +149,8 @@ _LEX = f"lx AS (SELECT query_id, pmid, len(list_intersect(qa, da)) / len(qa) AS
 
 def _rescored(s, d, base: DataFrame) -> DataFrame:
     """Adds rerank_score to hits: the share of the question's content terms that the document has."""
-    docs = documents(s, d).select("pmid", X.content_terms(X.chunk(F.col("title"), F.col("abstract"))).alias("da"))
+    found = documents(s, d).join(base.select("pmid").distinct(), "pmid", "left_semi")
+    docs = found.select("pmid", X.content_terms(X.chunk(F.col("title"), F.col("abstract"))).alias("da"))
     asked = questions(s, d).select("query_id", X.content_terms(F.col("question")).alias("qa")).filter(F.size("qa") > 0)
     return base.join(docs, "pmid").join(asked, "query_id").withColumn("rerank_score", F.size(F.array_intersect("qa", "da")) / F.size("qa")).drop("qa", "da")
 
@@ -258,7 +266,7 @@ _OFF = "(VALUES ('off1', 'zzxqv wwkkj qqzzt'), ('off2', 'the of and'), ('off3',
 def ask_abstain(s, d):
     off = s.createDataFrame([("off1", "zzxqv wwkkj qqzzt"), ("off2", "the of and"), ("off3", "")], "query_id string, question string")
     docs = documents(s, d)
-    hits = bm25.search(bm25.Index.build(docs), off, 10)
+    hits = bm25.search(_index(s, d), off, 10)
     return answers.abstained(off, answers.extract(off, hits, docs), hits).select("query_id", F.array_join("nearest", ",").alias("nearest"))
 
 

@@ -59,7 +59,7 @@ def lang_filter(s, d):
 
 @query(_P("docs") + "SELECT pmid FROM docs WHERE pmid <> '' AND title <> '' AND abstract <> '' AND lang = 'en' AND contains(text, chr(10))")
 def valid_filter(s, d):
-    rows = documents(s, d).filter("pmid <> '' AND title <> '' AND abstract <> '' AND title <> abstract")
+    rows = documents(s, d, F.contains("text", F.lit("\n"))).filter("pmid <> '' AND title <> '' AND abstract <> ''")
     return rows.filter(X.is_language(F.array_compact(F.array("lang")), "en")).select("pmid")
 
 

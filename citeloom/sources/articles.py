@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from citeloom.functions import text as X
-from citeloom.operators.storage import settled
+from citeloom.operators.storage import replace, settled
 
 SCHEMA = "pmid string, title string, abstract string, year int, journal string, mesh_terms array<string>"
 RAW = "file_seq int, at long, pmid string, title string, sections array<string>, year_text string, medline string, journal string, languages array<string>, headings array<string>"
@@ -51,14 +51,23 @@ def read_articles(content: bytes) -> Iterator[tuple]:
 
 
 def raw_articles(spark: SparkSession, paths: list[str]) -> DataFrame:
-    """Raw articles of files and folders; folders give their own ``.xml`` and ``.xml.gz`` files, by name. Read through Spark, so any store it knows will do."""
-    files = None
+    """Raw articles of files and folders; folders give their own ``.xml`` and ``.xml.gz`` files, by name, and files are taken whatever their names.
+
+    Read through Spark, so any store it knows will do. ValueError where no file is found.
+    """
+    conf, fs_path = spark._jsc.hadoopConfiguration(), spark._jvm.org.apache.hadoop.fs.Path
+    files, any_file = None, False
     for i, p in enumerate(paths):
+        where = fs_path(p)
+        fs = where.getFileSystem(conf)
+        folder = fs.exists(where) and fs.getFileStatus(where).isDirectory()
+        any_file = any_file or not folder or any(_FILE.search(f.getPath().getName()) for f in fs.listStatus(where))
         part = spark.read.format("binaryFile").load(p).select(F.lit(i).alias("given"), "path", "content")
+        part = part.filter(F.col("path").rlike(_FILE.pattern)) if folder else part
         files = part if files is None else files.unionByName(part)
-    if files is None:
-        raise ValueError("no input files")
-    return parsed(files.filter(F.col("path").rlike(_FILE.pattern)))
+    if not any_file:
+        raise ValueError("no article files among the inputs")
+    return parsed(files)
 
 
 def parsed(files: DataFrame) -> DataFrame:
@@ -107,5 +116,5 @@ def ingest(spark: SparkSession, paths: list[str], store: str, *, domain_filter:
         old = settled(spark.read.parquet(store).withColumn("seq", F.lit(0)))
     except AnalysisException:
         old = new.limit(0)
-    upsert(old, new).drop("seq").write.mode("overwrite").parquet(store)
+    replace(upsert(old, new).drop("seq"), store)
     return {"parsed": found.count(), "unique": unique.count(), "in_domain": kept.count(), "stored": kept.count()}

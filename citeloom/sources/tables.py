@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -22,10 +22,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+def documents(spark: SparkSession, sf_dir: str, only: Column | None = None) -> DataFrame:
     """(pmid, title, abstract, lang, journal, seq): the first line is the title, the rest, or the whole of a single line, the abstract."""
     text = F.col("text")
-    return table(spark, sf_dir, "documents").select(
+    rows = table(spark, sf_dir, "documents")
+    return (rows if only is None else rows.filter(only)).select(
         F.col("doc_id").cast("string").alias("pmid"),
         F.substring_index(text, "\n", 1).alias("title"),
         F.when(F.instr(text, "\n") > 0, F.expr("substring(text, instr(text, '\n') + 1)")).otherwise(text).alias("abstract"),
