@@ -10,21 +10,23 @@ from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from citeloom.operators import answers, bm25, corpus, evaluation, ranking, vectors
+from citeloom.operators import answers, bm25, corpus, evaluation, retrievers
 from citeloom.sources import articles, files
 
 
-def retrieve(kind: str, docs: DataFrame, queries: DataFrame, k: int, *, k1: float = bm25.K1, b: float = bm25.B) -> DataFrame:
-    """(query_id, rank, pmid, score) by 'bm25', 'dense' (hashed terms) or 'hybrid' (both, fused)."""
-    if kind == "dense":
-        chunks = docs.select("pmid", F.concat_ws("\n\n", "title", "abstract").alias("text"))
-        asked = vectors.embed(queries.select(F.col("query_id").alias("pmid"), F.col("question").alias("text"))).select(F.col("pmid").alias("query_id"), "vector")
-        return vectors.block_top(asked, vectors.embed(chunks), k)
-    if kind == "hybrid":
-        return ranking.reciprocal_rank_fusion([retrieve(x, docs, queries, 100, k1=k1, b=b) for x in ("bm25", "dense")], k)
-    if kind != "bm25":
-        raise ValueError(f"unknown retriever {kind}")
-    return bm25.search(bm25.Index.build(docs), queries, k, k1=k1, b=b)
+def _retriever_options(p: argparse.ArgumentParser) -> None:
+    p.add_argument("--retriever", default="bm25", choices=retrievers.KINDS)
+    p.add_argument("--index", help="folder of saved indexes; they are made there if absent")
+    p.add_argument("--ann", default="exact", choices=retrievers.ANN_KINDS)
+    p.add_argument("--probes", type=int, default=8)
+    p.add_argument("--rerank", action="store_true")
+    p.add_argument("--rerank-weight", type=float, default=0.0)
+    p.add_argument("--k1", type=float, default=bm25.K1)
+    p.add_argument("--b", type=float, default=bm25.B)
+
+
+def _retriever(args: argparse.Namespace, docs: DataFrame) -> retrievers.Retriever:
+    return retrievers.build(args.retriever, docs, index=args.index, ann=args.ann, probes=args.probes, rerank=args.rerank, weight=args.rerank_weight, k1=args.k1, b=args.b)
 
 
 def main(argv: list[str] | None = None, spark: SparkSession | None = None) -> int:
@@ -37,15 +39,15 @@ def main(argv: list[str] | None = None, spark: SparkSession | None = None) -> in
     p = commands.add_parser("ask", help="answer a question with cited sentences, or abstain")
     p.add_argument("question")
     p.add_argument("--store", required=True)
-    p.add_argument("--retriever", default="bm25", choices=("bm25", "dense", "hybrid"))
+    _retriever_options(p)
     p.add_argument("--passages", type=int, default=5)
     p.add_argument("--sentences", type=int, default=3)
     p = commands.add_parser("evaluate", help="metrics of a retriever on an evaluation set")
     p.add_argument("split")
     p.add_argument("--store", required=True)
-    p.add_argument("--retriever", default="bm25", choices=("bm25", "dense", "hybrid"))
-    p.add_argument("--k1", type=float, default=bm25.K1)
-    p.add_argument("--b", type=float, default=bm25.B)
+    _retriever_options(p)
+    p.add_argument("--checksums", help="JSON of SHA-256 by file name; another evaluation set than the frozen one is refused")
+    p.add_argument("--out", help="file for the metrics")
     p = commands.add_parser("report", help="statistics of a store")
     p.add_argument("--store", required=True)
     args = parser.parse_args(argv)
@@ -67,7 +69,7 @@ def main(argv: list[str] | None = None, spark: SparkSession | None = None) -> in
         print(corpus.report(docs), end="")
     elif args.command == "ask":
         asked = spark.createDataFrame([("q", args.question)], "query_id string, question string")
-        hits = retrieve(args.retriever, docs, asked, args.passages)
+        hits = _retriever(args, docs).search(asked, args.passages)
         found = answers.extract(asked, hits, docs, passages=args.passages, sentences=args.sentences)
         said = answers.render(found).first()
         if said is None:
@@ -77,10 +79,17 @@ def main(argv: list[str] | None = None, spark: SparkSession | None = None) -> in
             names = answers.sources(found).first()["passages"]
             print("GROUNDED\n" + said["text"] + "".join(f"\n[{i}] {p}" for i, p in enumerate(names, 1)))
     else:
-        queries = files.eval_set(spark, args.split)
+        try:
+            queries = files.frozen_eval_set(spark, args.split, args.checksums) if args.checksums else files.eval_set(spark, args.split)
+        except ValueError as e:
+            print(e, file=sys.stderr)
+            return 1
         qrels = queries.select("query_id", F.explode("relevant_pmids").alias("pmid"))
-        hits = retrieve(args.retriever, docs, queries.select("query_id", "question"), 100, k1=args.k1, b=args.b)
-        print(json.dumps(evaluation.metrics(hits, qrels).first().asDict(), sort_keys=True))
+        hits = _retriever(args, docs).search(queries.select("query_id", "question"), 100)
+        found = evaluation.metrics(hits, qrels).first().asDict()
+        if args.out:
+            files.write_json(spark, found, args.out)
+        print(json.dumps(found, sort_keys=True))
     return 0
 
 

@@ -59,6 +59,17 @@ def payload(queries: DataFrame, answers: DataFrame) -> DataFrame:
     return rows.select("query_id", F.to_json(F.struct("question", F.col("sentences").isNull().alias("abstained"), "sentences")).alias("json"))
 
 
+def restated(queries: DataFrame, hits: DataFrame) -> DataFrame:
+    """(query_id, text, passages): a template in a generator's place, which states each sentence of the question and cites the first document for it.
+
+    Whether that document bears it out is for the verifier to say. A question without hits has no row.
+    """
+    end = lambda s: F.coalesce(F.nullif(F.regexp_extract(s, r"([.!?]+)$", 1), F.lit("")), F.lit("."))
+    cited = F.transform(X.sentences(F.col("question")), lambda s: F.concat(F.regexp_replace(s, r"[.!?]+$", ""), F.lit(" [1]"), end(s)))
+    first = hits.filter("rank = 1").select("query_id", F.array("pmid").alias("passages"))
+    return queries.select("query_id", F.array_join(cited, " ").alias("text")).join(first, "query_id")
+
+
 def confidence(queries: DataFrame, hits: DataFrame, *, margin_k: int = 5) -> DataFrame:
     """(query_id, top_score, margin): the first score, and what it is above that of the last of the first ``margin_k``; 0 without hits."""
     top = hits.filter(F.col("rank") <= margin_k).groupBy("query_id").agg(F.min_by("score", "rank").alias("first"), F.max_by("score", "rank").alias("last"))

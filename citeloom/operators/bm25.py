@@ -13,6 +13,9 @@ from .ranking import top
 
 K1, B = 1.5, 0.75
 
+#: Format of a saved index.
+FORMAT_VERSION = 1
+
 #: So many distinct terms of questions at most are sent to the scan as a filter.
 FEW_TERMS = 500
 
@@ -67,10 +70,15 @@ class Index:
         post, total = (spark.read.parquet(f"{path}/{t}") for t in ("postings", "totals"))
         df = post.groupBy("term").agg(F.count("*").alias("df")).crossJoin(F.broadcast(total))
         df.select("term", "df", idf(F.col("df"), F.col("n_docs")).alias("idf")).write.mode("overwrite").parquet(f"{path}/terms")
+        spark.range(1).select(F.lit(FORMAT_VERSION).alias("version")).write.mode("overwrite").parquet(f"{path}/format")
         return Index.load(spark, path)
 
     @classmethod
     def load(cls, spark, path: str) -> Index:
+        """The saved index; ValueError if it was written in another format."""
+        version = spark.read.parquet(f"{path}/format").first()["version"]
+        if version != FORMAT_VERSION:
+            raise ValueError(f"{path} has format {version}, not {FORMAT_VERSION}; build the index anew")
         return cls(*(spark.read.parquet(f"{path}/{t}") for t in ("postings", "terms", "totals")))
 
 

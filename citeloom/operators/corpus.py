@@ -64,12 +64,20 @@ def top_journals(docs: DataFrame, n: int) -> DataFrame:
     return counted.orderBy(F.desc("n"), "first").limit(n).select("journal", "n")
 
 
-def report(docs: DataFrame, title: str = "Corpus") -> str:
-    """Markdown of the statistics, whose tables are small."""
+def report(docs: DataFrame, title: str = "Corpus", *, journals: int = 10) -> str:
+    """Markdown of the statistics, whose tables are small: counts, topics, years (unknown ones last) and the journals of most documents."""
     words = word_stats(docs).first()
-    years = year_histogram(docs).orderBy(F.asc_nulls_last("year")).collect()
-    rows = [f"# {title}", "", f"- documents: {words['n_docs']}", f"- words: {words['total_words']}", f"- mean words: {words['mean_words']:.1f}", "", "| year | documents |", "|---|---|"]
-    return "\n".join(rows + [f"| {'unknown' if r['year'] is None else r['year']} | {r['n']} |" for r in years]) + "\n"
+    out = [f"# {title}", "", f"- documents: {words['n_docs']}", f"- words: {words['total_words']}", f"- mean words: {words['mean_words']:.1f}"]
+
+    def section(heads: tuple[str, str], rows: list[tuple]) -> None:
+        out.extend(["", f"| {heads[0]} | {heads[1]} |", "|---|---|", *[f"| {a} | {n} |" for a, n in rows]])
+
+    if "mesh_terms" in docs.columns:
+        topics = scope_counts(docs, X.domains(F.col("mesh_terms")), list(X.DOMAIN_KEYWORDS))
+        section(("domain", "documents"), [(r["domain"], r["n"]) for r in topics.orderBy(F.col("domain") == OUT_OF_SCOPE, "domain").collect()])
+    section(("year", "documents"), [("unknown" if r["year"] is None else r["year"], r["n"]) for r in year_histogram(docs).orderBy(F.asc_nulls_last("year")).collect()])
+    section(("journal", "documents"), [(r["journal"], r["n"]) for r in top_journals(docs, journals).collect()])
+    return "\n".join(out) + "\n"
 
 
 def split(rows: DataFrame, salt: str, dev_percent: int = 50, key: str = "query_id") -> DataFrame:

@@ -2,7 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+import time
+from collections.abc import Iterator
+from contextlib import contextmanager
+
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .ranking import running
@@ -80,6 +84,24 @@ def best_epoch(epochs: DataFrame) -> DataFrame:
     return epochs.groupBy("group").agg(F.max_by(F.struct("epoch", "accuracy"), F.struct("accuracy", -F.col("epoch"))).alias("b")).select("group", "b.epoch", "b.accuracy")
 
 
+class StageTimer:
+    """Wall-clock milliseconds of named stages on the driver, as samples(stage, ms) for ``latency``."""
+
+    def __init__(self) -> None:
+        self.samples: list[tuple[str, float]] = []
+
+    @contextmanager
+    def stage(self, name: str) -> Iterator[None]:
+        began = time.perf_counter()
+        try:
+            yield
+        finally:
+            self.samples.append((name, (time.perf_counter() - began) * 1000))
+
+    def table(self, spark: SparkSession) -> DataFrame:
+        return spark.createDataFrame(self.samples, "stage string, ms double")
+
+
 def latency(samples: DataFrame, quantiles=(0.5, 0.95)) -> DataFrame:
     """(stage, count, p50, p95) by the value at place min(n - 1, floor(q * n)).
 

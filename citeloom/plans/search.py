@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from citeloom.functions import text as X
-from citeloom.operators import answers, bm25, corpus, evaluation, ranking, training, vectors, verification
+from citeloom.operators import answers, bm25, corpus, evaluation, ranking, retrievers, training, vectors, verification
 from citeloom.operators.storage import built_once
 from citeloom.sources import tables
 from citeloom.sources.tables import documents, questions, table
@@ -148,11 +148,7 @@ _LEX = f"lx AS (SELECT query_id, pmid, len(list_intersect(qa, da)) / len(qa) AS
 
 
 def _rescored(s, d, base: DataFrame) -> DataFrame:
-    """Adds rerank_score to hits: the share of the question's content terms that the document has."""
-    found = documents(s, d).join(base.select("pmid").distinct(), "pmid", "left_semi")
-    docs = found.select("pmid", X.content_terms(X.chunk(F.col("title"), F.col("abstract"))).alias("da"))
-    asked = questions(s, d).select("query_id", X.content_terms(F.col("question")).alias("qa")).filter(F.size("qa") > 0)
-    return base.join(docs, "pmid").join(asked, "query_id").withColumn("rerank_score", F.size(F.array_intersect("qa", "da")) / F.size("qa")).drop("qa", "da")
+    return retrievers.overlap(base, documents(s, d), questions(s, d))
 
 
 @query(
@@ -305,13 +301,13 @@ def operating_point(s, d):
 
 # Rendering puts the marker before the last punctuation; the verifier cuts after it.
 _LINE = "regexp_replace(sentence, '[.!?]+$', '') || ' [' || source || ']' || coalesce(nullif(regexp_extract(sentence, '([.!?]+)$', 1), ''), '.')"
-_VER = f"""tx AS (SELECT query_id, string_agg({_LINE}, ' ' ORDER BY n) AS text FROM ans GROUP BY query_id),
-    ps AS (SELECT query_id, list(pmid ORDER BY source) AS passages FROM (SELECT DISTINCT query_id, source, pmid FROM ans) GROUP BY query_id),
-    vs AS (SELECT query_id, ss[k] AS sentence, passages, TRY_CAST(nullif(regexp_extract(ss[k], '\\[(\\d+)\\]', 1), '') AS INTEGER) AS n FROM (SELECT query_id, passages, {sentences_sql('text')} AS ss FROM tx JOIN ps USING (query_id)), range(1, 1000) t(k) WHERE k <= len(ss)),
+_CHECK = f"""vs AS (SELECT query_id, ss[k] AS sentence, passages, TRY_CAST(nullif(regexp_extract(ss[k], '\\[(\\d+)\\]', 1), '') AS INTEGER) AS n FROM (SELECT query_id, passages, {sentences_sql('text')} AS ss FROM tx JOIN ps USING (query_id)), range(1, 1000) t(k) WHERE k <= len(ss)),
     vc AS (SELECT *, CASE WHEN n BETWEEN 1 AND len(passages) THEN passages[n] END AS cited, {content_sql("regexp_replace(sentence, '\\s*\\[\\d+\\]', '', 'g')")} AS said FROM vs),
     vl AS (SELECT vc.*, CASE WHEN docs.pmid IS NULL THEN NULL WHEN len(list_intersect(said, {content_sql('title || chr(10) || chr(10) || abstract')})) >= 0.8 * len(said) THEN 0 ELSE 1 END AS label FROM vc LEFT JOIN docs ON docs.pmid = vc.cited),
     rp AS (SELECT query_id, count(*) AS n, coalesce(count(*) FILTER (label = 0) / nullif(count(label), 0), 0) AS precision, count(cited) / count(*) AS recall, (count(*) - count(*) FILTER (label = 0)) / count(*) AS hallucination, count(*) FILTER (label = 0) = count(*) AS grounded FROM vl GROUP BY query_id)"""
-_VERIFIED = _P(BM25_PARTS, bm25_sql(10), _ASK, _VER)
+_VER = f"""tx AS (SELECT query_id, string_agg({_LINE}, ' ' ORDER BY n) AS text FROM ans GROUP BY query_id),
+    ps AS (SELECT query_id, list(pmid ORDER BY source) AS passages FROM (SELECT DISTINCT query_id, source, pmid FROM ans) GROUP BY query_id)"""
+_VERIFIED = _P(BM25_PARTS, bm25_sql(10), _ASK, _VER, _CHECK)
 
 
 def _verified(s, d) -> tuple[DataFrame, DataFrame]:
@@ -376,3 +372,39 @@ def xml_parse(s, d):
     xml = F.concat(F.lit("<PubmedArticleSet><PubmedArticle><MedlineCitation><PMID>"), F.col("page_id").cast("string"), F.lit("</PMID><Article><ArticleTitle>Page <i>"), F.col("page_id").cast("string"), F.lit("</i></ArticleTitle><Abstract><AbstractText>"), escaped, F.lit("</AbstractText></Abstract><Language>eng</Language></Article></MedlineCitation></PubmedArticle></PubmedArticleSet>"))
     files = table(s, d, "pages").select(F.lit(0).alias("given"), F.col("page_id").cast("string").alias("path"), xml.cast("binary").alias("content"))
     return articles.articles(articles.parsed(files)).select("pmid", "title", F.length("abstract").cast("long").alias("n"))
+
+
+@query(_P(BM25_PARTS, bm25_sql(100), _LEX) + ", ra AS (SELECT query_id, pmid, score, row_number() OVER (PARTITION BY query_id ORDER BY round(lx.score, 9) DESC, hits.rank, pmid) AS rank FROM lx JOIN hits USING (query_id, pmid)) SELECT query_id, rank, pmid, round(score, 6) AS score FROM ra WHERE rank <= 10".replace("SELECT query_id, pmid, score, row", "SELECT query_id, pmid, lx.score AS score, row"))
+def retriever_reranked(s, d):
+    """The factory's BM25 retriever over the stored index, with reranking."""
+    found = retrievers.Reranked(retrievers.Lexical(_index(s, d)), documents(s, d)).search(questions(s, d), 10)
+    return found.select("query_id", F.col("rank").cast("long").alias("rank"), "pmid", _r6("score"))
+
+
+@query(_P("vecs", _VQ, _DENSE) + "SELECT query_id, rank, pmid, round(score, 6) AS score FROM dense")
+def vector_index_exact(s, d):
+    found = retrievers.vector_index("exact", tables.vectors(s, d).select("pmid", "vector")).search(_queries(s, d), 10)
+    return found.select("query_id", F.col("rank").cast("long").alias("rank"), "pmid", _r6("score"))
+
+
+_SHIFTED = "shifted AS (SELECT CAST(CAST(query_id AS BIGINT) + 1 AS VARCHAR) AS query_id, pmid FROM qrels)"
+
+
+@query(_P(BM25_PARTS + " qrels", bm25_sql(5), _SHIFTED) + "SELECT query_id, count(*) AS n_relevant FROM shifted q WHERE NOT EXISTS (SELECT 1 FROM hits h JOIN shifted r USING (query_id, pmid) WHERE h.query_id = q.query_id) GROUP BY query_id")
+def misses_shifted(s, d):
+    """Misses where each question is judged by the documents of the one before it, so that most are missed."""
+    judged = _qrels(s, d).select((F.col("query_id").cast("long") + 1).cast("string").alias("query_id"), "pmid")
+    return evaluation.misses(_hits(s, d, 5), judged, 5)
+
+
+_TEMPLATE = f"""tx AS (SELECT query_id, array_to_string(list_transform({sentences_sql('question')}, lambda sentence: regexp_replace(sentence, '[.!?]+$', '') || ' [1]' || coalesce(nullif(regexp_extract(sentence, '([.!?]+)$', 1), ''), '.')), ' ') AS text FROM bench JOIN hits USING (query_id) WHERE rank = 1),
+    ps AS (SELECT query_id, [pmid] AS passages FROM hits WHERE rank = 1), ex AS (SELECT query_id, string_agg({_LINE}, ' ' ORDER BY n) AS text FROM ans GROUP BY query_id)"""
+
+
+@query(_P(BM25_PARTS, bm25_sql(10), _ASK, _TEMPLATE, _CHECK) + "SELECT query_id, CASE WHEN grounded THEN 'grounded' WHEN ex.text IS NOT NULL THEN 'extractive' ELSE 'abstain' END AS confidence, md5(CASE WHEN grounded THEN tx.text ELSE ex.text END) AS text_md5 FROM bench LEFT JOIN rp USING (query_id) LEFT JOIN tx USING (query_id) LEFT JOIN ex USING (query_id)")
+def ladder_template(s, d):
+    """The ladder whose first rung, a template's answer, differs from the extractive one below it."""
+    made = answers.restated(questions(s, d), _hits(s, d))
+    reports = verification.report(made, verification.verdicts(made, documents(s, d)))
+    extracted = answers.render(_answers(s, d))
+    return verification.ladder(questions(s, d), made, reports, extracted).select("query_id", "confidence", F.md5("text").alias("text_md5"))

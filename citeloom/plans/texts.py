@@ -137,6 +137,19 @@ def dedup_greedy(s, d):
     return corpus.deduplicate(documents(s, d)).select("pmid", "title")
 
 
+_TWO_KEYS = """WITH RECURSIVE r AS (SELECT row_number() OVER (ORDER BY doc_id) AS i, doc_id AS seq, CAST(doc_id % 397 AS VARCHAR) AS pmid, trim(regexp_replace(lower(split_part(text, chr(10), 1)), '[^a-z0-9]+', ' ', 'g')) AS fp FROM documents),
+    g AS (SELECT CAST(0 AS BIGINT) AS i, CAST([] AS VARCHAR[]) AS ps, CAST([] AS VARCHAR[]) AS fs, CAST(NULL AS BIGINT) AS seq, CAST(NULL AS VARCHAR) AS pmid
+    UNION ALL SELECT r.i, CASE WHEN ok THEN list_append(ps, r.pmid) ELSE ps END, CASE WHEN ok THEN list_append(fs, fp) ELSE fs END, CASE WHEN ok THEN r.seq END, r.pmid
+    FROM (SELECT g.ps, g.fs, r.*, NOT list_contains(g.ps, r.pmid) AND NOT list_contains(g.fs, r.fp) AS ok FROM g JOIN r ON r.i = g.i + 1) r)
+    SELECT pmid, seq FROM g WHERE seq IS NOT NULL"""
+
+
+@query(_TWO_KEYS)
+def dedup_two_keys(s, d):
+    """Greedy de-duplication where both keys collide: rows go round by round, and by recursion, one after another, in the SQL."""
+    return corpus.deduplicate(documents(s, d).withColumn("pmid", (F.col("seq") % 397).cast("string"))).select("pmid", "seq")
+
+
 _DOMAINS = "p AS (SELECT p_partkey, string_split(lower(p_name), ' ') AS hs FROM part), f AS (SELECT p_partkey, list_filter([" + ", ".join(f"CASE WHEN len(list_filter(hs, lambda h: regexp_matches(h, '{'|'.join(ws)}'))) > 0 THEN '{n}' END" for n, ws in sorted(COLOURS.items())) + "], lambda x: x IS NOT NULL) AS ds FROM p)"
 
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import hashlib
 import json
 from collections.abc import Sequence
 
@@ -69,6 +70,28 @@ def canonical(name: str, queries: DataFrame) -> str:
     return json.dumps({"name": name, "queries": rows}, indent=2, sort_keys=True, ensure_ascii=False) + "\n"
 
 
+def frozen_eval_set(spark: SparkSession, path: str, sums: str) -> DataFrame:
+    """The evaluation set of ``path``, whose canonical JSON must have the SHA-256 that the JSON object of ``sums`` gives for its file's name; else ValueError."""
+    name = spark.read.json(path, schema=EVAL_SET, multiLine=True).first()["name"]
+    queries = eval_set(spark, path)
+    expected = json.loads(spark.read.text(sums, wholetext=True).first()["value"])
+    found = hashlib.sha256(canonical(name, queries).encode()).hexdigest()
+    file = path.rstrip("/").rsplit("/", 1)[-1]
+    if expected.get(file, expected.get(name)) != found:
+        raise ValueError(f"{file} isn't the frozen evaluation set: its checksum is {found}")
+    return queries
+
+
+def write_json(spark: SparkSession, value: object, path: str) -> None:
+    """``value`` as JSON of sorted keys in one file of any store that Spark knows."""
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    out = place.getFileSystem(spark._jsc.hadoopConfiguration()).create(place, True)
+    try:
+        out.write(bytearray((json.dumps(value, indent=2, sort_keys=True) + "\n").encode()))
+    finally:
+        out.close()
+
+
 def writable_pairs(rows: DataFrame) -> DataFrame:
     """Lines of pairs(anchor, positive) without tabs or line ends in either."""
     return rows.filter(~F.col("anchor").rlike("[\t\r\n]") & ~F.col("positive").rlike("[\t\r\n]")).select(F.concat_ws("\t", "anchor", "positive").alias("value"))

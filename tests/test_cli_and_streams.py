@@ -1,6 +1,11 @@
 import json
 
+import pytest
+
 from citeloom.cli import main
+from citeloom.operators import bm25, evaluation, retrievers
+from citeloom.sources.store import DocumentStore
+from citeloom.sources.tables import DOCUMENT
 from citeloom.streaming.ingest import read_store, stream_upserts, windowed_latency
 from tests.operators.test_corpus import XML, article
 
@@ -20,7 +25,53 @@ def test_commands(spark, tmp_path, capsys):
     (tmp_path / "s.json").write_text(json.dumps({"name": "s", "queries": [{"query_id": "1", "question": "granite", "relevant_pmids": ["11"]}]}))
     assert main(["evaluate", str(tmp_path / "s.json"), "--store", store], spark) == 0
     assert json.loads(capsys.readouterr().out)["mrr"] == 1
-    assert main(["report", "--store", store], spark) == 0 and "| 2001 | 2 |" in capsys.readouterr().out
+    assert main(["report", "--store", store], spark) == 0
+    out = capsys.readouterr().out
+    assert "| 2001 | 2 |" in out and "| out_of_scope |" in out and "| journal | documents |" in out
+
+
+def test_saved_indexes_checksums_and_metrics(spark, tmp_path, capsys):
+    (tmp_path / "odd.name").write_text(XML.format("".join(article(i, f"Title {i}", (f"Granite number{i} is hard.",)) for i in range(12))))
+    store, index = str(tmp_path / "store"), str(tmp_path / "index")
+    (tmp_path / "empty").mkdir()
+    assert main(["ingest", str(tmp_path / "empty"), "--store", store], spark) == 1
+    assert main(["ingest", str(tmp_path / "odd.name"), "--store", store, "--no-domain-filter"], spark) == 0
+    (tmp_path / "s.json").write_text(json.dumps({"name": "s", "queries": [{"query_id": "1", "question": "number7 granite", "relevant_pmids": ["7"]}]}))
+    sums = tmp_path / "sums.json"
+    sums.write_text(json.dumps({"s.json": "0" * 64}))
+    args = ["evaluate", str(tmp_path / "s.json"), "--store", store, "--index", index, "--checksums", str(sums), "--out", str(tmp_path / "m.json")]
+    assert main(args, spark) == 1
+    said = capsys.readouterr()
+    sums.write_text(json.dumps({"s.json": said.err.strip().rsplit(" ", 1)[1]}))
+    for extra in ([], ["--rerank"], ["--retriever", "hybrid", "--ann", "ivf"], ["--retriever", "dense", "--ann", "hnsw"]):
+        assert main([*args, *extra], spark) == 0
+        assert json.loads(capsys.readouterr().out)["mrr"] == json.loads((tmp_path / "m.json").read_text())["mrr"] == 1
+    assert (tmp_path / "index" / "bm25" / "terms").exists() and (tmp_path / "index" / "ivf" / "centroids").exists()
+    spark.range(1).selectExpr("99 AS version").write.mode("overwrite").parquet(f"{index}/bm25/format")
+    with pytest.raises(ValueError, match="format 99"):
+        bm25.Index.load(spark, f"{index}/bm25")
+    with pytest.raises(ValueError, match="unknown retriever"):
+        retrievers.build("sparse", spark.read.parquet(store))
+
+
+def test_document_store(spark, tmp_path):
+    store = DocumentStore(spark, str(tmp_path / "docs"))
+    row = lambda i, title: (i, title, "a", 2001, None, [])
+    assert store.count() == 0 and not store.contains("1")
+    assert store.add(spark.createDataFrame([row("1", "x"), row("2", "y")], DOCUMENT)) == 2
+    for _ in range(2):
+        assert store.add(spark.createDataFrame([row("2", "z"), row("0", "w")], DOCUMENT)) == 3
+    assert [(r.pmid, r.title) for r in store.scan().collect()] == [("0", "w"), ("1", "x"), ("2", "z")]
+    assert store.contains("2") and [r.title for r in store.get(["2", "9"]).collect()] == ["z"]
+
+
+def test_stage_timer(spark):
+    timer = evaluation.StageTimer()
+    for _ in range(3):
+        with timer.stage("a"):
+            pass
+    (row,) = evaluation.latency(timer.table(spark)).collect()
+    assert row["stage"] == "a" and row["count"] == 3 and row["p50"] >= 0
 
 
 def test_stream_upserts_and_windows(spark, tmp_path):
