@@ -28,7 +28,8 @@ _PART_ROWS = 200_000
 #: Stands before and after each text; no UTF-8 text has it.
 EDGE = 0xFF
 
-_SLICE_BYTES = 2_000_000
+#: Bytes of text in a chunk, and of those that are scored at a time.
+_CHUNK_BYTES, _SLICE_BYTES = 12_000_000, 1_000_000
 
 
 def _lower_words(body: bytes) -> list[bytes]:
@@ -222,7 +223,7 @@ def ppm_scores(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text
         return _lower_words(body) + [_CODE + raw[i : i + 4] for i in range(0, len(raw), 4)]
 
     is_code = F.expr("substring(word, 1, 1)") == F.lit(bytearray(_CODE))
-    entries = stash(dictionaries(source, split).select("chunk", "idx", "word", "n_train"), "entries")
+    entries = stash(dictionaries(source, split, chunk_bytes=_CHUNK_BYTES).select("chunk", "idx", "word", "n_train"), "entries")
     by_word = Window.partitionBy("word")
     known = stash(
         entries.filter(~is_code).select("chunk", "idx", F.sum("n_train").over(by_word).alias("c"), (F.row_number().over(by_word.orderBy("chunk", "idx")) == 1).alias("first")),
@@ -257,4 +258,4 @@ def ppm_scores(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text
     coded = entries.filter(is_code)
     logs = coded.join(code_logs(coded, counted, trie, hot), "word").select("chunk", "idx", "value")
     found = known.select("chunk", "idx", F.col("c").cast("double").alias("value")).unionByName(logs)
-    return rejoin(positions(source, split, extra), found, assemble, schema)
+    return rejoin(positions(source, split, extra, chunk_bytes=_CHUNK_BYTES), found, assemble, schema)

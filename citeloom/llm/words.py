@@ -101,6 +101,7 @@ def dictionaries(docs: DataFrame, split: Splitter, *, chunk_bytes: int = CHUNK_B
             else:
                 n_train = np.zeros(size, np.int64)
             words = pa.array([w if isinstance(w, bytes) else w.encode() for w in index], pa.binary())
+            del index, positions  # before the next chunk is read
             for at in range(0, size, 50_000):
                 k = min(50_000, size - at)
                 yield pa.record_batch(
@@ -122,7 +123,9 @@ def positions(docs: DataFrame, split: Splitter, extra: Callable[[pa.RecordBatch]
         for ordinal, batch in enumerate(slices(batches, "body", chunk_bytes)):
             chunk, index, counts, where = _read(batch, ordinal, split)
             meta = {"doc_id": batch.column("doc_id").to_pylist(), "n_words": counts.tolist()} | (extra(batch) if extra else {})
-            yield pa.record_batch([pa.array([chunk], pa.int64()), pa.array([len(index)], pa.int32()), pa.array([json.dumps(meta)]), pa.array([pack(where)], pa.binary())], names=["chunk", "size", "meta", "packed"])
+            row = [pa.array([chunk], pa.int64()), pa.array([len(index)], pa.int32()), pa.array([json.dumps(meta)]), pa.array([pack(where)], pa.binary())]
+            del index, counts, where, meta  # before the next chunk is read
+            yield pa.record_batch(row, names=["chunk", "size", "meta", "packed"])
 
     return docs.mapInArrow(run, "chunk long, size int, meta string, packed binary")
 
