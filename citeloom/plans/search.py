@@ -47,6 +47,14 @@ def bm25_idf(s, d):
     return _index(s, d).terms.select("term", "df", _r6("idf"))
 
 
+@query(_P("docs post dls tot") + "SELECT (SELECT count(*) FROM post) AS n_postings, (SELECT count(DISTINCT term) FROM post) AS n_terms, n_docs FROM tot")
+def bm25_index(s, d):
+    """Size of the stored index; the first retrieval query of a session builds it."""
+    index = _index(s, d)
+    counts = index.postings.agg(F.count("*").alias("n_postings")).crossJoin(index.terms.agg(F.count("*").alias("n_terms")))  # single rows
+    return counts.crossJoin(index.totals.select("n_docs"))
+
+
 @query(_P("docs dls tot") + "SELECT n_docs, round(avgdl, 6) AS avgdl FROM tot")
 def bm25_stats(s, d):
     return bm25.totals(bm25.lengths(documents(s, d))).select("n_docs", _r6("avgdl"))
