@@ -13,6 +13,8 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import StructType
 
 from .words import dictionaries, joined, pack_found, positions, rejoin
 
@@ -61,7 +63,8 @@ def encode_decode(docs: DataFrame, path: str, *, id_col: str = "doc_id", text_co
     """Ids of every whole text by the tokenizer file ``path`` (byte-level BPE), and the text they decode to.
 
     Texts are split into words; each distinct word is encoded once; ids come back to the documents by
-    position, and pieces of text by a join of ids with the vocabulary. Null texts count as
+    position. A chunk's distinct ids are rows, of which the first carries the ids of its documents; a join of them
+    with the vocabulary (id, piece) gives what they decode to. Null texts count as
     empty and have no ids; ids of rows may be null or repeated, since rows keep their places.
     Returns doc_id, n_tokens, ids_sha256 (of the ids as little-endian unsigned 32-bit integers) and
     decoded_sha256 (of the decoded text), one row for each input row; with ``with_ids`` also ids array<int>
@@ -96,23 +99,72 @@ def encode_decode(docs: DataFrame, path: str, *, id_col: str = "doc_id", text_co
             yield flush()
 
     found = by_word.mapInArrow(encode, "chunk long, packed binary")
-    schema = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string" + ", ids array<int>, decoded string" * with_ids
 
-    def assemble(meta: dict, where: np.ndarray, ids: pa.Array) -> pa.Table:
-        pieces = pa.array(byte_pieces(path), pa.binary())
-        out = {"doc_id": meta["doc_id"], "n_tokens": [], "ids_sha256": [], "decoded_sha256": []} | ({"ids": [], "decoded": []} if with_ids else {})
-        at = 0
+    def place(meta: dict, where: np.ndarray, ids: pa.Array) -> pa.Table:
+        flat, n_ids, at = [], [], 0
         for n in meta["n_words"]:
-            flat = joined(ids.take(pa.array(where[at : at + n])))
+            flat.append(joined(ids.take(pa.array(where[at : at + n]))))
+            n_ids.append(len(flat[-1]) // 4)
             at += n
-            mine = np.frombuffer(flat, "<u4")
-            text = joined(pieces.take(pa.array(mine))).decode("utf-8", "replace")
-            out["n_tokens"].append(len(mine))
-            out["ids_sha256"].append(hashlib.sha256(flat).hexdigest())
-            out["decoded_sha256"].append(hashlib.sha256(text.encode()).hexdigest())
-            if with_ids:
-                out["ids"].append(mine.astype(np.int32))
-                out["decoded"].append(text)
-        return pa.table({"doc_id": pa.array(out["doc_id"], pa.int64()), "n_tokens": pa.array(out["n_tokens"], pa.int64())} | {k: pa.array(v, pa.list_(pa.int32()) if k == "ids" else pa.string()) for k, v in list(out.items())[2:]})
-
-    return rejoin(positions(source, split_pieces), found, assemble, schema)
+        body = b"".join(flat)
+        own = np.flatnonzero(np.bincount(np.frombuffer(body, "<u4")))
+        rows = max(1, len(own))
+        head = {"doc_id": meta["doc_id"], "n_ids": n_ids, "rows": rows}
+        first = lambda v, kind: pa.concat_arrays([pa.array([v], kind), pa.nulls(rows - 1, kind)])
+        return pa.table([pa.array(own if len(own) else [None], pa.int32()), first(json.dumps(head), pa.string()), first(body, pa.binary())], names=["id", "meta", "body"])
+
+    placed = rejoin(positions(source, split_pieces), found, place, "id int, meta string, body binary")
+    known = byte_pieces(path)
+    vocabulary = docs.sparkSession.createDataFrame(pa.table({"piece_id": pa.array(range(len(known)), pa.int32()), "piece": pa.array(known, pa.binary())}))
+    # as large as the tokenizer's file, whatever the input; the join keeps the order of the other side's rows
+    with_pieces = placed.join(F.broadcast(vocabulary), F.col("id") == F.col("piece_id"), "left").select("id", "meta", "body", "piece")
+    schema = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string" + ", ids array<int>, decoded string" * with_ids
+    types = to_arrow_schema(StructType.fromDDL(schema))
+
+    def decode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        head, held, rows = None, [], 0
+        for batch in batches:
+            at = 0
+            while at < batch.num_rows:
+                if head is None:
+                    if not batch.column("meta")[at].is_valid:
+                        raise RuntimeError("a chunk's ids came in another order than they were given")
+                    head, body = json.loads(batch.column("meta")[at].as_py()), batch.column("body")[at].as_py()
+                part = batch.slice(at, head["rows"] - rows)
+                if part.column("meta").null_count != part.num_rows - (rows == 0):
+                    raise RuntimeError("a chunk's ids came mixed with those of another")
+                held.append(part.select(["id", "piece"]))
+                rows += part.num_rows
+                at += part.num_rows
+                if rows == head["rows"]:
+                    yield from decoded(head, body, pa.Table.from_batches(held), types)
+                    head, held, rows = None, [], 0
+        if head is not None:
+            raise RuntimeError("a chunk lacks some of its ids")
+
+    return with_pieces.mapInArrow(decode, schema)
+
+
+def decoded(head: dict, body: bytes, joined_ids: pa.Table, types: pa.Schema) -> Iterator[pa.RecordBatch]:
+    """Rows of a chunk: ``body`` has its documents' ids one after another, ``joined_ids`` (id, piece) each id once."""
+    own = joined_ids.column("id").drop_null().to_numpy()
+    row_of = np.zeros(int(own.max(initial=0)) + 1, np.int32)
+    row_of[own] = np.arange(len(own), dtype=np.int32)
+    pieces = joined_ids.column("piece").fill_null(b"").combine_chunks()
+    every, at = np.frombuffer(body, "<u4"), 0
+    out = {name: [] for name in types.names}
+
+    def rows() -> pa.RecordBatch:
+        return pa.record_batch([pa.array(v, types.field(k).type) for k, v in out.items()], schema=types)
+
+    for doc_id, n in zip(head["doc_id"], head["n_ids"]):
+        ids = every[at : at + n]
+        at += n
+        text = joined(pieces.take(pa.array(row_of[ids]))).decode("utf-8", "replace")
+        row = {"doc_id": doc_id, "n_tokens": n, "ids_sha256": hashlib.sha256(ids).hexdigest(), "decoded_sha256": hashlib.sha256(text.encode()).hexdigest(), "ids": ids.astype(np.int32), "decoded": text}
+        for k in out:
+            out[k].append(row[k])
+        if len(out["doc_id"]) == 10_000:
+            yield rows()
+            out = {name: [] for name in types.names}
+    yield rows()
