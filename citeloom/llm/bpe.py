@@ -16,12 +16,15 @@ from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import StructType
 
-from .words import dictionaries, joined, pack_found, positions, rejoin
+from .words import dictionaries, joined, pack, pack_found, positions, rejoin, unpack
 
 # The code points of the Unicode property White_Space, and Latin letters (all of category L).
 _SPACE = "\t-\r \x85\xa0" + chr(0x1680) + chr(0x2000) + "-" + chr(0x200A) + chr(0x2028) + chr(0x2029) + chr(0x202F) + chr(0x205F) + chr(0x3000)
 _LATIN = "A-Za-zÀ-ÖØ-öø-ɏ"
 
+#: Ids that a row carries, packed: rows stay small where they meet the vocabulary.
+PART_IDS = 262_144
+
 #: Pieces of a text whose ids, one after another, are those of the text: byte-level BPE with the
 #: usual pattern never crosses a step from other characters to white space, nor one from a letter to an
 #: ASCII character that is none. Both are cuts here, whichever characters stand around them.
@@ -63,7 +66,7 @@ def encode_decode(docs: DataFrame, path: str, *, id_col: str = "doc_id", text_co
     """Ids of every whole text by the tokenizer file ``path`` (byte-level BPE), and the text they decode to.
 
     Texts are split into words; each distinct word is encoded once; ids come back to the documents by
-    position. A chunk's distinct ids are rows, of which the first carries the ids of its documents; a join of them
+    position. A chunk's distinct ids are rows, of which the first carry the ids of its documents in parts; a join of them
     with the vocabulary (id, piece) gives what they decode to. Null texts count as
     empty and have no ids; ids of rows may be null or repeated, since rows keep their places.
     Returns doc_id, n_tokens, ids_sha256 (of the ids as little-endian unsigned 32-bit integers) and
@@ -101,23 +104,37 @@ def encode_decode(docs: DataFrame, path: str, *, id_col: str = "doc_id", text_co
     found = by_word.mapInArrow(encode, "chunk long, packed binary")
 
     def place(meta: dict, where: np.ndarray, ids: pa.Array) -> pa.Table:
-        flat, n_ids, at = [], [], 0
+        n_ids, parts, held, size, at = [], [], [], 0, 0
+        own = np.zeros(0, np.uint32)
+
+        def cut() -> None:
+            nonlocal held, size, own
+            every = np.frombuffer(b"".join(held), "<u4")
+            held, size = [], 0
+            for i in range(0, len(every), PART_IDS):
+                part = every[i : i + PART_IDS]
+                own = np.union1d(own, part)
+                parts.append(len(part).to_bytes(4, "little") + pack(part))
+
         for n in meta["n_words"]:
-            flat.append(joined(ids.take(pa.array(where[at : at + n]))))
-            n_ids.append(len(flat[-1]) // 4)
+            flat = joined(ids.take(pa.array(where[at : at + n])))
             at += n
-        body = b"".join(flat)
-        own = np.flatnonzero(np.bincount(np.frombuffer(body, "<u4")))
-        rows = max(1, len(own))
-        head = {"doc_id": meta["doc_id"], "n_ids": n_ids, "rows": rows}
-        first = lambda v, kind: pa.concat_arrays([pa.array([v], kind), pa.nulls(rows - 1, kind)])
-        return pa.table([pa.array(own if len(own) else [None], pa.int32()), first(json.dumps(head), pa.string()), first(body, pa.binary())], names=["id", "meta", "body"])
-
-    placed = rejoin(positions(source, split_pieces), found, place, "id int, meta string, body binary")
+            n_ids.append(len(flat) // 4)
+            held.append(flat)
+            size += len(flat)
+            if size >= 4 * PART_IDS:
+                cut()
+        cut()
+        rows = max(1, len(own), len(parts))
+        padded = lambda v, kind: pa.concat_arrays([pa.array(v, kind), pa.nulls(rows - len(v), kind)])
+        head = json.dumps({"doc_id": meta["doc_id"], "n_ids": n_ids, "rows": rows})
+        return pa.table([padded(own, pa.int32()), padded([head], pa.string()), padded(parts, pa.binary())], names=["id", "meta", "part"])
+
+    placed = rejoin(positions(source, split_pieces), found, place, "id int, meta string, part binary")
     known = byte_pieces(path)
     vocabulary = docs.sparkSession.createDataFrame(pa.table({"piece_id": pa.array(range(len(known)), pa.int32()), "piece": pa.array(known, pa.binary())}))
     # as large as the tokenizer's file, whatever the input; the join keeps the order of the other side's rows
-    with_pieces = placed.join(F.broadcast(vocabulary), F.col("id") == F.col("piece_id"), "left").select("id", "meta", "body", "piece")
+    with_pieces = placed.join(F.broadcast(vocabulary), F.col("id") == F.col("piece_id"), "left").select("id", "meta", "part", "piece")
     schema = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string" + ", ids array<int>, decoded string" * with_ids
     types = to_arrow_schema(StructType.fromDDL(schema))
 
@@ -129,15 +146,15 @@ def encode_decode(docs: DataFrame, path: str, *, id_col: str = "doc_id", text_co
                 if head is None:
                     if not batch.column("meta")[at].is_valid:
                         raise RuntimeError("a chunk's ids came in another order than they were given")
-                    head, body = json.loads(batch.column("meta")[at].as_py()), batch.column("body")[at].as_py()
+                    head = json.loads(batch.column("meta")[at].as_py())
                 part = batch.slice(at, head["rows"] - rows)
                 if part.column("meta").null_count != part.num_rows - (rows == 0):
                     raise RuntimeError("a chunk's ids came mixed with those of another")
-                held.append(part.select(["id", "piece"]))
+                held.append(part.select(["id", "part", "piece"]))
                 rows += part.num_rows
                 at += part.num_rows
                 if rows == head["rows"]:
-                    yield from decoded(head, body, pa.Table.from_batches(held), types)
+                    yield from decoded(head, pa.Table.from_batches(held), types)
                     head, held, rows = None, [], 0
         if head is not None:
             raise RuntimeError("a chunk lacks some of its ids")
@@ -145,26 +162,38 @@ def encode_decode(docs: DataFrame, path: str, *, id_col: str = "doc_id", text_co
     return with_pieces.mapInArrow(decode, schema)
 
 
-def decoded(head: dict, body: bytes, joined_ids: pa.Table, types: pa.Schema) -> Iterator[pa.RecordBatch]:
-    """Rows of a chunk: ``body`` has its documents' ids one after another, ``joined_ids`` (id, piece) each id once."""
-    own = joined_ids.column("id").drop_null().to_numpy()
+def by_document(parts: Iterator[bytes], n_ids: list[int]) -> Iterator[np.ndarray]:
+    """The ids of each document, out of packed parts that hold those of all, one after another."""
+    rest = np.zeros(0, "<u4")
+    for n in n_ids:
+        got, have = [rest], len(rest)
+        while have < n:
+            part = next(parts)
+            got.append(unpack(part[4:], int.from_bytes(part[:4], "little")))
+            have += len(got[-1])
+        every = np.concatenate(got) if len(got) > 1 else rest
+        yield every[:n]
+        rest = every[n:]
+
+
+def decoded(head: dict, rows: pa.Table, types: pa.Schema) -> Iterator[pa.RecordBatch]:
+    """Rows of a chunk's documents out of (id, piece), each id once, and the parts of their ids beside them."""
+    own = rows.column("id").drop_null().to_numpy()
     row_of = np.zeros(int(own.max(initial=0)) + 1, np.int32)
     row_of[own] = np.arange(len(own), dtype=np.int32)
-    pieces = joined_ids.column("piece").fill_null(b"").combine_chunks()
-    every, at = np.frombuffer(body, "<u4"), 0
+    pieces = rows.column("piece").fill_null(b"").combine_chunks()
+    parts = (p.as_py() for p in rows.column("part").drop_null())
     out = {name: [] for name in types.names}
 
-    def rows() -> pa.RecordBatch:
+    def batch() -> pa.RecordBatch:
         return pa.record_batch([pa.array(v, types.field(k).type) for k, v in out.items()], schema=types)
 
-    for doc_id, n in zip(head["doc_id"], head["n_ids"]):
-        ids = every[at : at + n]
-        at += n
+    for doc_id, ids in zip(head["doc_id"], by_document(parts, head["n_ids"])):
         text = joined(pieces.take(pa.array(row_of[ids]))).decode("utf-8", "replace")
-        row = {"doc_id": doc_id, "n_tokens": n, "ids_sha256": hashlib.sha256(ids).hexdigest(), "decoded_sha256": hashlib.sha256(text.encode()).hexdigest(), "ids": ids.astype(np.int32), "decoded": text}
+        row = {"doc_id": doc_id, "n_tokens": len(ids), "ids_sha256": hashlib.sha256(np.ascontiguousarray(ids)).hexdigest(), "decoded_sha256": hashlib.sha256(text.encode()).hexdigest(), "ids": ids.astype(np.int32), "decoded": text}
         for k in out:
             out[k].append(row[k])
-        if len(out["doc_id"]) == 10_000:
-            yield rows()
+        if len(out["doc_id"]) == 1000:
+            yield batch()
             out = {name: [] for name in types.names}
-    yield rows()
+    yield batch()
