@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import codecs
 import hashlib
 import json
 import os
@@ -117,13 +118,15 @@ def encode_decode(docs: DataFrame, path: str, *, id_col: str = "doc_id", text_co
                 parts.append(len(part).to_bytes(4, "little") + pack(part))
 
         for n in meta["n_words"]:
-            flat = joined(ids.take(pa.array(where[at : at + n])))
+            n_ids.append(0)
+            for i in range(at, at + n, PART_IDS):
+                flat = joined(ids.take(pa.array(where[i : min(i + PART_IDS, at + n)])))
+                n_ids[-1] += len(flat) // 4
+                held.append(flat)
+                size += len(flat)
+                if size >= 4 * PART_IDS:
+                    cut()
             at += n
-            n_ids.append(len(flat) // 4)
-            held.append(flat)
-            size += len(flat)
-            if size >= 4 * PART_IDS:
-                cut()
         cut()
         rows = max(1, len(own), len(parts))
         padded = lambda v, kind: pa.concat_arrays([pa.array(v, kind), pa.nulls(rows - len(v), kind)])
@@ -162,18 +165,22 @@ def encode_decode(docs: DataFrame, path: str, *, id_col: str = "doc_id", text_co
     return with_pieces.mapInArrow(decode, schema)
 
 
-def by_document(parts: Iterator[bytes], n_ids: list[int]) -> Iterator[np.ndarray]:
-    """The ids of each document, out of packed parts that hold those of all, one after another."""
+def by_document(parts: Iterator[bytes], n_ids: list[int]) -> Iterator[Iterator[np.ndarray]]:
+    """The ids of each document in slices, out of packed parts that hold those of all, one after another. Take a document's before the next."""
     rest = np.zeros(0, "<u4")
+
+    def slices_of(n: int) -> Iterator[np.ndarray]:
+        nonlocal rest
+        while n:
+            if not len(rest):
+                part = next(parts)
+                rest = unpack(part[4:], int.from_bytes(part[:4], "little"))
+            own, rest = rest[:n], rest[n:]
+            n -= len(own)
+            yield own
+
     for n in n_ids:
-        got, have = [rest], len(rest)
-        while have < n:
-            part = next(parts)
-            got.append(unpack(part[4:], int.from_bytes(part[:4], "little")))
-            have += len(got[-1])
-        every = np.concatenate(got) if len(got) > 1 else rest
-        yield every[:n]
-        rest = every[n:]
+        yield slices_of(n)
 
 
 def decoded(head: dict, rows: pa.Table, types: pa.Schema) -> Iterator[pa.RecordBatch]:
@@ -188,9 +195,22 @@ def decoded(head: dict, rows: pa.Table, types: pa.Schema) -> Iterator[pa.RecordB
     def batch() -> pa.RecordBatch:
         return pa.record_batch([pa.array(v, types.field(k).type) for k, v in out.items()], schema=types)
 
-    for doc_id, ids in zip(head["doc_id"], by_document(parts, head["n_ids"])):
-        text = joined(pieces.take(pa.array(row_of[ids]))).decode("utf-8", "replace")
-        row = {"doc_id": doc_id, "n_tokens": len(ids), "ids_sha256": hashlib.sha256(np.ascontiguousarray(ids)).hexdigest(), "decoded_sha256": hashlib.sha256(text.encode()).hexdigest(), "ids": ids.astype(np.int32), "decoded": text}
+    whole = "decoded" in out
+    for doc_id, n, slices in zip(head["doc_id"], head["n_ids"], by_document(parts, head["n_ids"])):
+        of_ids, of_text, decoder = hashlib.sha256(), hashlib.sha256(), codecs.getincrementaldecoder("utf-8")("replace")
+        all_ids, texts = [], []
+        for ids in slices:
+            text = decoder.decode(joined(pieces.take(pa.array(row_of[ids]))))
+            of_ids.update(np.ascontiguousarray(ids))
+            of_text.update(text.encode())
+            if whole:
+                all_ids.append(ids.astype(np.int32))
+                texts.append(text)
+        end = decoder.decode(b"", True)
+        of_text.update(end.encode())
+        row = {"doc_id": doc_id, "n_tokens": n, "ids_sha256": of_ids.hexdigest(), "decoded_sha256": of_text.hexdigest()}
+        if whole:
+            row |= {"ids": np.concatenate(all_ids or [np.zeros(0, np.int32)]), "decoded": "".join(texts) + end}
         for k in out:
             out[k].append(row[k])
         if len(out["doc_id"]) == 1000:

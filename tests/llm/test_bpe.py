@@ -1,6 +1,7 @@
 import hashlib
 
 import numpy as np
+import pyarrow as pa
 import public_tokenizers
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -59,3 +60,19 @@ def test_a_text_of_several_megabytes(spark):
     (row,) = bpe.encode_decode(spark.createDataFrame([(1, text)], "doc_id long, text string"), PATH).collect()
     ids, back = whole(text)
     assert (row.n_tokens, row.ids_sha256, row.decoded_sha256) == (len(ids), hashlib.sha256(np.array(ids, "<u4").tobytes()).hexdigest(), hashlib.sha256(back.encode()).hexdigest())
+
+
+def test_characters_cut_by_the_ends_of_slices():
+    types = pa.schema([("doc_id", pa.int64()), ("n_tokens", pa.int64()), ("ids_sha256", pa.string()), ("decoded_sha256", pa.string()), ("ids", pa.list_(pa.int32())), ("decoded", pa.string())])
+    table = {3: "😀".encode()[:1], 5: "😀".encode()[1:], 9: b"a"}
+    texts = [[3, 5, 9], [], [9, 3, 5, 3], [5, 9]]
+    flat = np.array([i for t in texts for i in t], "<u4")
+    for size in (1, 2, 3, 20):
+        parts = [len(p).to_bytes(4, "little") + words.pack(p) for p in (flat[i : i + size] for i in range(0, len(flat), size))]
+        n = max(len(parts), len(table))
+        rows = pa.table({"id": pa.array([*table, *[None] * (n - len(table))], pa.int32()), "part": pa.array(parts + [None] * (n - len(parts)), pa.binary()), "piece": pa.array([*table.values(), *[None] * (n - len(table))], pa.binary())})
+        got = [r for b in bpe.decoded({"doc_id": [0, 1, 2, 3], "n_ids": [len(t) for t in texts]}, rows, types) for r in b.to_pylist()]
+        for r, t in zip(got, texts, strict=True):
+            body = b"".join(table[i] for i in t).decode("utf-8", "replace")
+            assert (r["ids"], r["decoded"], r["n_tokens"]) == (t, body, len(t))
+            assert r["decoded_sha256"] == hashlib.sha256(body.encode()).hexdigest() and r["ids_sha256"] == hashlib.sha256(np.array(t, "<u4").tobytes()).hexdigest()
