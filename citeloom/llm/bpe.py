@@ -23,6 +23,9 @@ from .words import dictionaries, joined, pack, pack_found, positions, rejoin, un
 _SPACE = "\t-\r \x85\xa0" + chr(0x1680) + chr(0x2000) + "-" + chr(0x200A) + chr(0x2028) + chr(0x2029) + chr(0x202F) + chr(0x205F) + chr(0x3000)
 _LATIN = "A-Za-zÀ-ÖØ-öø-ɏ"
 
+#: Bytes of text in a chunk, fewer than elsewhere: while one is decoded, the next is put together by another worker.
+CHUNK_BYTES = 20_000_000
+
 #: Ids that a row carries, packed: rows stay small where they meet the vocabulary.
 PART_IDS = 262_144
 
@@ -75,7 +78,7 @@ def encode_decode(docs: DataFrame, path: str, *, id_col: str = "doc_id", text_co
     and decoded. Other columns are not carried; an empty table gives an empty result.
     """
     source = docs.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).cast("binary").alias("body"))
-    by_word = dictionaries(source, split_pieces).select("chunk", "idx", "word").repartition("word").sortWithinPartitions("word")
+    by_word = dictionaries(source, split_pieces, chunk_bytes=CHUNK_BYTES).select("chunk", "idx", "word").repartition("word").sortWithinPartitions("word")
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         last_word, last_ids = None, None
@@ -133,7 +136,7 @@ def encode_decode(docs: DataFrame, path: str, *, id_col: str = "doc_id", text_co
         head = json.dumps({"doc_id": meta["doc_id"], "n_ids": n_ids, "rows": rows})
         return pa.table([padded(own, pa.int32()), padded([head], pa.string()), padded(parts, pa.binary())], names=["id", "meta", "part"])
 
-    placed = rejoin(positions(source, split_pieces), found, place, "id int, meta string, part binary")
+    placed = rejoin(positions(source, split_pieces, chunk_bytes=CHUNK_BYTES), found, place, "id int, meta string, part binary")
     known = byte_pieces(path)
     vocabulary = docs.sparkSession.createDataFrame(pa.table({"piece_id": pa.array(range(len(known)), pa.int32()), "piece": pa.array(known, pa.binary())}))
     # as large as the tokenizer's file, whatever the input; the join keeps the order of the other side's rows
