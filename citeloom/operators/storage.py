@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame, SparkSession
 T = TypeVar("T")
 
 _fallback: list[str] = []
-_built: dict[tuple, object] = {}
+_built: dict[tuple, tuple[str, object]] = {}
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -29,19 +29,18 @@ def shared_dir(spark: SparkSession) -> str:
     return _fallback[0]
 
 
-def settled(df: DataFrame) -> DataFrame:
-    """``df`` computed and kept in the shared folder."""
+def settled(df: DataFrame, *, by: str | None = None) -> DataFrame:
+    """``df`` computed and kept as Parquet in the shared folder until the JVM ends; in folders of ``by``, so that a filter on it reads its own alone."""
     spark = df.sparkSession
-    if spark.sparkContext.getCheckpointDir() is None:
-        spark.sparkContext.setCheckpointDir(shared_dir(spark))
-    return df.checkpoint()
+    where = f"{shared_dir(spark)}/citeloom/settled-{uuid.uuid4().hex}"
+    (df.write.partitionBy(by) if by else df.write).parquet(where)
+    path = spark._jvm.org.apache.hadoop.fs.Path(where)
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(path)
+    return spark.read.schema(df.schema).parquet(where)
 
 
-def built_once(source: DataFrame, kind: str, build: Callable[[str], T]) -> T:
-    """What ``build(path)`` makes of ``source``, once in a Spark application for the same files; they are told by path, time and length.
-
-    ``path`` is a new folder in the shared one, which goes when the JVM ends.
-    """
+def _files_of(source: DataFrame) -> tuple:
+    """Path, time and length of each file of ``source``."""
     spark = source.sparkSession
     conf, fs_path = spark._jsc.hadoopConfiguration(), spark._jvm.org.apache.hadoop.fs.Path
     files = []
@@ -49,15 +48,28 @@ def built_once(source: DataFrame, kind: str, build: Callable[[str], T]) -> T:
         p = fs_path(name)
         status = p.getFileSystem(conf).getFileStatus(p)
         files.append((name, status.getModificationTime(), status.getLen()))
-    key = (spark.sparkContext.applicationId, kind, tuple(files))
+    return tuple(files)
+
+
+def _once(source: DataFrame, kind: str, build: Callable[[str], T]) -> tuple[str, T]:
+    spark = source.sparkSession
+    key = (spark.sparkContext.applicationId, kind, _files_of(source))
     if key not in _built:
         where = f"{shared_dir(spark)}/citeloom/{kind}-{uuid.uuid4().hex}"
-        _built[key] = build(where)
-        p = fs_path(where)
-        p.getFileSystem(conf).deleteOnExit(p)
+        _built[key] = where, build(where)
+        p = spark._jvm.org.apache.hadoop.fs.Path(where)
+        p.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(p)
     return _built[key]
 
 
+def built_once(source: DataFrame, kind: str, build: Callable[[str], T]) -> T:
+    """What ``build(path)`` makes of ``source``, once in a Spark application for the same files; they are told by path, time and length.
+
+    ``path`` is a new folder in the shared one, which goes when the JVM ends.
+    """
+    return _once(source, kind, build)[1]
+
+
 def replace(rows: DataFrame, path: str) -> None:
     """Write ``rows`` beside ``path`` and put them in its place when they are whole; a failed job leaves what was there."""
     spark = rows.sparkSession

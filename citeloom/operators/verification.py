@@ -58,10 +58,14 @@ def ladder(queries: DataFrame, generated: DataFrame, reports: DataFrame, extract
     return rows.select("query_id", F.when(ok, "grounded").when(F.col("extracted").isNotNull(), "extractive").otherwise("abstain").alias("confidence"), F.when(ok, F.col("generated")).otherwise(F.col("extracted")).alias("text"))
 
 
-def answerability(queries: DataFrame, hits: DataFrame, docs: DataFrame, *, passages: int = 5) -> DataFrame:
-    """(query_id, probability): share of the question's content terms in the joined passages; the stand-in for a trained gate."""
+def covered(context: Column, question: Column) -> Column:
+    """Share of the question's content terms that the context has, as a gate without a model."""
+    asked = X.content_terms(question)
+    return F.coalesce(F.size(F.array_intersect(asked, X.content_terms(context))) / F.nullif(F.size(asked), F.lit(0)), F.lit(0.0))
+
+
+def answerability(queries: DataFrame, hits: DataFrame, docs: DataFrame, *, passages: int = 5, scorer: Callable[[Column, Column], Column] = covered) -> DataFrame:
+    """(query_id, probability) that the joined passages answer the question, by ``scorer`` of context and question; a question without passages has an empty context."""
     joined = hits.filter(F.col("rank") <= passages).join(docs.select("pmid", X.chunk(F.col("title"), F.col("abstract")).alias("chunk")), "pmid").groupBy("query_id").agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("rank", "chunk"))), lambda s: s["chunk"]), " ").alias("context"))
     rows = queries.join(joined, "query_id", "left")
-    asked = X.content_terms(F.col("question"))
-    share = F.size(F.array_intersect(asked, X.content_terms(F.coalesce("context", F.lit(""))))) / F.nullif(F.size(asked), F.lit(0))
-    return rows.select("query_id", F.coalesce(share, F.lit(0.0)).alias("probability"))
+    return rows.select("query_id", scorer(F.coalesce("context", F.lit("")), F.col("question")).alias("probability"))
