@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from citeloom.functions import text as X
-from citeloom.operators import corpus, evaluation, training
+from citeloom.operators import corpus, evaluation, training, vocabulary
 from citeloom.sources import files
 from citeloom.sources.tables import dialogue, documents, questions, table
 
@@ -319,3 +319,39 @@ def req_counters(s, d):
 @query("SELECT page_id, CAST(length(html) AS BIGINT) AS n FROM pages")
 def pages_scan(s, d):
     return table(s, d, "pages").select("page_id", F.length("html").cast("long").alias("n"))
+
+
+#: A small list of merges, for a sweep that SQL can follow.
+_MERGES = [(b"t", b"h"), (b"th", b"e"), (b"o", b"n"), (b"a", b"n"), (b"an", b"d"), (b"e", b"r")]
+_STEPS = ["x"]
+for _i, (_a, _b) in enumerate(_MERGES):
+    _glyph = {b"th": "chr(57344)", b"an": "chr(57347)"}
+    _side = lambda s: _glyph.get(s, f"'{s.decode()}'")
+    _STEPS.append(f"replace({_STEPS[-1]}, {_side(_a)} || {_side(_b)}, chr({57344 + _i}))")
+
+
+@query(
+    f"WITH w AS (SELECT {words_sql('text')} AS w FROM documents), t AS (SELECT array_to_string(w, ' ') AS x, len(w) AS n FROM w WHERE len(w) > 0), s AS ("
+    + " UNION ALL ".join(f"SELECT {256 + i} AS size, CAST(sum(strlen(x) - (n - 1) - (length(x) - length({step}))) AS BIGINT) AS tokens, CAST(sum(n) AS BIGINT) AS words FROM t" for i, step in enumerate(_STEPS))
+    + ") SELECT CAST(size AS BIGINT) AS size, tokens, words, round(tokens / words, 6) AS fertility FROM s"
+)
+def vocabulary_sweep(s, d):
+    """Fertility at each size of a small vocabulary."""
+    found = vocabulary.sweep(table(s, d, "documents"), _MERGES, range(256, 257 + len(_MERGES)))
+    return found.select("size", "tokens", "words", F.round("fertility", 6).alias("fertility"))
+
+
+@query()
+def vocabulary_sweep_full(s, d):
+    """Fertility of a public tokenizer's merges at sizes up to its whole, each word with the space before it."""
+    import public_tokenizers
+
+    merges = vocabulary.merges_of(s, public_tokenizers.path("byte_bpe_50k.json"))
+    return vocabulary.sweep(table(s, d, "documents"), merges, [256, 512, 1000, 2000, 4000, 8000, 16000, 32000, 256 + len(merges)], prefix=b" ")
+
+
+@query("SELECT n_nationkey AS id, n_name AS piece FROM nation UNION ALL SELECT max(n_nationkey) + 1, '[MASK]' FROM nation")
+def mask_token(s, d):
+    """A vocabulary with a token added, twice, which is as once."""
+    pieces = table(s, d, "nation").select(F.col("n_nationkey").alias("id"), F.col("n_name").alias("piece"))
+    return vocabulary.with_token(vocabulary.with_token(pieces, "[MASK]"), "[MASK]")
