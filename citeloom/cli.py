@@ -18,7 +18,7 @@ def _retriever_options(p: argparse.ArgumentParser) -> None:
     p.add_argument("--retriever", default="bm25", choices=retrievers.KINDS)
     p.add_argument("--index", help="folder of saved indexes; they are made there if absent")
     p.add_argument("--ann", default="exact", choices=retrievers.ANN_KINDS)
-    p.add_argument("--probes", type=int, default=8)
+    p.add_argument("--probes", type=int, help="cells or shards that a query looks at; as many as a sample needs by default")
     p.add_argument("--rerank", action="store_true")
     p.add_argument("--rerank-weight", type=float, default=0.0)
     p.add_argument("--k1", type=float, default=bm25.K1)

@@ -2,17 +2,25 @@
 
 from __future__ import annotations
 
+import hashlib
+import json
 from collections.abc import Callable
 from dataclasses import dataclass
-from typing import Protocol
+from typing import Protocol, TypeVar
 
 from pyspark.errors import AnalysisException
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from citeloom.functions import text as X
 
 from . import bm25, ranking, vectors
+from .storage import fingerprint, settled, shared_dir
+
+T = TypeVar("T")
+
+#: Format of kept vector indexes.
+FORMAT_VERSION = 1
 
 KINDS, ANN_KINDS = ("bm25", "dense", "hybrid"), ("exact", "ivf", "hnsw")
 
@@ -37,21 +45,38 @@ class _Searched:
         return self.find(queries, k)
 
 
-def vector_index(kind: str, points: DataFrame, *, probes: int = 8, path: str | None = None) -> VectorIndex:
-    """An index of points(pmid, vector): 'exact', 'ivf' (round(sqrt(rows)) trained cells, kept under ``path``) or 'hnsw'."""
+def _kept(spark: SparkSession, path: str | None, about: dict, build: Callable[[str], T], load: Callable[[str], T]) -> T:
+    """The index that ``build`` made under ``path`` for just this ``about``, made first if there is none.
+
+    Its folder is named by what it was made of, so that one of other documents, another analyzer or encoder is never taken for it. A note
+    that is written last tells a whole one. Without a path it lives in the shared folder.
+    """
+    folder = f"{path or shared_dir(spark) + '/citeloom'}/{about['kind']}-{hashlib.sha256(json.dumps(about, sort_keys=True).encode()).hexdigest()[:24]}"
+    try:
+        spark.read.text(f"{folder}/made").first()
+    except AnalysisException:
+        build(folder)
+        spark.createDataFrame([(json.dumps(about, sort_keys=True),)], "value string").coalesce(1).write.mode("overwrite").text(f"{folder}/made")
+    return load(folder)
+
+
+def vector_index(kind: str, points: DataFrame, *, probes: int | None = None, path: str | None = None, shard_rows: int = 5000) -> VectorIndex:
+    """An index of points(pmid, vector): 'exact', 'ivf' (round(sqrt(rows)) trained cells) or 'hnsw' (stored graphs).
+
+    The last two are kept under ``path``, for these very points. Without ``probes`` a query looks at as many cells or shards as a sample of the points
+    needed to find 0.95 of its true hits or more.
+    """
     if kind == "exact":
         return _Searched(lambda queries, k: vectors.block_top(queries, points, k))
-    if kind == "hnsw":
-        return _Searched(lambda queries, k: vectors.small_world_search(points, queries, k))
-    if kind != "ivf":
+    if kind not in ANN_KINDS:
         raise ValueError(f"unknown vector index {kind}; there are {', '.join(ANN_KINDS)}")
-    index = None
-    if path is not None:
-        try:
-            index = vectors.InvertedFile.load(points.sparkSession, path)
-        except AnalysisException:
-            index = vectors.InvertedFile.train(points).save(path)
-    index = index or vectors.InvertedFile.train(points)
+    points, spark = settled(points.select("pmid", "vector")), points.sparkSession
+    h = F.xxhash64("pmid", "vector")
+    about = {"kind": kind, "format": FORMAT_VERSION, "points": [str(v) for v in points.agg(F.count("*"), F.bit_xor(h), F.sum(h.cast("decimal(38,0)"))).first()], "shard_rows": shard_rows}
+    if kind == "hnsw":
+        graph = _kept(spark, path, about, lambda folder: vectors.Graph.build(points, folder, shard_rows=shard_rows), lambda folder: vectors.Graph.load(spark, folder))
+        return _Searched(lambda queries, k: graph.search(queries, k, probes=probes))
+    index = _kept(spark, path, about, lambda folder: vectors.InvertedFile.train(points).save(folder), lambda folder: vectors.InvertedFile.load(spark, folder))
     return _Searched(lambda queries, k: index.search(queries, k, probes))
 
 
@@ -112,16 +137,14 @@ class Reranked:
 
 
 def lexical_index(docs: DataFrame, path: str | None = None) -> bm25.Index:
-    """The index under ``path``, written there first if there is none; one of this session only without a path."""
+    """The index of these very documents under ``path``, written there first if there is none; one of this session only without a path."""
     if path is None:
         return bm25.Index.build(docs)
-    try:
-        return bm25.Index.load(docs.sparkSession, path)
-    except AnalysisException:
-        return bm25.Index.build(docs).save(path)
+    about = {"kind": "bm25", "format": bm25.FORMAT_VERSION, "docs": fingerprint(docs.select("pmid", "title", "abstract")), "analyzer": "terms"}
+    return _kept(docs.sparkSession, path, about, lambda folder: bm25.Index.build(docs).save(folder), lambda folder: bm25.Index.load(docs.sparkSession, folder))
 
 
-def build(kind: str, docs: DataFrame, *, index: str | None = None, ann: str = "exact", probes: int = 8, rerank: bool = False, weight: float = 0.0, k1: float = bm25.K1, b: float = bm25.B, encode: Callable[[DataFrame], DataFrame] = vectors.embed) -> Retriever:
+def build(kind: str, docs: DataFrame, *, index: str | None = None, ann: str = "exact", probes: int | None = None, rerank: bool = False, weight: float = 0.0, k1: float = bm25.K1, b: float = bm25.B, encode: Callable[[DataFrame], DataFrame] = vectors.embed) -> Retriever:
     """A retriever of docs(pmid, title, abstract): 'bm25', 'dense' or 'hybrid'. ``index`` is a folder of saved indexes, ``ann`` the kind of vector index."""
     if kind not in KINDS:
         raise ValueError(f"unknown retriever {kind}; there are {', '.join(KINDS)}")
@@ -129,9 +152,9 @@ def build(kind: str, docs: DataFrame, *, index: str | None = None, ann: str = "e
         raise ValueError(f"unknown vector index {ann}; there are {', '.join(ANN_KINDS)}")
     parts: list[Retriever] = []
     if kind != "dense":
-        parts.append(Lexical(lexical_index(docs, index and f"{index}/bm25"), k1, b))
+        parts.append(Lexical(lexical_index(docs, index), k1, b))
     if kind != "bm25":
         chunks = docs.select("pmid", X.chunk(F.col("title"), F.col("abstract")).alias("text"))
-        parts.append(Dense(vector_index(ann, encode(chunks), probes=probes, path=index and f"{index}/ivf"), encode))
+        parts.append(Dense(vector_index(ann, encode(chunks), probes=probes, path=index), encode))
     found = parts[0] if len(parts) == 1 else Hybrid(parts)
     return Reranked(found, docs, weight=weight) if rerank else found

@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 
 from citeloom.functions import text as X
 
+from .ranking import running
+
 
 def distinct_pairs(triples: DataFrame) -> DataFrame:
     """(query, positive, seq): distinct pairs with the place where each came first."""
@@ -60,19 +62,18 @@ def pad_batches(rows: DataFrame, *, batch: str, ids: str, max_length: int, pad_i
 
 
 def word_budget(texts: DataFrame, budget: float, order: str = "seq") -> DataFrame:
-    """Texts (seq, text) in order, as long as those before them have less than ``budget`` words.
+    """Texts in order of a column of any kind, as long as those before them have less than ``budget`` words.
 
-    Counts are summed by blocks of the order first, so that no more than a row for each block meets in one place.
+    Counts are summed by ranges of the order first, so that no more than a row for each range meets in one place.
     """
-    counted = texts.withColumn("n", X.word_count(F.col("text"))).withColumn("block", F.floor(F.col(order) / 4096))
-    sums = counted.groupBy("block").agg(F.sum("n").alias("b"))
-    prior = sums.select("block", F.coalesce(F.sum("b").over(Window.orderBy("block").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("b0"))
-    inside = F.coalesce(F.sum("n").over(Window.partitionBy("block").orderBy(order).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    return counted.withColumn("inside", inside).join(prior, "block").filter(F.col("b0") + F.col("inside") < budget).select(*texts.columns)
+    counted = texts.withColumn("_n", X.word_count(F.coalesce("text", F.lit(""))))
+    return running(counted, [], [F.col(order)], {"_upto": F.col("_n")}).filter(F.col("_upto") - F.col("_n") < budget).select(*texts.columns)
 
 
 def mix(domain: DataFrame, general: DataFrame, ratio: float = 0.7) -> DataFrame:
-    """(part, seq, text): all domain texts, and general ones until their words are (1 - ratio) of the whole."""
+    """(part, seq, text): all domain texts, and general ones until their words are (1 - ratio) of the whole; ValueError for a ratio that isn't above 0 and at most 1."""
+    if not 0 < ratio <= 1:
+        raise ValueError(f"a ratio of {ratio} isn't above 0 and at most 1")
     words = domain.agg(F.coalesce(F.sum(X.word_count(F.col("text"))), F.lit(0))).first()[0]
     budget = words * (1 - ratio) / ratio
     return domain.select(F.lit("domain").alias("part"), "seq", "text").unionByName(word_budget(general, budget).select(F.lit("general").alias("part"), "seq", "text"))

@@ -121,12 +121,12 @@ def ivf_cells(s, d):
     return vectors.assign(points, vectors.seeds(points, _CELLS)).groupBy("cell").agg(F.count("*").alias("n"))
 
 
-_IVF = "pr AS (SELECT query_id, q, cell FROM (SELECT query_id, q, cell, row_number() OVER (PARTITION BY query_id ORDER BY round(list_dot_product(q, c), 9) DESC, cell) AS n FROM vq, cent) WHERE n <= 3), iv AS (SELECT query_id, pmid, round(list_dot_product(q, vector), 9) AS score FROM pr JOIN asg USING (cell) JOIN vecs USING (pmid)), ivf AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, pmid) AS rank FROM iv) WHERE rank <= 10)"
+_IVF = "pr AS (SELECT query_id, q, cell FROM (SELECT query_id, q, cell, row_number() OVER (PARTITION BY query_id ORDER BY round(list_dot_product(q, c), 9) DESC, cell) AS n FROM vq, cent) WHERE n <= 7), iv AS (SELECT query_id, pmid, round(list_dot_product(q, vector), 9) AS score FROM pr JOIN asg USING (cell) JOIN vecs USING (pmid)), ivf AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, pmid) AS rank FROM iv) WHERE rank <= 10)"
 
 
 def _ivf(s, d) -> DataFrame:
     points = tables.vectors(s, d)
-    return vectors.InvertedFile.build(points, vectors.seeds(points, _CELLS)).search(_queries(s, d), 10, 3)
+    return vectors.InvertedFile.build(points, vectors.seeds(points, _CELLS)).search(_queries(s, d), 10, 7)
 
 
 @query(_P("vecs", _VQ, _CENT, _ASSIGN, _IVF) + "SELECT query_id, rank, pmid, round(score, 6) AS score FROM ivf")
@@ -139,16 +139,38 @@ def ann_recall(s, d):
     return vectors.recall(_ivf(s, d), _dense(s, d), 10).select(_r6("recall"))
 
 
+def _trained_cells(s, d) -> vectors.InvertedFile:
+    points = tables.vectors(s, d).select("pmid", "vector")
+    return built_once(points, "ivf", lambda path: vectors.InvertedFile.train(points).save(path))
+
+
 @query()
 def ivf_trained_search(s, d):
-    """The inverted file with trained cells, and as many probes as a sample needs; ``ivf_search`` has the fixed cells of its SQL."""
-    index = vectors.InvertedFile.train(tables.vectors(s, d).select("pmid", "vector"))
-    return index.search(_queries(s, d), 10, index.probes_for(10)).select("query_id", F.col("rank").cast("long").alias("rank"), "pmid", _r6("score"))
+    """The stored inverted file with trained cells, and as many probes as a sample needed; ``ivf_search`` has the fixed cells of its SQL."""
+    return _trained_cells(s, d).search(_queries(s, d), 10).select("query_id", F.col("rank").cast("long").alias("rank"), "pmid", _r6("score"))
+
+
+def _graph(s, d) -> vectors.Graph:
+    points = tables.vectors(s, d).select("pmid", "vector")
+    return built_once(points, "graph", lambda path: vectors.Graph.build(points, path, shard_rows=500))
 
 
 @query()
 def hnsw_search(s, d):
-    return vectors.small_world_search(tables.vectors(s, d), _queries(s, d), 10).select("query_id", "rank", "pmid", _r6("score"))
+    """The stored graphs, which the first such query of a session builds."""
+    return _graph(s, d).search(_queries(s, d), 10).select("query_id", "rank", "pmid", _r6("score"))
+
+
+@query()
+def ann_study(s, d):
+    """Recall at ten of both approximate indexes by the number of cells or shards that a query looks at: 1, 2, 4, ... and all."""
+    truth, out = _dense(s, d), None
+    for name, index in (("ivf", _trained_cells(s, d)), ("hnsw", _graph(s, d))):
+        cells = index.centroids.count()
+        for probes in sorted({min(2**i, cells) for i in range(cells.bit_length() + 1)}):
+            row = vectors.recall(index.search(_queries(s, d), 10, probes=probes), truth, 10).select(F.lit(name).alias("index"), F.lit(probes).alias("probes"), _r6("recall"))
+            out = row if out is None else out.unionByName(row)
+    return out
 
 
 # A second ranking of the questions: content terms shared with the title and abstract, by share of the question.

@@ -278,11 +278,11 @@ def ssl_pairs(s, d):
 
 @query(
     _P("bench")
-    + ", t AS (SELECT query_id, list_transform(regexp_extract_all(lower(question), '[a-z0-9]+'), lambda w: length(w))[1:16] AS ids, CAST(query_id AS BIGINT) // 8 AS batch FROM bench), m AS (SELECT *, max(len(ids)) OVER (PARTITION BY batch) AS w FROM t) SELECT query_id, array_to_string(list_resize(ids, w, 0), ',') AS padded, array_to_string(list_resize(list_transform(ids, lambda x: 1), w, 0), ',') AS mask FROM m"
+    + ", t AS (SELECT query_id, list_transform(regexp_extract_all(lower(question), '[a-z0-9]+'), lambda w: length(w))[1:256] AS ids, CAST(query_id AS BIGINT) // 8 AS batch FROM bench), m AS (SELECT *, max(len(ids)) OVER (PARTITION BY batch) AS w FROM t) SELECT query_id, array_to_string(list_resize(ids, w, 0), ',') AS padded, array_to_string(list_resize(list_transform(ids, lambda x: 1), w, 0), ',') AS mask FROM m"
 )
 def pad_batch(s, d):
     rows = questions(s, d).select("query_id", F.transform(X.terms(F.col("question")), lambda w: F.length(w)).alias("ids"), F.floor(F.col("query_id").cast("long") / 8).alias("batch"))
-    out = training.pad_batches(rows, batch="batch", ids="ids", max_length=16)
+    out = training.pad_batches(rows, batch="batch", ids="ids", max_length=256)
     return out.select("query_id", *[F.array_join(F.col(c).cast("array<string>"), ",").alias(c) for c in ("padded", "mask")])
 
 

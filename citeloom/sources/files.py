@@ -37,7 +37,8 @@ def pairs(rows: DataFrame) -> DataFrame:
 
 
 def general_lines(rows: DataFrame) -> DataFrame:
-    return rows.select("seq", X.strip(F.col("value")).alias("value")).filter("value <> ''")
+    """(seq, text): lines stripped, without blank ones; what ``word_budget`` and ``mix`` take."""
+    return rows.select("seq", X.strip(F.col("value")).alias("text")).filter("text <> ''")
 
 
 def inference(rows: DataFrame, *, premise: str = "sentence1", hypothesis: str = "sentence2", label: str = "gold_label", max_examples: int | None = None) -> DataFrame:

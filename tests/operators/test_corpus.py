@@ -102,6 +102,18 @@ def test_files(spark, tmp_path):
     assert files.write_pairs(pairs, str(tmp_path / "out")) == 1
 
 
+def test_word_budget_of_a_file(spark, tmp_path):
+    (tmp_path / "a.txt").write_text("one two\n\n  three four five \nsix\nseven eight\n")
+    rows = files.general_lines(files.lines(spark, str(tmp_path / "a.txt")))
+    assert sorted(r.text for r in training.word_budget(rows, 5).collect()) == ["one two", "three four five"]
+    mixed = training.mix(rows, rows, 0.75)
+    assert sorted((r.part, r.text) for r in mixed.filter("part = 'general'").collect()) == [("general", "one two"), ("general", "three four five")]
+    with pytest.raises(ValueError):
+        training.mix(rows, rows, 0)
+    (tmp_path / "p.tsv").write_text(" q one\t a b\tc \nno tab\n\tempty\nq2\tp2\n")
+    assert sorted((r.anchor, r.positive) for r in files.pairs(files.lines(spark, str(tmp_path / "p.tsv"))).collect()) == [("q one", "a b\tc"), ("q2", "p2")]
+
+
 def test_word_budget_and_negatives(spark):
     texts = spark.createDataFrame([(i, "w " * n) for i, n in enumerate([3, 0, 4, 2, 9])], "seq long, text string")
     assert sorted(r.seq for r in training.word_budget(texts, 7).collect()) == [0, 1, 2]

@@ -120,3 +120,71 @@ def test_trained_inverted_file_recall(spark):
 
     found, truth = (f(spark, "/root/testdata/sf0.1") for f in (search.ivf_trained_search, search.dense_topk))
     assert vectors.recall(found, truth, 10).first()[0] >= 0.9
+
+
+def test_fixed_cells_and_stored_graphs_find_their_hits(spark):
+    from citeloom.plans import search
+
+    d = "/root/testdata/sf0.1"
+    assert search.ann_recall(spark, d).first()[0] >= 0.9
+    graph = search._graph(spark, d)
+    assert graph.centroids.count() >= 4
+    assert vectors.recall(search.hnsw_search(spark, d), search.dense_topk(spark, d), 10).first()[0] >= 0.9
+
+
+def cost(p, seeds):
+    return vectors.assign(p, seeds).agg(F.sum("distance")).first()[0]
+
+
+def test_parallel_seeds_cost_what_sequential_ones_do(spark, monkeypatch):
+    rnd = np.random.default_rng(8)
+    centers = rnd.normal(size=(12, 6)) * 5
+    x = np.vstack([c + rnd.normal(size=(50, 6)) for c in centers])
+    p = spark.createDataFrame([(str(i), v.tolist()) for i, v in enumerate(x)], "pmid string, vector array<double>")
+
+    def sequential(seed):
+        g = np.random.default_rng(seed)
+        chosen = [int(g.integers(len(x)))]
+        gap = ((x - x[chosen[0]]) ** 2).sum(1)
+        while len(chosen) < 12:
+            chosen.append(int(g.choice(len(x), p=gap / gap.sum())))
+            gap = np.minimum(gap, ((x - x[chosen[-1]]) ** 2).sum(1))
+        return gap.sum()
+
+    mean = np.mean([sequential(s) for s in range(10)])
+    seeds = vectors.spread_seeds(p, 12)
+    assert sorted(r["cell"] for r in seeds.collect()) == list(range(12))
+    assert cost(p, seeds) <= 1.1 * mean
+    assert sorted(map(tuple, seeds.collect())) == sorted(map(tuple, vectors.spread_seeds(p.repartition(5), 12).collect()))
+    monkeypatch.setattr(vectors, "GROUP", 16)  # several groups of candidates
+    assert vectors.spread_seeds(p, 12).count() == 12
+    same = spark.createDataFrame([(str(i), [1.0, 2.0]) for i in range(9)], "pmid string, vector array<double>")
+    assert vectors.spread_seeds(same, 4).count() == 4
+
+
+def test_empty_cells_are_seeded_anew(spark):
+    p = spark.createDataFrame([(str(i), [float(i // 10) * 10 + (i % 10) * 0.1, 0.0]) for i in range(40)], "pmid string, vector array<double>")
+    start = spark.createDataFrame([(0, [0.0, 0.0]), (1, [1e6, 0.0]), (2, [2e6, 0.0]), (3, [3e6, 0.0])], "cell int, vector array<double>")
+    centroids, assigned = vectors.kmeans(p, start)
+    assert centroids.count() == 4 and sorted(r["count"] for r in assigned.groupBy("cell").count().collect())[0] > 0
+    assert assigned.select("cell").distinct().count() == 4
+
+
+def test_graph_is_stored_searched_and_grown(spark, tmp_path):
+    x, p = points(spark, 400, 12, 3)
+    path = str(tmp_path / "g")
+    graph = vectors.Graph.build(p.filter("vec_id < 300"), path, shard_rows=100, m=8, breadth=60)
+    asked = p.filter("vec_id % 10 = 0").select(F.col("pmid").alias("query_id"), "vector")
+    exact = lambda below: vectors.block_top(asked, p.filter(f"vec_id < {below}"), 10)
+    assert vectors.recall(graph.search(asked, 10), exact(300), 10).first()[0] >= 0.9
+    untouched = {f: f.stat().st_mtime_ns for f in (tmp_path / "g" / "nodes").rglob("*.parquet")}
+    grown = graph.insert(p.filter("vec_id >= 300 OR vec_id < 5"), path, m=8, breadth=60)
+    assert grown.nodes.count() == 400 and grown.nodes.select("pmid").distinct().count() == 400
+    assert vectors.recall(grown.search(asked, 10, probes=4), exact(400), 10).first()[0] >= 0.9
+    one = p.filter("vec_id = 399").select(F.lit("new").alias("pmid"), "vector")
+    before = {f.parent.name: f.name for f in (tmp_path / "g" / "nodes").rglob("*.parquet")}
+    grown = grown.insert(one, path, m=8, breadth=60)
+    after = {f.parent.name: f.name for f in (tmp_path / "g" / "nodes").rglob("*.parquet")}
+    assert sum(before[k] != after[k] for k in before) == 1 and untouched
+    hit = grown.search(one.select(F.lit("q").alias("query_id"), "vector"), 2).collect()
+    assert {r["pmid"] for r in hit} == {"new", "399"}

@@ -46,14 +46,32 @@ def test_saved_indexes_checksums_and_metrics(spark, tmp_path, capsys):
     for extra in ([], ["--rerank"], ["--retriever", "hybrid", "--ann", "ivf"], ["--retriever", "dense", "--ann", "hnsw"]):
         assert main([*args, *extra], spark) == 0
         assert json.loads(capsys.readouterr().out)["mrr"] == json.loads((tmp_path / "m.json").read_text())["mrr"] == 1
-    assert (tmp_path / "index" / "bm25" / "terms").exists() and (tmp_path / "index" / "ivf" / "centroids").exists()
-    spark.range(1).selectExpr("99 AS version").write.mode("overwrite").parquet(f"{index}/bm25/format")
+    kept = {p.name.split("-")[0]: p for p in (tmp_path / "index").iterdir()}
+    assert set(kept) == {"bm25", "ivf", "hnsw"} and (kept["bm25"] / "terms").exists() and (kept["ivf"] / "centroids").exists()
+    spark.range(1).selectExpr("99 AS version").write.mode("overwrite").parquet(f"{kept['bm25']}/format")
     with pytest.raises(ValueError, match="format 99"):
-        bm25.Index.load(spark, f"{index}/bm25")
+        bm25.Index.load(spark, str(kept["bm25"]))
     with pytest.raises(ValueError, match="unknown retriever"):
         retrievers.build("sparse", spark.read.parquet(store))
 
 
+def test_kept_indexes_follow_the_store(spark, tmp_path):
+    store, index = DocumentStore(spark, str(tmp_path / "docs")), str(tmp_path / "index")
+    row = lambda i, title: (i, title, f"text of {i}", 2001, None, [])
+    asked = spark.createDataFrame([("q", "granite")], "query_id string, question string")
+    store.add(spark.createDataFrame([row("3", "granite"), row("4", "chalk")], DOCUMENT))
+    found = lambda kind, **o: {r["pmid"] for r in retrievers.build(kind, store.table(), index=index, **o).search(asked, 5).collect()}
+    assert found("bm25") == {"3"} and found("dense", ann="ivf", probes=9) == {"3", "4"}
+    store.add(spark.createDataFrame([row("7", "granite again")], DOCUMENT))
+    assert found("bm25") == {"3", "7"} and found("dense", ann="ivf", probes=9) == {"3", "4", "7"} and found("dense", ann="hnsw") == {"3", "4", "7"}
+    before = sorted(p.name for p in (tmp_path / "index").iterdir())
+    assert found("bm25") == {"3", "7"} and sorted(p.name for p in (tmp_path / "index").iterdir()) == before  # read back, not made again
+    from citeloom.operators.vectors import embed
+
+    found("dense", ann="ivf", encode=lambda t: embed(t, 16))
+    assert len(list((tmp_path / "index").iterdir())) == len(before) + 1
+
+
 def test_document_store(spark, tmp_path):
     store = DocumentStore(spark, str(tmp_path / "docs"))
     row = lambda i, title: (i, title, "a", 2001, None, [])
