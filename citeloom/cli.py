@@ -11,7 +11,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from citeloom.operators import answers, bm25, corpus, evaluation, retrievers
-from citeloom.sources import articles, files
+from citeloom.sources import articles, files, manifest
+from citeloom.sources.store import DocumentStore
 
 
 def _retriever_options(p: argparse.ArgumentParser) -> None:
@@ -36,6 +37,11 @@ def main(argv: list[str] | None = None, spark: SparkSession | None = None) -> in
     p.add_argument("inputs", nargs="+")
     p.add_argument("--store", required=True)
     p.add_argument("--no-domain-filter", action="store_true")
+    p = commands.add_parser("sync", help="ingest the files of a folder that weren't yet, or were corrupt")
+    p.add_argument("folder")
+    p.add_argument("--store", required=True)
+    p.add_argument("--manifest", help="the table of files; beside the store by default")
+    p.add_argument("--no-domain-filter", action="store_true")
     p = commands.add_parser("ask", help="answer a question with cited sentences, or abstain")
     p.add_argument("question")
     p.add_argument("--store", required=True)
@@ -55,16 +61,20 @@ def main(argv: list[str] | None = None, spark: SparkSession | None = None) -> in
 
     if args.command == "ingest":
         try:
-            print(json.dumps(articles.ingest(spark, args.inputs, args.store, domain_filter=not args.no_domain_filter)))
+            print(json.dumps(articles.ingest(spark, args.inputs, DocumentStore(spark, args.store), domain_filter=not args.no_domain_filter)))
         except (AnalysisException, ValueError) as e:
             print(f"no input: {e}"[:300], file=sys.stderr)
             return 1
         return 0
-    try:
-        docs = spark.read.parquet(args.store)
-    except AnalysisException:
+    store = DocumentStore(spark, args.store)
+    if args.command == "sync":
+        seen = manifest.Manifest(spark, args.manifest or args.store.rstrip("/") + ".files")
+        print(json.dumps(manifest.ingest_folder(spark, args.folder, store, seen, domain_filter=not args.no_domain_filter)))
+        return 0
+    if not store.snapshot()["version"] and store.table().isEmpty():
         print(f"no store at {args.store}", file=sys.stderr)
         return 1
+    docs = store.table()
     if args.command == "report":
         print(corpus.report(docs), end="")
     elif args.command == "ask":

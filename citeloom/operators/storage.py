@@ -31,13 +31,21 @@ def shared_dir(spark: SparkSession) -> str:
     return _fallback[0]
 
 
+def scratch(spark: SparkSession, kind: str) -> str:
+    """A new folder in the shared one, which goes when the JVM ends."""
+    where = f"{shared_dir(spark)}/citeloom/{kind}-{uuid.uuid4().hex}"
+    path = spark._jvm.org.apache.hadoop.fs.Path(where)
+    fs = path.getFileSystem(spark._jsc.hadoopConfiguration())
+    fs.mkdirs(path)
+    fs.deleteOnExit(path)  # only of what there is
+    return where
+
+
 def settled(df: DataFrame, *, by: str | None = None) -> DataFrame:
     """``df`` computed and kept as Parquet in the shared folder until the JVM ends; in folders of ``by``, so that a filter on it reads its own alone."""
     spark = df.sparkSession
-    where = f"{shared_dir(spark)}/citeloom/settled-{uuid.uuid4().hex}"
-    (df.write.partitionBy(by) if by else df.write).parquet(where)
-    path = spark._jvm.org.apache.hadoop.fs.Path(where)
-    path.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(path)
+    where = scratch(spark, "settled")
+    (df.write.partitionBy(by) if by else df.write).mode("append").parquet(where)
     return spark.read.schema(df.schema).parquet(where)
 
 
@@ -66,10 +74,8 @@ def _once(source: DataFrame, kind: str, build: Callable[[str], T]) -> tuple[str,
     spark = source.sparkSession
     key = (spark.sparkContext.applicationId, kind, _files_of(source))
     if key not in _built:
-        where = f"{shared_dir(spark)}/citeloom/{kind}-{uuid.uuid4().hex}"
+        where = scratch(spark, kind)
         _built[key] = where, build(where)
-        p = spark._jvm.org.apache.hadoop.fs.Path(where)
-        p.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(p)
     return _built[key]
 
 

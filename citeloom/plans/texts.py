@@ -6,7 +6,9 @@ from pyspark.sql import functions as F
 
 from citeloom.functions import text as X
 from citeloom.operators import corpus, evaluation, training, vocabulary
+from citeloom.operators.storage import scratch
 from citeloom.sources import files
+from citeloom.sources.store import KeyedStore
 from citeloom.sources.tables import dialogue, documents, questions, table
 
 from .registry import content_sql, query, sentences_sql, with_parts, words_sql
@@ -206,6 +208,19 @@ def split_checksum(s, d):
     return table(s, d, "benchmark").agg(F.count("*").alias("n"), F.sha2(F.array_join(F.transform(rows, lambda r: r["line"]), "\n"), 256).alias("checksum"))
 
 
+@query(_P("docs") + "SELECT pmid, CASE WHEN lang = 'en' THEN upper(title) ELSE title END AS title, lang FROM docs WHERE lang <> 'de' UNION ALL SELECT 'new', 'added', 'xx'")
+def store_merge(s, d):
+    """A stored table after an update of some rows, the removal of others, compaction and one more row."""
+    docs = documents(s, d).select("pmid", "title", "lang")
+    store = KeyedStore(s, scratch(s, "store"), key="pmid")
+    store.upsert(docs)
+    store.upsert(docs.filter("lang = 'en'").withColumn("title", F.upper("title")))
+    store.remove(docs.filter("lang = 'de'"))
+    store.compact()
+    store.upsert(s.createDataFrame([("new", "added", "xx")], "pmid string, title string, lang string"))
+    return store.table()
+
+
 @query(_P("docs bench qrels") + "SELECT query_id, CAST(count(*) AS BIGINT) AS n_relevant, string_agg(pmid, ',' ORDER BY pmid) AS relevant FROM qrels GROUP BY query_id")
 def qrels_build(s, d):
     found = corpus.passages_within(table(s, d, "documents").select(F.col("doc_id").cast("string").alias("pmid"), "text"), questions(s, d))

@@ -6,6 +6,7 @@ import gzip
 import io
 import re
 from collections.abc import Iterator
+from typing import BinaryIO
 from xml.etree import ElementTree
 
 from pyspark.sql import DataFrame, SparkSession
@@ -14,8 +15,11 @@ from pyspark.sql import functions as F
 from citeloom.functions import text as X
 from citeloom.operators.storage import replace, settled
 
+from .store import DocumentStore
+
 SCHEMA = "pmid string, title string, abstract string, year int, journal string, mesh_terms array<string>"
-RAW = "file_seq int, at long, pmid string, title string, sections array<string>, year_text string, medline string, journal string, languages array<string>, headings array<string>"
+
+FIELDS = "pmid string, title string, sections array<string>, year_text string, medline string, journal string, languages array<string>, headings array<string>"
 
 _FILE = re.compile(r"\.xml(\.gz)?$")
 
@@ -24,12 +28,16 @@ def _text(e: ElementTree.Element | None) -> str | None:
     return None if e is None else "".join(e.itertext())
 
 
-def read_articles(content: bytes) -> Iterator[tuple]:
-    """Raw fields of each article; elements go as soon as they are read."""
-    stream = gzip.open(io.BytesIO(content)) if content[:2] == b"\x1f\x8b" else io.BytesIO(content)
-    at = 0
-    for _, e in ElementTree.iterparse(stream, events=("end",)):
-        if e.tag != "PubmedArticle":
+def read_articles(stream: BinaryIO) -> Iterator[tuple]:
+    """Raw fields of each article of an XML stream, plain or gzipped; elements go as soon as they are read, so a file of any length passes through."""
+    start = stream.read(2)
+    stream = _After(start, stream)
+    parse = ElementTree.iterparse(gzip.open(stream) if start == b"\x1f\x8b" else stream, events=("start", "end"))
+    root, at = None, 0
+    for event, e in parse:
+        if root is None:
+            root = e
+        if event == "start" or e.tag != "PubmedArticle":
             continue
         c = e.find("MedlineCitation")
         article = None if c is None else c.find("Article")
@@ -47,7 +55,24 @@ def read_articles(content: bytes) -> Iterator[tuple]:
                 [_text(s) for s in c.findall("MeshHeadingList/MeshHeading/DescriptorName")],
             )
         at += 1
-        e.clear()
+        if e is not root:
+            root.clear()
+
+
+class _After(io.RawIOBase):
+    """A stream with the bytes that were read of it put back."""
+
+    def __init__(self, start: bytes, rest: BinaryIO):
+        self.start, self.rest = start, rest
+
+    def readable(self) -> bool:
+        return True
+
+    def read(self, n: int = -1) -> bytes:
+        if not self.start:
+            return self.rest.read(n)
+        head, self.start = (self.start, b"") if n is None or n < 0 else (self.start[:n], self.start[n:])
+        return head + self.rest.read(n) if n is None or n < 0 else head
 
 
 def raw_articles(spark: SparkSession, paths: list[str]) -> DataFrame:
@@ -78,11 +103,11 @@ def parsed(files: DataFrame) -> DataFrame:
 
         for pdf in batches:
             for given, path, content in pdf.itertuples(index=False):
-                rows = [(given, path, *r) for r in read_articles(bytes(content))]
+                rows = [(given, path, *r) for r in read_articles(io.BytesIO(content))]
                 if rows:
                     yield pd.DataFrame(rows, columns=["given", "path", "at", "pmid", "title", "sections", "year_text", "medline", "journal", "languages", "headings"])
 
-    return files.mapInPandas(parse, "given int, path string, at long, pmid string, title string, sections array<string>, year_text string, medline string, journal string, languages array<string>, headings array<string>")
+    return files.mapInPandas(parse, f"given int, path string, at long, {FIELDS}")
 
 
 def articles(raw: DataFrame, language: str = "eng") -> DataFrame:
@@ -101,20 +126,26 @@ def articles(raw: DataFrame, language: str = "eng") -> DataFrame:
     return rows.filter((F.col("pmid") != "") & (F.col("title") != "") & (F.col("abstract") != "") & X.is_language(F.col("tags"), language)).drop("tags")
 
 
-def ingest(spark: SparkSession, paths: list[str], store: str, *, domain_filter: bool = True) -> dict[str, int]:
-    """Parse, de-duplicate, keep documents in scope and upsert them into the Parquet store; counts of each step."""
+def ingest(spark: SparkSession, paths: list[str], store: str | DocumentStore, *, domain_filter: bool = True, raw: DataFrame | None = None) -> dict[str, int]:
+    """Parse, de-duplicate, keep documents in scope and upsert them; counts of each step.
+
+    A store of base and deltas gets what is new alone; a path names a plain Parquet table, which is written anew. ``raw`` has the articles, if they were read already.
+    """
     from pyspark.errors import AnalysisException
 
     from citeloom.operators.corpus import deduplicate, upsert
 
-    found = settled(articles(raw_articles(spark, paths)))
+    found = settled(articles(raw_articles(spark, paths) if raw is None else raw))
     unique = deduplicate(found)
     kept = unique.filter(F.size(X.domains(F.col("mesh_terms"))) > 0) if domain_filter else unique
     kept = settled(kept)
-    new = kept.drop("seq").withColumn("seq", F.lit(1))
-    try:
-        old = settled(spark.read.parquet(store).withColumn("seq", F.lit(0)))
-    except AnalysisException:
-        old = new.limit(0)
-    replace(upsert(old, new).drop("seq"), store)
+    if isinstance(store, DocumentStore):
+        store.upsert(kept.drop("seq"))
+    else:
+        new = kept.drop("seq").withColumn("seq", F.lit(1))
+        try:
+            old = settled(spark.read.parquet(store).withColumn("seq", F.lit(0)))
+        except AnalysisException:
+            old = new.limit(0)
+        replace(upsert(old, new).drop("seq"), store)
     return {"parsed": found.count(), "unique": unique.count(), "in_domain": kept.count(), "stored": kept.count()}

@@ -6,31 +6,25 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from citeloom.operators.corpus import upsert
+from citeloom.sources.store import DocumentStore
 
 
 def stream_upserts(stream: DataFrame, store: str, checkpoint: str) -> StreamingQuery:
-    """Upsert each micro-batch of documents (pmid, ..., seq) into a Parquet store.
+    """Upsert each micro-batch of documents (pmid, ..., seq) into a store of base and deltas; of a document's rows that of the largest seq counts.
 
-    A batch writes the whole store anew beside the one before, which stays for readers; a batch that runs again overwrites its own.
+    A batch writes its own rows alone. One that runs again, as after a lost driver, is known by its number and not written twice.
     """
 
     def write(batch: DataFrame, number: int) -> None:
-        spark = batch.sparkSession
-        old = read_store(spark, store, number)
-        rows = upsert(batch.limit(0) if old is None else old, batch)
-        rows.write.mode("overwrite").parquet(f"{store}/batch={number}")
+        DocumentStore(batch.sparkSession, store).upsert(batch, done=(checkpoint, number))
 
     return stream.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
-def read_store(spark: SparkSession, store: str, before: int | None = None) -> DataFrame | None:
-    """The newest whole store, or that before batch ``before``; None if there is none yet."""
-    fs_path = spark._jvm.org.apache.hadoop.fs.Path(f"{store}/batch=*/_SUCCESS")
-    found = fs_path.getFileSystem(spark._jsc.hadoopConfiguration()).globStatus(fs_path)
-    batches = {int(str(f.getPath().getParent().getName()).split("=")[1]): str(f.getPath().getParent()) for f in (found or [])}
-    batches = {n: p for n, p in batches.items() if before is None or n < before}
-    return spark.read.parquet(batches[max(batches)]) if batches else None
+def read_store(spark: SparkSession, store: str, version: int | None = None) -> DataFrame | None:
+    """The newest snapshot of the store, or that of ``version``; None if there is none yet."""
+    found = DocumentStore(spark, store)
+    return found.table(version) if found.snapshot()["version"] else None
 
 
 def windowed_latency(events: DataFrame, *, width: str = "5 minutes", late: str = "10 minutes") -> DataFrame:
