@@ -4,6 +4,9 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -83,7 +86,7 @@ class Index:
 
 
 def scores(index: Index, queries: DataFrame, *, k1: float = K1, b: float = B, analyze=X.terms) -> DataFrame:
-    """(query_id, pmid, score) of all documents that have a term of the question, over its distinct terms.
+    """(query_id, pmid, score) of all documents that have a term of the question, over its distinct terms; what ``search`` ranks without making it.
 
     Of a few questions (FEW_TERMS distinct terms at most) the terms are pushed down to the scan of the postings.
     """
@@ -97,9 +100,80 @@ def scores(index: Index, queries: DataFrame, *, k1: float = K1, b: float = B, an
     return found.groupBy("query_id", "pmid").agg(F.sum(part).alias("score"))
 
 
-def search(index: Index, queries: DataFrame, k: int = 10, **options) -> DataFrame:
-    """(query_id, rank, pmid, score) of the ``k`` best, ties to the smaller id."""
-    return top(scores(index, queries, **options), k).select("query_id", "rank", "pmid", "score")
+#: Documents of a shard, about.
+SHARD_DOCS = 50_000
+
+_FOUND = pa.schema([("query_id", pa.string()), ("pmid", pa.string()), ("score", pa.float64())])
+
+
+def best_of_shard(post: pa.Table, asked: pa.Table, k: int) -> pa.Table:
+    """Of post(pmid, term, part) the documents that can be among the ``k`` best of each question of asked(query_id, term, idf), with their scores.
+
+    A question's terms are added up from the largest bound (idf times the largest part of the term here) to the smallest. As soon as the bounds that are left
+    can't lift a document to the k-th best sum so far, the rest is looked up for the others alone.
+    """
+    if not post.num_rows or not asked.num_rows:
+        return _FOUND.empty_table()
+    ids = pc.unique(post.column("pmid")).sort()
+    doc = pc.index_in(post.column("pmid").combine_chunks(), value_set=ids).to_numpy(zero_copy_only=False).astype(np.int64)
+    terms = pc.unique(post.column("term"))
+    code = pc.index_in(post.column("term").combine_chunks(), value_set=terms).to_numpy(zero_copy_only=False)
+    order = np.lexsort((doc, code))
+    doc, part = doc[order], post.column("part").to_numpy()[order]
+    starts = np.searchsorted(code[order], np.arange(len(terms) + 1))
+    most = np.maximum.reduceat(part, starts[:-1])
+    asked = asked.sort_by([("query_id", "ascending"), ("term", "ascending")])
+    at = pc.index_in(asked.column("term").combine_chunks(), value_set=terms).fill_null(-1).to_numpy()
+    weight, names = asked.column("idf").to_numpy(), asked.column("query_id").combine_chunks().dictionary_encode()
+    edges = np.flatnonzero(np.diff(names.indices.to_numpy(), prepend=-1, append=len(names.dictionary)))
+    out: list[tuple[str, np.ndarray, np.ndarray]] = []
+    for begin, end in zip(edges[:-1], edges[1:]):
+        here = np.flatnonzero(at[begin:end] >= 0) + begin
+        bound = weight[here] * most[at[here]]
+        here, bound = here[np.argsort(-bound, kind="stable")], np.sort(bound)[::-1]
+        left = np.concatenate([np.cumsum(bound[::-1])[::-1], [0.0]])
+        score, alive, least = np.zeros(len(ids)), None, 0.0
+        for i, h in enumerate(here):
+            d, v = doc[starts[at[h]] : starts[at[h] + 1]], part[starts[at[h]] : starts[at[h] + 1]]
+            if alive is None and i and len(ids) > k and left[i] < score.max():
+                least = np.partition(score, -k)[-k]
+                if left[i] < least - _NEAR:
+                    alive = np.flatnonzero(score + left[i] >= least - _NEAR)
+            if alive is None:
+                score[d] += weight[h] * v
+            else:
+                place = np.minimum(np.searchsorted(d, alive), len(d) - 1)
+                held = d[place] == alive
+                score[alive[held]] += weight[h] * v[place[held]]
+        found = np.flatnonzero(score > 0) if alive is None else alive
+        if len(found) > k:
+            found = found[score[found] >= np.partition(score[found], -k)[-k] - _NEAR]
+        out.append((names.dictionary[names.indices[int(begin)].as_py()].as_py(), found, score[found]))
+    sizes = [len(f) for _, f, _ in out]
+    where = np.concatenate([f for _, f, _ in out]) if out else np.zeros(0, np.int64)
+    return pa.table([pa.array(np.repeat(np.array([q for q, _, _ in out], object), sizes), pa.string()), ids.take(pa.array(where)), pa.array(np.concatenate([s for *_, s in out]) if out else [], pa.float64())], schema=_FOUND)
+
+
+#: Scores nearer than this are compared by ``top``, which rounds them.
+_NEAR = 1e-8
+
+
+def search(index: Index, queries: DataFrame, k: int = 10, *, k1: float = K1, b: float = B, analyze=X.terms) -> DataFrame:
+    """(query_id, rank, pmid, score) of the ``k`` best, ties to the smaller id.
+
+    Postings of the questions' terms are dealt to shards of about SHARD_DOCS documents by a hash of the id, and the questions to each; a shard sends on
+    what can be among its own best, by ``best_of_shard``. The result is that of ranking all ``scores``.
+    """
+    asked = queries.select(F.col("query_id").cast("string").alias("query_id"), F.explode(F.array_distinct(analyze(F.col("question")))).alias("term"))
+    few = [r["term"] for r in asked.select("term").distinct().limit(FEW_TERMS + 1).collect()]
+    totals_ = index.totals.first()
+    post = index.postings.filter(F.col("term").isin(few)) if len(few) <= FEW_TERMS else index.postings.join(asked.select("term").distinct(), "term", "left_semi")
+    shards = max(-(-totals_["n_docs"] // SHARD_DOCS), int(queries.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    tf, norm = F.col("tf"), 1 - b + b * F.col("dl") / F.lit(totals_["avgdl"] or 1.0)
+    left = post.select(F.pmod(F.xxhash64("pmid"), F.lit(shards)).cast("int").alias("shard"), "pmid", "term", (tf * (k1 + 1) / (tf + k1 * norm)).alias("part"))
+    right = asked.join(index.terms.select("term", "idf"), "term").select(F.explode(F.sequence(F.lit(0), F.lit(shards - 1))).alias("q_shard"), "query_id", "term", "idf")
+    found = left.groupBy("shard").cogroup(right.groupBy("q_shard")).applyInArrow(lambda x, q: best_of_shard(x, q, k), "query_id string, pmid string, score double")
+    return top(found, k).select("query_id", "rank", "pmid", "score")
 
 
 def resolve(hits: DataFrame, docs: DataFrame) -> DataFrame:

@@ -6,12 +6,12 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from citeloom.functions import text as X
-from citeloom.operators import answers, evaluation, learning, training, vectors, verification
-from citeloom.operators.storage import built_once
+from citeloom.operators import answers, bm25, evaluation, generation, learning, training, vectors, verification
+from citeloom.operators.storage import built_once, settled
 from citeloom.sources.tables import documents, questions, table
 
 from .registry import query
-from .search import _answers, _hits
+from .search import _answers, _hits, _index
 
 _HASHED, _EPOCHS, _TERMS = 4096, 4, 1024
 
@@ -139,3 +139,27 @@ def dense_trained_topk(s, d):
     asked = encoder.encode(questions(s, d).select(F.col("query_id").alias("pmid"), F.col("question").alias("text"))).select(F.col("pmid").alias("query_id"), "vector")
     docs = encoder.encode(documents(s, d).select("pmid", X.chunk(F.col("title"), F.col("abstract")).alias("text")))
     return vectors.block_top(asked, docs, 10).select("query_id", "rank", "pmid", F.round("score", 6).alias("score"))
+
+
+def _generated(s, d) -> DataFrame:
+    return generation.generate(questions(s, d), _hits(s, d), documents(s, d))
+
+
+@query()
+def generate_answers(s, d):
+    """Answers decoded from the passages under the grammar, and whether all their citations are valid."""
+    made = _generated(s, d)
+    return made.select("query_id", "text", F.size("passages").alias("n_passages"), generation.well_formed(F.col("text"), F.col("passages")).alias("well_formed"))
+
+
+@query()
+def ladder_trained(s, d):
+    """The ladder over decoded answers under the trained verifier, for the questions and three that no document answers: all three rungs are reached."""
+    off = s.createDataFrame([("off1", "zzxqv wwkkj qqzzt"), ("off2", ""), ("off3", None)], "query_id string, question string")
+    asked, docs = questions(s, d).unionByName(off), documents(s, d)
+    hits = settled(bm25.search(_index(s, d), asked, 10))
+    made = settled(generation.spoken(generation.generate(asked, hits, docs)))
+    model = _verifier(s, d).model
+    checked = verification.verdicts(made, docs, lambda premise, hypothesis: model.label(learning.pair_features(premise, hypothesis)))
+    extracted = answers.render(answers.extract(asked, hits, docs))
+    return verification.ladder(asked, made, verification.report(made, checked), extracted).select("query_id", "confidence", F.md5("text").alias("text_md5"))

@@ -188,3 +188,17 @@ def test_graph_is_stored_searched_and_grown(spark, tmp_path):
     assert sum(before[k] != after[k] for k in before) == 1 and untouched
     hit = grown.search(one.select(F.lit("q").alias("query_id"), "vector"), 2).collect()
     assert {r["pmid"] for r in hit} == {"new", "399"}
+
+
+def test_search_by_bounds_is_the_ranking_of_all_scores(spark):
+    rnd = random.Random(11)
+    words = [f"w{i}" for i in range(60)]
+    weights = [1 / (i + 1) for i in range(60)]
+    docs = spark.createDataFrame([(str(i), "t", " ".join(rnd.choices(words, weights, k=rnd.randint(1, 60)))) for i in range(400)] + [("c1", "t", "w50 w51"), ("c2", "t", "w50 w51"), ("e", "", "")], "pmid string, title string, abstract string")
+    asked = spark.createDataFrame([(f"q{i}", " ".join(rnd.choices(words, k=rnd.randint(1, 12)))) for i in range(30)] + [("none", "zz"), ("blank", ""), ("null", None)], "query_id string, question string")
+    index = bm25.Index.build(docs)
+    for k in (1, 7, 1000):
+        want = ranking.top(bm25.scores(index, asked), k)
+        rows = lambda df: sorted((r.query_id, r["rank"], r.pmid, round(r.score, 9)) for r in df.collect())
+        assert rows(bm25.search(index, asked, k)) == rows(want)
+    assert bm25.search(bm25.Index.build(docs.limit(0)), asked, 5).count() == 0 and bm25.search(index, asked.limit(0), 5).count() == 0
