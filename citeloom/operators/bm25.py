@@ -54,6 +54,7 @@ class Index:
     postings: DataFrame
     terms: DataFrame
     totals: DataFrame
+    counted: DataFrame | None = None  # one row: n_docs, which needs no texts
 
     @classmethod
     def build(cls, docs: DataFrame, analyze=X.terms) -> Index:
@@ -63,14 +64,17 @@ class Index:
         post = sized.select("pmid", "dl", F.explode("ts").alias("term")).groupBy("pmid", "term", "dl").agg(F.count("*").alias("tf"))
         total = totals(sized.select("dl"))
         df = post.groupBy("term").agg(F.count("*").alias("df"))
-        return cls(post, df.crossJoin(F.broadcast(total)).select("term", "df", idf(F.col("df"), F.col("n_docs")).alias("idf")), total)
+        return cls(post, df.crossJoin(F.broadcast(total)).select("term", "df", idf(F.col("df"), F.col("n_docs")).alias("idf")), total, docs.agg(F.count("*").alias("n_docs")))
 
     def save(self, path: str) -> Index:
         """Write the tables, each from those before it, and return the index that reads them."""
         spark = self.totals.sparkSession
         self.postings.repartition("term").sortWithinPartitions("term").write.mode("overwrite").parquet(f"{path}/postings")
-        self.totals.write.mode("overwrite").parquet(f"{path}/totals")
-        post, total = (spark.read.parquet(f"{path}/{t}") for t in ("postings", "totals"))
+        post = spark.read.parquet(f"{path}/postings")
+        size = F.coalesce(F.sum("tf"), F.lit(0))
+        total = self.totals if self.counted is None else self.counted.crossJoin(post.agg(size.alias("terms"))).select("n_docs", F.coalesce(F.col("terms") / F.nullif(F.col("n_docs"), F.lit(0)), F.lit(0.0)).alias("avgdl"))  # single rows
+        total.write.mode("overwrite").parquet(f"{path}/totals")
+        total = spark.read.parquet(f"{path}/totals")
         df = post.groupBy("term").agg(F.count("*").alias("df")).crossJoin(F.broadcast(total))
         df.select("term", "df", idf(F.col("df"), F.col("n_docs")).alias("idf")).write.mode("overwrite").parquet(f"{path}/terms")
         spark.range(1).select(F.lit(FORMAT_VERSION).alias("version")).write.mode("overwrite").parquet(f"{path}/format")
