@@ -118,7 +118,9 @@ def exact_dedup(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "tex
 def drop_exact_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``docs`` without the rows that repeat another's text; all its columns, whatever their names.
 
-    Of each group of equal texts one row stays, of the largest id; of rows that repeat that id, any one.
+    Of each group of equal texts one row stays, of the largest id; of rows that repeat that id, any one. Null texts equal empty ones, and stay null where
+    such a row stays. An empty table gives an empty result. The joins by a text's name have as hot a key as the commonest text; splitting skewed
+    joins, which Spark does by itself, spreads it.
     """
     found = stash(exact_dedup(docs, id_col=id_col, text_col=text_col).select("doc_id", "kept", F.unhex("text_sha256").alias("th")), "kept")
     ids = stash(found.groupBy("doc_id").agg(F.count("*").alias("n"), F.bool_or("kept").alias("kept")).filter("n > 1 OR NOT kept"), "ids")

@@ -382,8 +382,8 @@ def near_dedup(docs: DataFrame, **options) -> DataFrame:
 def drop_near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
     """``docs`` with one row of each component, of the smallest id (a row with an id, if there is one); all columns, whatever their names.
 
-    Of rows of that id in one component the text of the smallest SHA-256 stays, and of rows that repeat it, one. Texts without words are
-    in no component and all stay.
+    Of rows of that id in one component the text of the smallest SHA-256 stays, and of rows that repeat it, one. Texts without words, null and
+    empty ones among them, are in no component and all stay. An empty table gives an empty result.
     """
     rows = _labelled(docs, id_col=id_col, text_col=text_col, **options).filter("ck IS NOT NULL")
     keys = ["id", "no_id", "th"]

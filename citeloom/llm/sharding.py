@@ -199,7 +199,7 @@ def shard_documents(docs: DataFrame, shards: int = 8, *, id_col: str = "doc_id",
 
     Returns doc_id, size, text_crc32, law ('bytes'), shard, slot (gapless from 0 in the shard, in
     order of a hash of the id), grown_shard (null: with one more shard, others would move as well). One row
-    for each input row, with null or repeated ids too; an empty table gives an empty result.
+    for each input row, with null or repeated ids too. Other columns are not carried; an empty table gives an empty result.
     """
     text = F.coalesce(F.col(text_col), F.lit(""))
     rows = stash(

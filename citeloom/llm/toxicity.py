@@ -442,7 +442,10 @@ def score_toxicity(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id"
 
 
 def drop_toxic(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
-    """``docs`` without rows that score_toxicity predicts to be toxic; all columns stay. Rows are scored in place, by their own text."""
+    """``docs`` without rows that score_toxicity predicts to be toxic; all columns stay. Rows are scored in place, by their own text.
+
+    Null texts count as empty and stay null; rows that repeat an id or a text are scored alike. An empty table gives an empty result; without labels nothing is toxic.
+    """
     model = docs.sparkSession.sparkContext.broadcast(learn(docs, labels, id_col=id_col, text_col=text_col, **options))
     scanners: dict[str, Scanner] = {}
 
