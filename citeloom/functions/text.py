@@ -6,10 +6,50 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 # Words without content of their own.
-STOPWORDS = (
-    "a an and are as at be by can but did do does for from has in is it its may no not of on or our than that the their there "
-    "these they this those to was we were which with"
-).split()
+STOPWORDS = [
+    "a",
+    "an",
+    "and",
+    "are",
+    "as",
+    "at",
+    "be",
+    "by",
+    "can",
+    "but",
+    "did",
+    "do",
+    "does",
+    "for",
+    "from",
+    "has",
+    "in",
+    "is",
+    "it",
+    "its",
+    "may",
+    "no",
+    "not",
+    "of",
+    "on",
+    "or",
+    "our",
+    "than",
+    "that",
+    "the",
+    "their",
+    "there",
+    "these",
+    "they",
+    "this",
+    "those",
+    "to",
+    "was",
+    "we",
+    "were",
+    "which",
+    "with",
+]
 
 # Keywords of each topic, parts of lower-case subject headings.
 DOMAIN_KEYWORDS = {
