@@ -104,14 +104,14 @@ def scores(index: Index, queries: DataFrame, *, k1: float = K1, b: float = B, an
     return found.groupBy("query_id", "pmid").agg(F.sum(part).alias("score"))
 
 
-#: Documents of a shard, about.
-SHARD_DOCS = 50_000
+#: Documents of a shard, at most about, and at least where there are fewer shards than cores.
+SHARD_DOCS, SMALL_SHARD = 50_000, 1000
 
 _FOUND = pa.schema([("query_id", pa.string()), ("pmid", pa.string()), ("score", pa.float64())])
 
 
 def best_of_shard(post: pa.Table, asked: pa.Table, k: int) -> pa.Table:
-    """Of post(pmid, term, part) the documents that can be among the ``k`` best of each question of asked(query_id, term, idf), with their scores.
+    """Of post(pmid, term, part) the ``k`` best documents of each question of asked(query_id, term, idf), ties to the smaller id, with their scores to nine places.
 
     A question's terms are added up from the largest bound (idf times the largest part of the term here) to the smallest. As soon as the bounds that are left
     can't lift a document to the k-th best sum so far, the rest is looked up for the others alone.
@@ -149,16 +149,19 @@ def best_of_shard(post: pa.Table, asked: pa.Table, k: int) -> pa.Table:
                 place = np.minimum(np.searchsorted(d, alive), len(d) - 1)
                 held = d[place] == alive
                 score[alive[held]] += weight[h] * v[place[held]]
-        found = np.flatnonzero(score > 0) if alive is None else alive
+        found = np.flatnonzero(score > 0) if alive is None else alive  # in the order of ids, which a stable sort keeps among equals
+        ranked = np.round(score[found], 9)
         if len(found) > k:
-            found = found[score[found] >= np.partition(score[found], -k)[-k] - _NEAR]
-        out.append((names.dictionary[names.indices[int(begin)].as_py()].as_py(), found, score[found]))
+            near = np.flatnonzero(ranked >= np.partition(ranked, -k)[-k])
+            near = near[np.argsort(-ranked[near], kind="stable")[:k]]
+            found, ranked = found[near], ranked[near]
+        out.append((names.dictionary[names.indices[int(begin)].as_py()].as_py(), found, ranked))
     sizes = [len(f) for _, f, _ in out]
     where = np.concatenate([f for _, f, _ in out]) if out else np.zeros(0, np.int64)
     return pa.table([pa.array(np.repeat(np.array([q for q, _, _ in out], object), sizes), pa.string()), ids.take(pa.array(where)), pa.array(np.concatenate([s for *_, s in out]) if out else [], pa.float64())], schema=_FOUND)
 
 
-#: Scores nearer than this are compared by ``top``, which rounds them.
+#: Sums of documents are compared with what this leaves to rounding.
 _NEAR = 1e-8
 
 
@@ -166,13 +169,14 @@ def search(index: Index, queries: DataFrame, k: int = 10, *, k1: float = K1, b:
     """(query_id, rank, pmid, score) of the ``k`` best, ties to the smaller id.
 
     Postings of the questions' terms are dealt to shards of about SHARD_DOCS documents by a hash of the id, and the questions to each; a shard sends on
-    what can be among its own best, by ``best_of_shard``. The result is that of ranking all ``scores``.
+    its own ``k`` best, by ``best_of_shard``. The result is that of ranking all ``scores``.
     """
     asked = queries.select(F.col("query_id").cast("string").alias("query_id"), F.explode(F.array_distinct(analyze(F.col("question")))).alias("term"))
     few = [r["term"] for r in asked.select("term").distinct().limit(FEW_TERMS + 1).collect()]
     totals_ = index.totals.first()
     post = index.postings.filter(F.col("term").isin(few)) if len(few) <= FEW_TERMS else index.postings.join(asked.select("term").distinct(), "term", "left_semi")
-    shards = max(-(-totals_["n_docs"] // SHARD_DOCS), int(queries.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    n = totals_["n_docs"]
+    shards = max(1, -(-n // SHARD_DOCS), min(queries.sparkSession.sparkContext.defaultParallelism, -(-n // SMALL_SHARD)))
     tf, norm = F.col("tf"), 1 - b + b * F.col("dl") / F.lit(totals_["avgdl"] or 1.0)
     left = post.select(F.pmod(F.xxhash64("pmid"), F.lit(shards)).cast("int").alias("shard"), "pmid", "term", (tf * (k1 + 1) / (tf + k1 * norm)).alias("part"))
     right = asked.join(index.terms.select("term", "idf"), "term").select(F.explode(F.sequence(F.lit(0), F.lit(shards - 1))).alias("q_shard"), "query_id", "term", "idf")
