@@ -154,7 +154,7 @@ def generate_answers(s, d):
 
 @query()
 def ladder_trained(s, d):
-    """The ladder over decoded answers under the trained verifier, for the questions and three that no document answers: all three rungs are reached."""
+    """The ladder over decoded answers under the trained verifier, for the questions and three that no document answers."""
     off = s.createDataFrame([("off1", "zzxqv wwkkj qqzzt"), ("off2", ""), ("off3", None)], "query_id string, question string")
     asked, docs = questions(s, d).unionByName(off), documents(s, d)
     hits = settled(bm25.search(_index(s, d), asked, 10))
