@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import stash
-from .words import dictionaries, positions, rejoin, slices
+from .words import block_of, dictionaries, positions, rejoin, slices
 
 #: Bytes of which contexts of three may consist: all.
 ALPHABET = 256
@@ -179,7 +179,7 @@ def _rare(codes: np.ndarray, hot: np.ndarray) -> np.ndarray:
 
 
 def code_logs(entries: DataFrame, counted: DataFrame, trie, hot: np.ndarray) -> DataFrame:
-    """(word, value): the log10 probability of each distinct code of entries(word), from all counts of its context of three."""
+    """(word, block, value): the log10 probability of each distinct code of entries(word, block), from all counts of its context of three."""
     frequent = np.flatnonzero(hot).tolist()
     inside = F.lit(True)
     for shift in (8, 16, 24):
@@ -187,13 +187,13 @@ def code_logs(entries: DataFrame, counted: DataFrame, trie, hot: np.ndarray) ->
     rest = counted.filter(~inside)
     parts = max(64, -(-rest.count() // _PART_ROWS))
     part = F.pmod(F.xxhash64(F.shiftright("code", 8)), F.lit(parts)).alias("part")
-    asked = entries.select("word").distinct().withColumn("code", F.conv(F.hex(F.expr("substring(word, 2)")), 16, 10).cast("long"))
+    asked = entries.select("word", "block").distinct().withColumn("code", F.conv(F.hex(F.expr("substring(word, 2)")), 16, 10).cast("long"))
 
     def run(left: pa.Table, right: pa.Table) -> pa.Table:
         codes, known, n = (t.column(c).to_numpy().astype(np.int64) for t, c in ((left, "code"), (right, "code"), (right, "n")))
-        return pa.table({"word": left.column("word"), "value": pa.array(trie.value.logs(codes, known, n), pa.float64())})
+        return pa.table({"word": left.column("word"), "block": left.column("block"), "value": pa.array(trie.value.logs(codes, known, n), pa.float64())})
 
-    return asked.select(part, "word", "code").groupBy("part").cogroup(rest.select(part, "code", "n").groupBy("part")).applyInArrow(run, "word binary, value double")
+    return asked.select(part, "word", "block", "code").groupBy("part").cogroup(rest.select(part, "code", "n").groupBy("part")).applyInArrow(run, "word binary, block long, value double")
 
 
 def ppm_scores(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", folds: int = 10) -> DataFrame:
@@ -224,11 +224,12 @@ def ppm_scores(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text
 
     is_code = F.expr("substring(word, 1, 1)") == F.lit(bytearray(_CODE))
     entries = stash(dictionaries(source, split, chunk_bytes=_CHUNK_BYTES).select("chunk", "idx", "word", "n_train"), "entries")
+    entries = entries.withColumn("block", block_of(F.col("chunk")))
+    worded, coded = entries.filter(~is_code), entries.filter(is_code)
+    # A word of every chunk has a row for each: they are summed by block, then a row for each block meets in the word's window.
     by_word = Window.partitionBy("word")
-    known = stash(
-        entries.filter(~is_code).select("chunk", "idx", F.sum("n_train").over(by_word).alias("c"), (F.row_number().over(by_word.orderBy("chunk", "idx")) == 1).alias("first")),
-        "word-counts",
-    )
+    sums = worded.groupBy("word", "block").agg(F.sum("n_train").alias("c"))
+    known = stash(sums.select("word", "block", F.sum("c").over(by_word).alias("c"), (F.min("block").over(by_word) == F.col("block")).alias("first")), "word-counts")
     row = known.filter("first").agg(F.coalesce(F.sum("c"), F.lit(0)).alias("n"), F.count(F.when(F.col("c") > 0, 1)).alias("v")).first()
     ends = counted.filter(F.col("code").bitwiseAND(255) == EDGE).agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
     total, distinct = row["n"] + ends, row["v"] + (ends > 0)
@@ -255,7 +256,6 @@ def ppm_scores(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text
         return pa.table({"doc_id": pa.array(meta["doc_id"], pa.int64()), "held_out": meta["held_out"], "n_tokens": n + 1, "n_known": n_known, "train_tokens": np.full(len(n), total), "base_score": base, "score": score})
 
     schema = "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
-    coded = entries.filter(is_code)
-    logs = coded.join(code_logs(coded, counted, trie, hot), "word").select("chunk", "idx", "value")
-    found = known.select("chunk", "idx", F.col("c").cast("double").alias("value")).unionByName(logs)
+    values = known.select("word", "block", F.col("c").cast("double").alias("value")).unionByName(code_logs(coded, counted, trie, hot))
+    found = entries.join(values, ["word", "block"]).select("chunk", "idx", "value")
     return rejoin(positions(source, split, extra, chunk_bytes=_CHUNK_BYTES), found, assemble, schema)

@@ -23,13 +23,17 @@ import pyarrow as pa
 import pyarrow.compute as pc
 import zstandard
 from pyspark import TaskContext
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import StructType
 
 #: Bytes of text in a chunk. A longer text is a chunk by itself.
 CHUNK_BYTES = 28_000_000
 
+#: Partitions, and chunks of each, whose chunks make a block: at most their product of chunks. Both are powers of two.
+BLOCK_PARTITIONS, BLOCK_CHUNKS = 128, 64
+
 #: text -> its words, all of one kind (str or bytes)
 Splitter = Callable[[bytes], list]
 
@@ -42,6 +46,13 @@ class Numbers(dict):
         return n
 
 
+def block_of(chunk: Column, partitions: int = BLOCK_PARTITIONS, chunks: int = BLOCK_CHUNKS) -> Column:
+    """The block of a chunk. A word that stands in every chunk has a row for each, too many for one task; by (word, block) it has a bounded number."""
+    low = chunks.bit_length() - 1
+    within = F.shiftright(chunk, 16 + low).bitwiseAND((1 << 20 - low) - 1)
+    return F.shiftleft(F.shiftright(chunk, 36 + partitions.bit_length() - 1), 20 - low).bitwiseOR(within)
+
+
 def slices(batches: Iterator[pa.RecordBatch], column: str, limit: int) -> Iterator[pa.RecordBatch]:
     """Cut batches so that ``column`` has at most ``limit`` bytes in each, or one row."""
     for batch in batches:

@@ -3,7 +3,9 @@ import random
 import zlib
 from collections import Counter, defaultdict
 
-from citeloom.llm import ppm
+from pyspark.sql import functions as F
+
+from citeloom.llm import ppm, words
 from citeloom.llm.ppm import EDGE, ppm_scores
 
 
@@ -87,3 +89,17 @@ def test_long_texts(spark):
     longer = spark.createDataFrame([(1, text * 12), (2, "The cat")], "doc_id long, text string")
     got = {r.doc_id: r for r in ppm_scores(longer).collect()}
     assert got[1].n_tokens == 6 * 120_000 + 1 and got[1].score < 0
+
+
+def test_words_of_every_chunk_in_many_blocks(spark, monkeypatch):
+    """A chunk for each text, and blocks of two partitions or two chunks: common words, and codes, have many blocks."""
+    monkeypatch.setattr(ppm, "_CHUNK_BYTES", 40)
+    monkeypatch.setattr(ppm, "block_of", lambda chunk: words.block_of(chunk, 2, 2))
+    rnd = random.Random(4)
+    rows = [(i, "the жизнь " * rnd.randrange(1, 4) + rnd.choice(["cat", "été", "日本"])) for i in range(60)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    source = df.select("doc_id", F.col("text").cast("binary").alias("body"), F.lit(True).alias("train"))
+    cells = words.dictionaries(source, ppm._lower_words, chunk_bytes=40).select("chunk", words.block_of(F.col("chunk"), 2, 2).alias("block")).distinct().collect()
+    members = Counter(c.block for c in cells)
+    assert len(members) > 3 and max(members.values()) <= 4 and len({c.chunk for c in cells}) == len(cells)
+    compare(spark, rows)
