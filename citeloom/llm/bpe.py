@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import StructType
 
-from .words import dictionaries, joined, pack, pack_found, positions, rejoin, unpack
+from .words import block_of, dictionaries, joined, pack, pack_found, positions, rejoin, unpack
 
 # The code points of the Unicode property White_Space, and Latin letters (all of category L).
 _SPACE = "\t-\r \x85\xa0" + chr(0x1680) + chr(0x2000) + "-" + chr(0x200A) + chr(0x2028) + chr(0x2029) + chr(0x202F) + chr(0x205F) + chr(0x3000)
@@ -69,8 +69,8 @@ def byte_pieces(path: str) -> list[bytes]:
 def encode_decode(docs: DataFrame, path: str, *, id_col: str = "doc_id", text_col: str = "text", with_ids: bool = False) -> DataFrame:
     """Ids of every whole text by the tokenizer file ``path`` (byte-level BPE), and the text they decode to.
 
-    Texts are split into words; each distinct word is encoded once; ids come back to the documents by
-    position. A chunk's distinct ids are rows, of which the first carry the ids of its documents in parts; a join of them
+    Texts are split into words; each distinct word of a block of chunks (``words.block_of``, thousands of chunks of 20 MB) is
+    encoded once, so that a word of all texts isn't one task's; ids come back to the documents by position. A chunk's distinct ids are rows, of which the first carry the ids of its documents in parts; a join of them
     with the vocabulary (id, piece) gives what they decode to. Null texts count as
     empty and have no ids; ids of rows may be null or repeated, since rows keep their places.
     Returns doc_id, n_tokens, ids_sha256 (of the ids as little-endian unsigned 32-bit integers) and
@@ -78,7 +78,7 @@ def encode_decode(docs: DataFrame, path: str, *, id_col: str = "doc_id", text_co
     and decoded. Other columns are not carried; an empty table gives an empty result.
     """
     source = docs.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).cast("binary").alias("body"))
-    by_word = dictionaries(source, split_pieces, chunk_bytes=CHUNK_BYTES).select("chunk", "idx", "word").repartition("word").sortWithinPartitions("word")
+    by_word = dictionaries(source, split_pieces, chunk_bytes=CHUNK_BYTES).select("chunk", "idx", "word").repartition("word", block_of(F.col("chunk"))).sortWithinPartitions("word")
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         last_word, last_ids = None, None

@@ -42,6 +42,14 @@ def test_round_trip_against_the_library(spark):
     assert {r.decoded for r in got} == {t or "" for _, t in rows}
 
 
+def test_words_of_every_chunk_in_many_blocks(spark, monkeypatch):
+    monkeypatch.setattr(bpe, "CHUNK_BYTES", 20)
+    monkeypatch.setattr(bpe, "block_of", lambda chunk: words.block_of(chunk, 2, 2))
+    rows = [(i, f"the cat's {i % 7} жизнь the") for i in range(60)]
+    got = {r.doc_id: (r.n_tokens, r.decoded) for r in bpe.encode_decode(spark.createDataFrame(rows, "doc_id long, text string"), PATH, with_ids=True).collect()}
+    assert got == {d: (len(whole(t)[0]), t) for d, t in rows}
+
+
 def test_empty_table_and_clashing_columns(spark):
     df = spark.createDataFrame([], "doc_id long, text string, chunk string, idx int")
     assert bpe.encode_decode(df, PATH).collect() == []
