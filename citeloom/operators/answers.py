@@ -98,5 +98,7 @@ def risk_coverage(records: DataFrame, order: str = "seq") -> DataFrame:
 
 
 def operating_point(curve: DataFrame, target: float) -> DataFrame:
-    """The point whose coverage is nearest to ``target``, the first of equals."""
+    """The point whose coverage is nearest to ``target``, the first of equals; ValueError for a target that isn't above 0 and at most 1."""
+    if not 0 < target <= 1:
+        raise ValueError(f"a coverage of {target} isn't above 0 and at most 1")
     return curve.orderBy(F.round(F.abs(F.col("coverage") - target), 12), "n").limit(1)

@@ -6,7 +6,7 @@ import time
 from collections.abc import Iterator
 from contextlib import contextmanager
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .ranking import running
@@ -14,10 +14,15 @@ from .ranking import running
 STAGES = ("retrieval", "reranking", "generation", "verification")
 
 
+def _known(value: Column, n: Column, what: str) -> Column:
+    """``value``, or a failure of the job where ``n`` rows are none."""
+    return F.when(n > 0, value).otherwise(F.raise_error(F.lit(what)))
+
+
 def metrics(hits: DataFrame, qrels: DataFrame, k_values=(5, 20, 100), mrr_k: int = 10, ndcg_k: int = 10) -> DataFrame:
     """One row of means over the queries that have relevant documents: n_queries, recall_at_*, mrr, ndcg.
 
-    One ranking (query_id, pmid, rank), as deep as the deepest cutoff, serves all.
+    One ranking (query_id, pmid, rank), as deep as the deepest cutoff, serves all. Fails where no query has a relevant document.
     """
     wanted = qrels.groupBy("query_id").agg(F.count("*").alias("n_rel"))
     good = hits.join(qrels, ["query_id", "pmid"], "left_semi")
@@ -30,7 +35,7 @@ def metrics(hits: DataFrame, qrels: DataFrame, k_values=(5, 20, 100), mrr_k: int
     ideal = F.aggregate(F.sequence(F.lit(1), F.least("n_rel", F.lit(ndcg_k)).cast("int")), F.lit(0.0), lambda s, i: s + 1 / F.log2(i + F.lit(1)))
     each = wanted.join(found, "query_id", "left")
     return each.agg(
-        F.count("*").alias("n_queries"),
+        _known(F.count("*"), F.count("*"), "no query has a relevant document").alias("n_queries"),
         *[F.avg(F.coalesce(F.col(f"hit_{k}"), F.lit(0)) / F.col("n_rel")).alias(f"recall_at_{k}") for k in k_values],
         F.avg(F.coalesce(1 / F.col("first"), F.lit(0.0))).alias("mrr"),
         F.avg(F.coalesce(F.col("gain"), F.lit(0.0)) / ideal).alias("ndcg"),
@@ -44,9 +49,9 @@ def misses(hits: DataFrame, qrels: DataFrame, k: int) -> DataFrame:
 
 
 def accuracy(predictions: DataFrame, gold: DataFrame, key: str = "id") -> DataFrame:
-    """One row: share of gold (key, label) that predictions (key, predicted) match, case aside; a missing one is wrong."""
+    """One row: share of gold (key, label) that predictions (key, predicted) match, case aside; a missing one is wrong. Fails without gold."""
     right = F.lower(F.coalesce("predicted", F.lit(""))) == F.lower("label")
-    return gold.join(predictions, key, "left").agg(F.avg(right.cast("int")).alias("accuracy"), F.count("*").alias("n"))
+    return gold.join(predictions, key, "left").agg(_known(F.avg(right.cast("int")), F.count("*"), "no gold labels to score against").alias("accuracy"), F.count("*").alias("n"))
 
 
 def label_shares(gold: DataFrame) -> DataFrame:

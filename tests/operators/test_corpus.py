@@ -70,6 +70,21 @@ def test_risk_coverage_and_operating_point(spark):
     curve = answers.risk_coverage(spark.createDataFrame(records, "seq int, correct boolean, confidence double"))
     assert [(r.n, r.coverage, pytest.approx(r.error_rate)) for r in curve.orderBy("n").collect()] == [(1, 0.25, 0), (2, 0.5, 0.5), (3, 0.75, 1 / 3), (4, 1, 0.5)]
     assert answers.operating_point(curve, 0.6).first().n == 2
+    for target in (0, -0.5, 1.5):
+        with pytest.raises(ValueError):
+            answers.operating_point(curve, target)
+
+
+def test_measures_of_nothing_fail(spark):
+    gold = spark.createDataFrame([("a", "yes"), ("b", "no")], "id string, label string")
+    said = spark.createDataFrame([("a", "YES")], "id string, predicted string")
+    assert tuple(evaluation.accuracy(said, gold).first()) == (0.5, 2)
+    with pytest.raises(Exception, match="no gold labels"):
+        evaluation.accuracy(said, gold.limit(0)).collect()
+    hits = spark.createDataFrame([("q", "1", 1)], "query_id string, pmid string, rank int")
+    assert evaluation.metrics(hits, hits.select("query_id", "pmid")).first().n_queries == 1
+    with pytest.raises(Exception, match="no query has a relevant document"):
+        evaluation.metrics(hits, hits.select("query_id", "pmid").limit(0)).collect()
 
 
 def test_answers_and_verification(spark):
