@@ -52,13 +52,6 @@ def sources(answers: DataFrame) -> DataFrame:
     return each.groupBy("query_id").agg(F.transform(F.sort_array(F.collect_list(F.struct("source", "pmid"))), lambda s: s["pmid"]).alias("passages"))
 
 
-def payload(queries: DataFrame, answers: DataFrame) -> DataFrame:
-    """(query_id, json): what a service would send: question, whether it abstains, sentences with their sources."""
-    said = answers.groupBy("query_id").agg(F.sort_array(F.collect_list(F.struct("n", "sentence", "pmid", "source"))).alias("sentences"))
-    rows = queries.join(said, "query_id", "left")
-    return rows.select("query_id", F.to_json(F.struct("question", F.col("sentences").isNull().alias("abstained"), "sentences")).alias("json"))
-
-
 def restated(queries: DataFrame, hits: DataFrame) -> DataFrame:
     """(query_id, text, passages): a template in a generator's place, which states each sentence of the question and cites the first document for it.
 

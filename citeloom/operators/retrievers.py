@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import hashlib
 import json
+import time
 from collections.abc import Callable
 from dataclasses import dataclass
 from typing import Protocol, TypeVar
@@ -80,6 +81,18 @@ def vector_index(kind: str, points: DataFrame, *, probes: int | None = None, pat
     return _Searched(lambda queries, k: index.search(queries, k, probes))
 
 
+def ann_curve(kind: str, points: DataFrame, queries: DataFrame, probes: list[int], *, k: int = 10, path: str | None = None) -> DataFrame:
+    """(probes, recall, ms): share of the true ``k`` nearest of queries(query_id, vector) that an index finds, and its milliseconds a query, by what it looks at."""
+    truth, n = settled(vectors.block_top(queries, points, k)), max(1, queries.count())
+    rows = []
+    for p in probes:
+        index = vector_index(kind, points, probes=p, path=path)
+        began = time.perf_counter()
+        found = settled(index.search(queries, k))
+        rows.append((p, (time.perf_counter() - began) * 1000 / n, vectors.recall(found, truth, k)))
+    return points.sparkSession.createDataFrame([(p, r.first()[0], ms) for p, ms, r in rows], "probes int, recall double, ms double")
+
+
 @dataclass
 class Lexical:
     index: bm25.Index

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -23,6 +25,11 @@ def labelled_pairs(triples: DataFrame) -> DataFrame:
     return triples.select("query", F.inline(rows))
 
 
+def distinct_texts(*texts: DataFrame) -> DataFrame:
+    """(text): what a model is pretrained on: the different texts of all tables (text), without null and empty ones."""
+    return reduce(DataFrame.unionByName, [t.select("text") for t in texts]).filter("text <> ''").distinct()
+
+
 def title_pairs(docs: DataFrame) -> DataFrame:
     return docs.filter((F.col("title") != "") & (F.col("abstract") != "")).select("pmid", F.col("title").alias("anchor"), F.col("abstract").alias("positive"))
 

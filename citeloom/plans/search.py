@@ -8,8 +8,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from citeloom.functions import text as X
-from citeloom.operators import answers, bm25, corpus, evaluation, ranking, retrievers, training, vectors, verification
-from citeloom.operators.storage import built_once
+from citeloom.operators import answers, bm25, corpus, evaluation, ranking, retrievers, serving, training, vectors, verification
+from citeloom.operators.storage import built_once, settled
 from citeloom.sources import tables
 from citeloom.sources.tables import documents, questions, table
 
@@ -438,3 +438,47 @@ def ladder_template(s, d):
     reports = verification.report(made, verification.verdicts(made, documents(s, d)))
     extracted = answers.render(_answers(s, d))
     return verification.ladder(questions(s, d), made, reports, extracted).select("query_id", "confidence", F.md5("text").alias("text_md5"))
+
+
+# Payloads, for the questions and those that nothing answers.
+_WIDER = PARTS["bench"].replace("FROM benchmark)", f"FROM benchmark UNION ALL SELECT * FROM {_OFF})")
+_PAYLOAD = "query string, abstained boolean, confidence string, sentences array<struct<text:string,pmid:string,citation:long>>, sources array<struct<citation:long,pmid:string,title:string>>, nearest array<struct<pmid:string,title:string>>"
+
+
+def _payloads(s, d) -> tuple[DataFrame, DataFrame, DataFrame]:
+    off = s.createDataFrame([("off1", "zzxqv wwkkj qqzzt"), ("off2", "the of and"), ("off3", "")], "query_id string, question string")
+    asked, docs = questions(s, d).unionByName(off), documents(s, d)
+    hits = settled(bm25.search(_index(s, d), asked, 5))
+    return asked, hits, serving.answer_payloads(asked, answers.extract(asked, hits, docs), hits, docs)
+
+
+@query(
+    _P(BM25_PARTS, bm25_sql(5), _ASK).replace(PARTS["bench"], _WIDER)
+    + "SELECT query_id, false AS abstained, 'GROUNDED' AS confidence, CAST(n AS BIGINT) AS n, sentence AS text, pmid, CAST(source AS BIGINT) AS citation, title, NULL AS nearest FROM ans JOIN docs USING (pmid) UNION ALL SELECT query_id, true, 'ABSTAIN', NULL, NULL, NULL, NULL, NULL, coalesce(near, '') FROM bench LEFT JOIN (SELECT query_id, string_agg(pmid || ' ' || title, '|' ORDER BY rank) AS near FROM hits JOIN docs USING (pmid) WHERE rank <= 3 GROUP BY query_id) USING (query_id) WHERE query_id NOT IN (SELECT query_id FROM ans)"
+)
+def ask_payload(s, d):
+    """What a service would send of each question, read back out of its JSON."""
+    p = _payloads(s, d)[2].select("query_id", F.from_json("json", _PAYLOAD).alias("p")).select("query_id", "p.*")
+    each = p.select("query_id", "abstained", "confidence", "sources", "nearest", F.posexplode_outer("sentences").alias("at", "s"))
+    title = F.get(F.filter("sources", lambda x: x["citation"] == F.col("s.citation")), F.lit(0))["title"]
+    near = F.array_join(F.transform("nearest", lambda x: F.concat(x["pmid"], F.lit(" "), x["title"])), "|")
+    return each.select("query_id", "abstained", "confidence", (F.col("at") + 1).cast("long").alias("n"), "s.text", "s.pmid", "s.citation", title.alias("title"), near.alias("nearest"))
+
+
+@query(
+    _P(BM25_PARTS, bm25_sql(5), _ASK).replace(PARTS["bench"], _WIDER)
+    + "SELECT query_id, CAST(0 AS BIGINT) AS place, 'retrieval' AS event, coalesce((SELECT string_agg(pmid, ',' ORDER BY rank) FROM hits WHERE hits.query_id = bench.query_id), '') AS value FROM bench UNION ALL SELECT query_id, 1, 'answer', CASE WHEN query_id IN (SELECT query_id FROM ans) THEN 'GROUNDED' ELSE 'ABSTAIN' END FROM bench UNION ALL SELECT query_id, 2, 'done', '{}' FROM bench"
+)
+def ask_events(s, d):
+    """What is streamed of each question: its hits, whether it is answered, and the end, each read out of its JSON."""
+    found = F.array_join(F.transform(F.from_json("data", "array<struct<pmid:string>>"), lambda h: h["pmid"]), ",")
+    value = F.when(F.col("event") == "retrieval", found).when(F.col("event") == "answer", F.get_json_object("data", "$.confidence")).otherwise(F.col("data"))
+    return serving.events(*_payloads(s, d)).select("query_id", F.col("place").cast("long").alias("place"), "event", value.alias("value"))
+
+
+@query(_P(BM25_PARTS, bm25_sql(5)) + "SELECT query_id, rank AS n, pmid, round(score, 6) AS score, title FROM hits JOIN docs USING (pmid)")
+def passage_payload(s, d):
+    """The passages that a service would send of each question."""
+    sent = serving.passage_payloads(questions(s, d), settled(_hits(s, d, 5)), documents(s, d))
+    each = sent.select("query_id", F.posexplode(F.from_json("json", "passages array<struct<pmid:string,score:double,title:string>>")["passages"]).alias("at", "p"))
+    return each.select("query_id", (F.col("at") + 1).cast("long").alias("n"), "p.pmid", F.round("p.score", 6).alias("score"), "p.title")

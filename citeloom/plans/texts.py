@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from citeloom.functions import text as X
-from citeloom.operators import corpus, evaluation, training, vocabulary
+from citeloom.operators import corpus, evaluation, serving, training, vocabulary
 from citeloom.operators.storage import scratch
 from citeloom.sources import files
 from citeloom.sources.store import KeyedStore
@@ -262,6 +262,20 @@ def triples_expand(s, d):
     return training.labelled_pairs(files.triples(_triples(s, d)))
 
 
+@query(_P("dialog", _TRIPLES) + "SELECT query, positive AS text, 1 AS label FROM (SELECT DISTINCT query, positive FROM tr" + _VALID + ") UNION ALL SELECT query, negative, 0 FROM tr" + _VALID)
+def triples_array(s, d):
+    """Rows of a positive with all its negatives, taken apart again."""
+    several = files.triples(_triples(s, d)).groupBy("query", "positive").agg(F.collect_list("negative").alias("negative"))
+    return training.labelled_pairs(several)
+
+
+@query(_P("dialog") + "SELECT text FROM (SELECT question AS text FROM dialog UNION SELECT answer FROM dialog UNION SELECT text FROM documents) WHERE text <> ''")
+def pretraining_texts(s, d):
+    """The different texts of questions, answers and documents."""
+    turns = dialogue(s, d)
+    return training.distinct_texts(turns.select(F.col("question").alias("text")), turns.select(F.col("answer").alias("text")), table(s, d, "documents"))
+
+
 @query(_P("dialog") + "SELECT conv_id, turn, question AS premise, answer AS hypothesis, turn % 3 AS label FROM dialog WHERE question <> '' AND answer <> '' AND turn % 4 <> 2")
 def nli_load(s, d):
     forms = F.element_at(F.array(F.lit("entailment"), F.lit("neutral"), F.lit("contradiction")), (F.col("turn") % 3 + 1).cast("int"))
@@ -331,6 +345,19 @@ def req_counters(s, d):
     return table(s, d, "events").groupBy(F.col("event_type").alias("endpoint")).agg(F.count("*").alias("n"))
 
 
+_PLACE = "list_sort(list(value))[CAST(least(count(*) - 1, floor({} * count(*))) AS BIGINT) + 1]"
+
+
+@query(f"SELECT event_type AS name, count(*) AS n, {_PLACE.format(0.5)} AS p50, {_PLACE.format(0.95)} AS p95 FROM events GROUP BY event_type")
+def service_metrics(s, d):
+    """Counters and latencies as a service would report them, read back out of their JSON."""
+    rows = table(s, d, "events").select(F.col("event_type").alias("endpoint"), F.col("event_type").alias("stage"), F.col("value").alias("ms"))
+    sent = serving.service_metrics(rows.select("endpoint"), rows.select("stage", "ms"))
+    told = sent.select(F.from_json("json", "counters map<string,long>, latency_ms map<string,struct<p50:double,p95:double,count:long>>").alias("m"))
+    each = told.select(F.explode("m.latency_ms").alias("name", "t"), "m.counters")
+    return each.select("name", F.element_at("counters", F.col("name")).alias("n"), "t.p50", "t.p95")
+
+
 @query("SELECT page_id, CAST(length(html) AS BIGINT) AS n FROM pages")
 def pages_scan(s, d):
     return table(s, d, "pages").select("page_id", F.length("html").cast("long").alias("n"))

@@ -93,6 +93,12 @@ def write_json(spark: SparkSession, value: object, path: str) -> None:
         out.close()
 
 
+def track(spark: SparkSession, path: str, run: str, metrics: dict[str, float], params: dict[str, object] | None = None) -> None:
+    """Append a run's metrics to a table of runs: (run, at, params, metric, value), a row for each metric."""
+    rows = spark.createDataFrame([(run, {k: str(v) for k, v in (params or {}).items()}, m, float(v)) for m, v in metrics.items()], "run string, params map<string,string>, metric string, value double")
+    rows.withColumn("at", F.current_timestamp()).write.mode("append").parquet(path)
+
+
 def writable_pairs(rows: DataFrame) -> DataFrame:
     """Lines of pairs(anchor, positive) without tabs or line ends in either."""
     return rows.filter(~F.col("anchor").rlike("[\t\r\n]") & ~F.col("positive").rlike("[\t\r\n]")).select(F.concat_ws("\t", "anchor", "positive").alias("value"))
