@@ -72,6 +72,15 @@ def clean(text: Column) -> Column:
     return F.trim(F.regexp_replace(F.coalesce(text, F.lit("")), r"(?U)\s+", " "))
 
 
+#: Letters that have a capital of one letter, and those: in Unicode's simple case mapping no text changes its length.
+_SMALL, _CAPITAL = map("".join, zip(*[(chr(i), u) for i in range(0x110000) if (u := {"ß": "ẞ"}.get(chr(i)) or next((c for c in (chr(i).upper(), chr(i).title()) if len(c) == 1), chr(i))) != chr(i)]))
+
+
+def upper(text: Column) -> Column:
+    """Capitals letter by letter, as DuckDB's upper has them: ``F.upper`` makes two letters of ß and of ligatures."""
+    return F.translate(text, _SMALL, _CAPITAL)
+
+
 def title_fingerprint(title: Column) -> Column:
     return F.trim(F.regexp_replace(F.lower(title), "[^a-z0-9]+", " "))
 

@@ -214,7 +214,7 @@ def store_merge(s, d):
     docs = documents(s, d).select("pmid", "title", "lang")
     store = KeyedStore(s, scratch(s, "store"), key="pmid")
     store.upsert(docs)
-    store.upsert(docs.filter("lang = 'en'").withColumn("title", F.upper("title")))
+    store.upsert(docs.filter("lang = 'en'").withColumn("title", X.upper(F.col("title"))))
     store.remove(docs.filter("lang = 'de'"))
     store.compact()
     store.upsert(s.createDataFrame([("new", "added", "xx")], "pmid string, title string, lang string"))

@@ -187,3 +187,16 @@ def test_folders_are_ingested_once_and_corrupt_files_refused(spark, tmp_path, mo
     (folder / "a.xml.md5").unlink()
     assert run()["pending"] == 1 and store.get(["1"]).first().title == "One again, changed"
     assert manifest.baseline_name(7) == "pubmed25n0007.xml.gz" and manifest.baseline_name(12, release="24", digits=3) == "pubmed24n012.xml.gz"
+
+
+@pytest.mark.parametrize("name", ["store_merge"])
+def test_stores_give_the_rows_of_their_sql(spark, tmp_path, name):
+    duckdb = pytest.importorskip("duckdb")
+    import __spark_entry__ as entry
+
+    rows = [(1, "Große ﬁx\nx", "en", "s"), (2, "Maß", "de", "s"), (3, "plain", "fr", "s"), (4, "SS ß\ny", "en", "s")]
+    spark.createDataFrame(rows, "doc_id long, text string, lang string, source string").write.parquet(str(tmp_path / "documents.parquet"))
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW documents AS SELECT * FROM '{tmp_path}/documents.parquet/*.parquet'")
+    got = entry.queries()[name](spark, str(tmp_path)).collect()
+    assert sorted(map(tuple, got)) == sorted(con.execute(entry.oracle_sql()[name]).fetchall())

@@ -1,5 +1,6 @@
 import hashlib
 
+import pytest
 from pyspark.sql import functions as F
 
 from citeloom.functions import text as X
@@ -17,6 +18,13 @@ def test_cleaning_and_fingerprints(spark):
     assert one(spark, X.title_fingerprint(F.col("a")), a="日本") == ""
 
 
+def test_capitals_are_those_of_the_sql(spark):
+    duckdb = pytest.importorskip("duckdb")
+    assert one(spark, X.upper(F.col("a")), a="Straße ﬁx é") == "STRAẞE ﬁX É" and one(spark, X.upper(F.col("a")), a=None) is None
+    letters = "".join(chr(i) for i in range(1, 0x110000) if not 0xD800 <= i < 0xE000)
+    assert one(spark, X.upper(F.col("a")), a=letters) == duckdb.execute("SELECT upper(?)", [letters]).fetchone()[0]
+
+
 def test_terms_and_sentences(spark):
     assert one(spark, X.terms(F.col("a")), a="The é-cat; 42 Cats") == ["the", "cat", "42", "cats"]
     assert one(spark, X.content_terms(F.col("a")), a="the cat and the Cat of 9") == ["cat", "9"]
