@@ -44,7 +44,7 @@ def store_count(s, d):
 @query(_P("docs") + "SELECT pmid, CASE WHEN lang = 'en' THEN upper(title) ELSE title END AS title FROM docs UNION ALL SELECT 'new', 'added'")
 def store_upsert(s, d):
     old = documents(s, d).select("pmid", "title", "lang", "seq")
-    new = old.filter("lang = 'en'").withColumn("title", F.upper("title")).drop("lang").unionByName(s.createDataFrame([("new", "first", 1), ("new", "added", 2)], "pmid string, title string, seq long"))
+    new = old.filter("lang = 'en'").withColumn("title", X.upper(F.col("title"))).drop("lang").unionByName(s.createDataFrame([("new", "first", 1), ("new", "added", 2)], "pmid string, title string, seq long"))
     return corpus.upsert(old.drop("lang"), new).select("pmid", "title")
 
 

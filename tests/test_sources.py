@@ -189,7 +189,7 @@ def test_folders_are_ingested_once_and_corrupt_files_refused(spark, tmp_path, mo
     assert manifest.baseline_name(7) == "pubmed25n0007.xml.gz" and manifest.baseline_name(12, release="24", digits=3) == "pubmed24n012.xml.gz"
 
 
-@pytest.mark.parametrize("name", ["store_merge"])
+@pytest.mark.parametrize("name", ["store_merge", "store_upsert"])
 def test_stores_give_the_rows_of_their_sql(spark, tmp_path, name):
     duckdb = pytest.importorskip("duckdb")
     import __spark_entry__ as entry
