@@ -398,15 +398,26 @@ def _load(spark: SparkSession, path: str, kind: str) -> tuple[Parameters, dict]:
 # What the trained verifier, gate and answer classes look at.
 
 
-def pair_features(premise: Column, hypothesis: Column) -> list[Column]:
-    """How much of the hypothesis the premise has: content terms, those of each half, and neighbouring terms; and whether there is any."""
-    said, held = X.terms(hypothesis), X.content_terms(premise)
-    share = lambda part, whole: F.coalesce(F.size(F.array_intersect(part, whole)) / F.nullif(F.size(F.array_distinct(part)), F.lit(0)), F.lit(0.0))
+def _neighbours(terms: Column) -> Column:
+    """Each term with the next: the first and second, third and fourth and so on, then the second and third and so on."""
+    line = F.array_join(terms, " ")
+    pairs = lambda t: F.regexp_extract_all(t, F.lit("[^ ]+ [^ ]+"), F.lit(0))
+    return F.concat(pairs(line), pairs(F.regexp_replace(line, "^[^ ]* ?", "")))
+
+
+def _shares(said: Column, held: Column, held_next: Column, some: Column) -> list[Column]:
+    """The features of a hypothesis of the terms ``said``, of those terms and neighbours that the premise has, and whether it has content; others in ``held`` don't count."""
+    share = lambda part, whole: F.coalesce(F.try_divide(F.size(F.array_intersect(part, whole)), F.size(F.array_distinct(part))), F.lit(0.0))  # noqa: E731  a nullif would be a projection of its own, and the parts made twice
     half = F.ceil(F.size(said) / 2).cast("int")
     content = lambda terms: F.array_except(terms, F.array(*map(F.lit, X.STOPWORDS)))
     first, second = content(F.slice(said, F.lit(1), half)), content(F.slice(said, half + 1, F.size(said)))
-    pairs = lambda terms: F.zip_with(F.slice(terms, F.lit(1), F.greatest(F.size(terms) - 1, F.lit(0))), F.slice(terms, F.lit(2), F.greatest(F.size(terms) - 1, F.lit(0))), lambda a, b: F.concat_ws(" ", a, b))
-    return [share(content(said), held), share(first, held), share(second, held), share(pairs(said), pairs(X.terms(premise))), F.when(F.size(held) > 0, 1.0).otherwise(0.0)]
+    return [share(content(said), held), share(first, held), share(second, held), share(_neighbours(said), held_next), F.when(some, 1.0).otherwise(0.0)]
+
+
+def pair_features(premise: Column, hypothesis: Column) -> list[Column]:
+    """How much of the hypothesis the premise has: content terms, those of each half, and neighbouring terms; and whether there is any."""
+    held = X.content_terms(premise)
+    return _shares(X.terms(hypothesis), held, _neighbours(X.terms(premise)), F.size(held) > 0)
 
 
 def sentence_pairs(docs: DataFrame, *, neighbours: int = 1000) -> DataFrame:
@@ -416,9 +427,15 @@ def sentence_pairs(docs: DataFrame, *, neighbours: int = 1000) -> DataFrame:
     and its own first half with the other's second (contradiction, 2). The other is the next of about ``neighbours`` that share a hash, in order of
     another hash; where it holds the same sentence, as copies do, there are only the first.
     """
+    return _sentence_rows(docs, neighbours).select("pmid", "premise", F.inline("rows"))
+
+
+def _sentence_rows(docs: DataFrame, neighbours: int = 1000) -> DataFrame:
+    """(pmid, premise, rows) of ``sentence_pairs``, a row for each document: rows are its (hypothesis, label)."""
     chunk = X.chunk(F.col("title"), F.col("abstract"))
-    each = docs.select("pmid", chunk.alias("premise"), X.sentences(F.col("abstract")).alias("ss")).filter(F.size("ss") >= 2)
-    own = each.select("pmid", "premise", F.array_max(F.transform("ss", lambda s: F.struct(F.length(s).alias("n"), s.alias("s"))))["s"].alias("own"))
+    each = docs.select("pmid", chunk.alias("premise"), X.sentences(F.col("abstract")).alias("ss"))
+    longest = F.array_max(F.transform("ss", lambda s: F.struct(F.length(s).alias("n"), s.alias("s"))))["s"]
+    own = each.select("pmid", "premise", F.explode(F.when(F.size("ss") >= 2, F.array(longest)).otherwise(F.array().cast("array<string>"))).alias("own"))  # a filter would cut sentences again
     parts = max(1, docs.count() // neighbours)
     w = Window.partitionBy("part").orderBy("place", "pmid")
     ring = own.withColumn("part", F.pmod(F.xxhash64("pmid"), F.lit(parts))).withColumn("place", F.xxhash64(F.lit(1), "pmid"))
@@ -429,23 +446,45 @@ def sentence_pairs(docs: DataFrame, *, neighbours: int = 1000) -> DataFrame:
     row = lambda h, label: F.struct(h.alias("hypothesis"), F.lit(label).alias("label"))
     true = F.array(row(F.col("own"), 0))
     rows = F.when(F.contains("premise", F.col("other")), true).otherwise(F.concat(true, F.array(row(F.col("other"), 1), row(mixed, 2))))
-    return paired.select("pmid", "premise", F.inline(rows))
+    return paired.select("pmid", "premise", rows.alias("rows"))
+
+
+def pair_examples(docs: DataFrame, *, held_out: Column) -> DataFrame:
+    """(held, x, label) of ``sentence_pairs`` with pair_features as x, computed and kept.
+
+    A premise is cut into terms and pairs of neighbours once for all its hypotheses: what these have of it together is found first, and each hypothesis is compared with that.
+    """
+    said = F.transform("rows", lambda r: F.struct(X.terms(r["hypothesis"]).alias("said"), r["label"].alias("label")))
+    cut = _sentence_rows(docs).select(held_out.alias("held"), X.terms(F.col("premise")).alias("terms"), said.alias("rows"))
+    every = F.flatten(F.transform("rows", lambda r: r["said"]))
+    next_to = F.flatten(F.transform("rows", lambda r: _neighbours(r["said"])))
+    some = F.exists("terms", lambda t: ~t.isin(X.STOPWORDS))
+    met = cut.select("held", "rows", F.array_intersect(every, F.col("terms")).alias("had"), F.array_intersect(next_to, _neighbours(F.col("terms"))).alias("had_next"), some.alias("some"))
+    one = met.select("held", F.explode_outer("rows").alias("r"), "had", "had_next", "some")  # each has rows; the plain form would filter by rows that it makes again
+    return settled(one.select("held", F.array(*_shares(F.col("r.said"), F.col("had"), F.col("had_next"), F.col("some"))).alias("x"), F.col("r.label").alias("label")))
 
 
-def train_verifier(docs: DataFrame, *, held_out: Column, epochs: int = 8, **options) -> Fitted:
-    """A classifier of pair_features into entailment, neutral and contradiction, by ``sentence_pairs``; documents of ``held_out`` choose the epoch and calibrate."""
-    pairs = sentence_pairs(docs)
-    rows = settled(pairs.select(held_out.alias("held"), F.array(*pair_features(F.col("premise"), F.col("hypothesis"))).alias("x"), "label"))
-    return fit_classifier(rows.filter("NOT held"), rows.filter("held"), classes=3, epochs=epochs, **options)
+def fit_verifier(examples: DataFrame, *, epochs: int = 8, **options) -> Fitted:
+    """A classifier of pair_features into entailment, neutral and contradiction, by ``pair_examples``, of which the held ones choose the epoch and calibrate."""
+    return fit_classifier(examples.filter("NOT held"), examples.filter("held"), classes=3, epochs=epochs, **options)
 
 
-def train_gate(docs: DataFrame, *, held_out: Column, epochs: int = 8, **options) -> Fitted:
+def fit_gate(examples: DataFrame, *, epochs: int = 8, **options) -> Fitted:
     """A classifier of pair_features of passages and a question into 0, can't be answered from them, and 1: a sentence of theirs, against one of others."""
-    pairs = sentence_pairs(docs).filter("label < 2")
-    rows = settled(pairs.select(held_out.alias("held"), F.array(*pair_features(F.col("premise"), F.col("hypothesis"))).alias("x"), (1 - F.col("label")).alias("label")))
+    rows = examples.filter("label < 2").withColumn("label", 1 - F.col("label"))
     return fit_classifier(rows.filter("NOT held"), rows.filter("held"), classes=2, epochs=epochs, **options)
 
 
+def train_verifier(docs: DataFrame, *, held_out: Column, **options) -> Fitted:
+    """``fit_verifier`` of documents; those of ``held_out`` choose the epoch and calibrate."""
+    return fit_verifier(pair_examples(docs, held_out=held_out), **options)
+
+
+def train_gate(docs: DataFrame, *, held_out: Column, **options) -> Fitted:
+    """``fit_gate`` of documents; those of ``held_out`` choose the epoch and calibrate."""
+    return fit_gate(pair_examples(docs, held_out=held_out), **options)
+
+
 def text_features(text: Column, dim: int) -> list[Column]:
     """x and terms of a text for a classifier with hashed terms: lengths, letters and lines, and all terms."""
     n = F.length(text)

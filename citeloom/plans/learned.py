@@ -27,14 +27,18 @@ def _kept(spark: SparkSession, path: str, fitted: learning.Fitted) -> learning.F
     return learning.Fitted(learning.Classifier.load(spark, path), fitted.history)
 
 
-def _verifier(s, d) -> learning.Fitted:
+def _examples(s, d) -> DataFrame:
+    """What the verifier and the gate learn from."""
     docs = documents(s, d)
-    return built_once(docs, "verifier", lambda path: _kept(s, path, learning.train_verifier(docs, held_out=_held_out("pmid"), rate=0.3, epochs=_EPOCHS)))
+    return built_once(docs, "pair-examples", lambda path: learning.pair_examples(docs, held_out=_held_out("pmid")))
+
+
+def _verifier(s, d) -> learning.Fitted:
+    return built_once(documents(s, d), "verifier", lambda path: _kept(s, path, learning.fit_verifier(_examples(s, d), rate=0.3, epochs=_EPOCHS)))
 
 
 def _gate(s, d) -> learning.Fitted:
-    docs = documents(s, d)
-    return built_once(docs, "gate", lambda path: _kept(s, path, learning.train_gate(docs, held_out=_held_out("pmid"), rate=0.3, epochs=_EPOCHS)))
+    return built_once(documents(s, d), "gate", lambda path: _kept(s, path, learning.fit_gate(_examples(s, d), rate=0.3, epochs=_EPOCHS)))
 
 
 def _judged(s, d) -> DataFrame:

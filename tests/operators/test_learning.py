@@ -163,3 +163,29 @@ def test_pairs_for_the_verifier_and_a_trained_report(spark):
     hits = spark.createDataFrame([("in", "3", 1), ("off", "3", 1)], "query_id string, pmid string, rank int")
     p = {r["query_id"]: r["probability"] for r in verification.answerability(asked, hits, d, scorer=lambda c, q: F.get(gate.scores(learning.pair_features(c, q)), F.lit(1))).collect()}
     assert p["in"] > 0.5 > p["off"] and p["none"] < 0.5 and not math.isnan(p["none"])
+
+
+def test_examples_have_the_features_of_their_pairs(spark):
+    rnd = random.Random(3)
+    docs = [(str(i), f"Title {i}", " ".join(" ".join(rnd.choices(["the", "of", "a", "heart", "lung", "b2", "é", "--"], k=rnd.randrange(1, 9))) + rnd.choice(".?!") for _ in range(rnd.randrange(1, 6)))) for i in range(80)]
+    d = spark.createDataFrame([*docs, ("copy", "t", docs[0][2]), ("none", "!", "?. -- !"), ("empty", "", "")], "pmid string, title string, abstract string")
+    held = F.pmod(F.xxhash64("pmid"), F.lit(4)) == 0
+    got = learning.pair_examples(d, held_out=held)
+    want = learning.sentence_pairs(d).select(held.alias("held"), F.array(*learning.pair_features(F.col("premise"), F.col("hypothesis"))).alias("x"), "label")
+    rows = lambda df: sorted((r["held"], tuple(r["x"]), r["label"]) for r in df.collect())
+    assert rows(got) == rows(want) and got.count() > 100
+    pairs = lambda t: {" ".join(p) for p in zip(t, t[1:])}
+    for t in ([], ["a"], ["a", "b"], ["a", "b", "a"], ["a", "b", "a", "b", "c"]):
+        assert set(spark.range(1).select(learning._neighbours(F.lit(t).cast("array<string>") if t else F.array().cast("array<string>"))).first()[0]) == pairs(t)
+
+
+def test_premises_are_cut_once_for_verifier_and_gate(spark, tmp_path, monkeypatch):
+    from citeloom.functions import text as X
+    from citeloom.plans import learned
+
+    texts = [(i, f"Title {i}\nFirst w{i} one here. Then w{i} two and v{i} there! Short.", "en", "s", 10) for i in range(40)]
+    spark.createDataFrame(texts, "doc_id long, text string, lang string, source string, n_chars long").write.parquet(str(tmp_path / "documents.parquet"))
+    cuts, own = [], X.terms
+    monkeypatch.setattr(X, "terms", lambda c: cuts.append(str(c)) or own(c))
+    assert len(learned._verifier(spark, str(tmp_path)).history) == len(learned._gate(spark, str(tmp_path)).history) == 4
+    assert len([c for c in cuts if "premise" in c]) == 1
