@@ -190,25 +190,31 @@ class Encoder:
     def train(self, pairs: DataFrame, *, epochs: int = 5, steps: int = 4, rate: float = 0.01, temperature: float = 0.05, seed: int = 0, on_epoch: Callable[[int, Encoder], None] | None = None) -> tuple[Encoder, list[float]]:
         """A new encoder, and the mean loss of each epoch, of pairs(anchor, positive) of texts that belong together. Null and empty texts are no pairs."""
         dim = len(self.projection)
-        rows = pairs.select(*[hashed(X.terms(F.col(c)), dim).alias(n) for c, n in (("anchor", "a"), ("positive", "b"))]).filter((F.size("a") > 0) & (F.size("b") > 0))
+        rows = pairs.select(*[hashed(X.terms(F.col(c)), dim).alias(n) for c, n in (("anchor", "a"), ("positive", "b"))])
+        rows = rows.select(F.inline(F.when((F.size("a") > 0) & (F.size("b") > 0), F.array(F.struct("a", "b"))).otherwise(F.array().cast("array<struct<a:array<int>,b:array<int>>>"))))  # a filter would cut terms again
         told = on_epoch and (lambda epoch, p: on_epoch(epoch, Encoder(p["projection"])))
         params, losses = descend(Blocks.of(rows, steps=steps, seed=seed), {"projection": self.projection}, contrast(dim, temperature), epochs=epochs, rate=rate, on_epoch=told)
         return Encoder(params["projection"]), losses
 
-    def encode(self, texts: DataFrame) -> DataFrame:
-        """(pmid, vector) of texts(pmid, text); zero for a text without terms."""
+    def vector(self, spark: SparkSession, text: Column) -> Column:
+        """The vector of a text; zero for one without terms."""
         dim = len(self.projection)
-        held = texts.sparkSession.sparkContext.broadcast(self.projection)
+        held = spark.sparkContext.broadcast(self.projection)
 
         @F.arrow_udf("array<double>")
         def vectors(places: pa.Array) -> pa.Array:
-            out = []
+            out = [np.zeros((0, held.value.shape[1]))]
             for at in range(0, len(places), BLOCK_ROWS):
                 z = unit_counts(places.slice(at, BLOCK_ROWS), dim) @ held.value
-                out += list(z / np.maximum(np.linalg.norm(z, axis=1, keepdims=True), 1e-12))
-            return pa.array(out, pa.list_(pa.float64()))
+                out.append(z / np.maximum(np.linalg.norm(z, axis=1, keepdims=True), 1e-12))
+            flat = np.concatenate(out)
+            return pa.ListArray.from_arrays(pa.array(np.arange(len(flat) + 1) * flat.shape[1], pa.int32()), pa.array(flat.ravel()))
 
-        return texts.select("pmid", vectors(hashed(X.terms(F.coalesce("text", F.lit(""))), dim)).alias("vector"))
+        return vectors(hashed(X.terms(F.coalesce(text, F.lit(""))), dim))
+
+    def encode(self, texts: DataFrame) -> DataFrame:
+        """(pmid, vector) of texts(pmid, text); zero for a text without terms."""
+        return texts.select("pmid", self.vector(texts.sparkSession, F.col("text")).alias("vector"))
 
     def save(self, spark: SparkSession, path: str) -> None:
         _save(spark, path, "encoder", {"projection": self.projection})

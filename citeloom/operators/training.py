@@ -36,10 +36,10 @@ def title_pairs(docs: DataFrame) -> DataFrame:
 
 def halves(docs: DataFrame, least: int = 8) -> DataFrame:
     """(pmid, anchor, positive): both halves of abstracts of at least ``least`` words."""
-    w = X.words(F.col("abstract"))
-    rows = docs.select("pmid", w.alias("w")).filter(F.size("w") >= least)
+    rows = docs.select("pmid", X.words(F.col("abstract")).alias("w"))
     half = F.floor(F.size("w") / 2).cast("int")
-    return rows.select("pmid", F.array_join(F.slice("w", F.lit(1), half), " ").alias("anchor"), F.array_join(F.slice("w", half + 1, F.size("w")), " ").alias("positive"))
+    both = F.struct(F.array_join(F.slice("w", F.lit(1), half), " ").alias("anchor"), F.array_join(F.slice("w", half + 1, F.size("w")), " ").alias("positive"))
+    return rows.select("pmid", F.inline(F.when(F.size("w") >= least, F.array(both)).otherwise(F.array().cast("array<struct<anchor:string,positive:string>>"))))  # a filter would cut words again
 
 
 def hard_negatives(rankings: list[DataFrame], positives: DataFrame, *, n: int = 4, pool: int = 20) -> DataFrame:

@@ -85,12 +85,12 @@ def contrastive_epochs(s, d):
 @query()
 def contrastive_recall(s, d):
     """Share of held-out halves whose other half is among the five nearest of all held-out ones, before and after training."""
-    held = _pairs(s, d)[1]
+    held, encoders = _pairs(s, d)[1], {"untrained": learning.Encoder.untrained(_HASHED), "trained": _encoder(s, d)[0]}
+    made = settled(held.select("pmid", *[e.vector(s, F.col(c)).alias(f"{name}_{c}") for name, e in encoders.items() for c in ("anchor", "positive")]))
     both = None
-    for name, encoder in (("untrained", learning.Encoder.untrained(_HASHED)), ("trained", _encoder(s, d)[0])):
-        asked = encoder.encode(held.select("pmid", F.col("anchor").alias("text"))).select(F.col("pmid").alias("query_id"), "vector")
-        near = vectors.block_top(asked, encoder.encode(held.select("pmid", F.col("positive").alias("text"))), 5)
-        hits = held.select(F.col("pmid").alias("query_id")).join(near.filter("query_id = pmid").select("query_id", "rank"), "query_id", "left")
+    for name in encoders:
+        near = vectors.own_within(made.select("pmid", F.col(f"{name}_anchor").alias("asked"), F.col(f"{name}_positive").alias("vector")), 5)
+        hits = made.select("pmid").join(near, "pmid", "left")
         row = hits.agg(F.lit(name).alias("model"), F.count("*").alias("n"), F.avg(F.col("rank").isNotNull().cast("int")).alias("recall_at_5"))
         both = row if both is None else both.unionByName(row)
     return both

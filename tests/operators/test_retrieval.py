@@ -202,3 +202,25 @@ def test_search_by_bounds_is_the_ranking_of_all_scores(spark):
         rows = lambda df: sorted((r.query_id, r["rank"], r.pmid, round(r.score, 9)) for r in df.collect())
         assert rows(bm25.search(index, asked, k)) == rows(want)
     assert bm25.search(bm25.Index.build(docs.limit(0)), asked, 5).count() == 0 and bm25.search(index, asked.limit(0), 5).count() == 0
+
+
+def test_ranks_of_own_candidates_are_those_of_the_whole_search(spark, monkeypatch):
+    rnd = np.random.default_rng(9)
+    b = rnd.standard_normal((300, 6))
+    b[40:90] = b[40]  # copies, which tie
+    b[100:110] = 0
+    a = b + rnd.standard_normal((300, 6)) * rnd.choice([0.1, 1.5], (300, 1))
+    rows = [(str(i), x.tolist(), y.tolist()) for i, (x, y) in enumerate(zip(a, b))]
+    pairs = spark.createDataFrame(rows, "pmid string, asked array<double>, vector array<double>")
+    near = vectors.block_top(pairs.select(F.col("pmid").alias("query_id"), F.col("asked").alias("vector")), pairs.select("pmid", "vector"), 5)
+    want = sorted((r["query_id"], r["rank"]) for r in near.filter("query_id = pmid").collect())
+    sent = []
+    assert 50 < len(want) < 250 and sorted(map(tuple, vectors.own_within(pairs, 5).collect())) == want
+    monkeypatch.setattr(vectors, "GRID", 20)  # sixteen slices in five rounds, queries in blocks
+    monkeypatch.setattr(vectors, "SLICE", 7)
+    monkeypatch.setattr(vectors, "settled", lambda df: sent.append(kept(df)) or sent[-1])
+    kept = lambda df: spark.createDataFrame(df.toArrow().to_pylist(), df.schema)
+    assert sorted(map(tuple, vectors.own_within(pairs, 5).collect())) == want
+    left = [df.count() for df in sent]
+    assert len(left) == 5 and left == sorted(left, reverse=True) and left[-1] == len(want) < left[0]
+    assert vectors.own_within(pairs.limit(0), 5).count() == 0
