@@ -189,3 +189,18 @@ def test_premises_are_cut_once_for_verifier_and_gate(spark, tmp_path, monkeypatc
     monkeypatch.setattr(X, "terms", lambda c: cuts.append(str(c)) or own(c))
     assert len(learned._verifier(spark, str(tmp_path)).history) == len(learned._gate(spark, str(tmp_path)).history) == 4
     assert len([c for c in cuts if "premise" in c]) == 1
+
+
+def test_best_epochs_of_models_that_share_their_pairs(spark, tmp_path, monkeypatch):
+    from citeloom.plans import learned
+
+    texts = [(i, f"Title {i}\nFirst w{i} one here. Then w{i} two and v{i} there! Short.", "en", "s", 10) for i in range(40)]
+    spark.createDataFrame(texts, "doc_id long, text string, lang string, source string, n_chars long").write.parquet(str(tmp_path / "documents.parquet"))
+    spark.createDataFrame([(i, i % 2, int(i % 5 == 0)) for i in range(40)], "doc_id long, quality int, toxic int").write.parquet(str(tmp_path / "labels.parquet"))
+    made, own = [], learning.pair_examples
+    monkeypatch.setattr(learning, "pair_examples", lambda *a, **k: made.append(1) or own(*a, **k))
+    best = {r["group"]: (r["epoch"], r["accuracy"]) for r in learned.best_epoch_trained(spark, str(tmp_path)).collect()}
+    seen = {}
+    for r in learned.training_epochs(spark, str(tmp_path)).collect():
+        seen.setdefault(r["model"], []).append((r["accuracy"], -r["epoch"]))
+    assert best == {m: (-e, a) for m, rows in seen.items() for a, e in [max(rows)]} and len(best) == 3 and len(made) == 1
