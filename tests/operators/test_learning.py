@@ -204,3 +204,15 @@ def test_best_epochs_of_models_that_share_their_pairs(spark, tmp_path, monkeypat
     for r in learned.training_epochs(spark, str(tmp_path)).collect():
         seen.setdefault(r["model"], []).append((r["accuracy"], -r["epoch"]))
     assert best == {m: (-e, a) for m, rows in seen.items() for a, e in [max(rows)]} and len(best) == 3 and len(made) == 1
+
+
+def test_nothing_is_cut_twice_in_the_plan_of_the_examples(spark, monkeypatch):
+    monkeypatch.setattr(learning, "settled", lambda df: df)
+    docs = spark.createDataFrame([("1", "t", "One two. Three four.")], "pmid string, title string, abstract string")
+    limit = spark.conf.get("spark.sql.maxPlanStringLength")
+    spark.conf.set("spark.sql.maxPlanStringLength", "10000000")
+    try:
+        plan = learning.pair_examples(docs, held_out=F.lit(True))._jdf.queryExecution().optimizedPlan().toString()
+    finally:
+        spark.conf.set("spark.sql.maxPlanStringLength", limit)
+    assert plan.count("regexp_extract_all(lower(premise") == plan.count("(?<=[.!?])") == 1 and "Filter" not in plan
