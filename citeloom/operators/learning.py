@@ -411,19 +411,25 @@ def _neighbours(terms: Column) -> Column:
     return F.concat(pairs(line), pairs(F.regexp_replace(line, "^[^ ]* ?", "")))
 
 
-def _shares(said: Column, held: Column, held_next: Column, some: Column) -> list[Column]:
-    """The features of a hypothesis of the terms ``said``, of those terms and neighbours that the premise has, and whether it has content; others in ``held`` don't count."""
+def _steps(terms: Column) -> Column:
+    """``_neighbours`` as a 64-bit hash of each two, in order; two different ones of a text share one with odds of less than its number of terms squared in 2^65."""
+    n = F.greatest(F.size(terms) - 1, F.lit(0))
+    return F.zip_with(F.slice(terms, F.lit(1), n), F.slice(terms, F.lit(2), n), lambda a, b: F.xxhash64(a, b))
+
+
+def _shares(said: Column, next_to: Column, held: Column, held_next: Column, some: Column) -> list[Column]:
+    """The features of a hypothesis of the terms ``said`` and neighbours ``next_to``, of those that the premise has, and whether it has content; others in ``held`` don't count."""
     share = lambda part, whole: F.coalesce(F.try_divide(F.size(F.array_intersect(part, whole)), F.size(F.array_distinct(part))), F.lit(0.0))  # noqa: E731  a nullif would be a projection of its own, and the parts made twice
     half = F.ceil(F.size(said) / 2).cast("int")
     content = lambda terms: F.array_except(terms, F.array(*map(F.lit, X.STOPWORDS)))
     first, second = content(F.slice(said, F.lit(1), half)), content(F.slice(said, half + 1, F.size(said)))
-    return [share(content(said), held), share(first, held), share(second, held), share(_neighbours(said), held_next), F.when(some, 1.0).otherwise(0.0)]
+    return [share(content(said), held), share(first, held), share(second, held), share(next_to, held_next), F.when(some, 1.0).otherwise(0.0)]
 
 
 def pair_features(premise: Column, hypothesis: Column) -> list[Column]:
     """How much of the hypothesis the premise has: content terms, those of each half, and neighbouring terms; and whether there is any."""
-    held = X.content_terms(premise)
-    return _shares(X.terms(hypothesis), held, _neighbours(X.terms(premise)), F.size(held) > 0)
+    held, said = X.content_terms(premise), X.terms(hypothesis)
+    return _shares(said, _neighbours(said), held, _neighbours(X.terms(premise)), F.size(held) > 0)
 
 
 def sentence_pairs(docs: DataFrame, *, neighbours: int = 1000) -> DataFrame:
@@ -459,15 +465,16 @@ def pair_examples(docs: DataFrame, *, held_out: Column) -> DataFrame:
     """(held, x, label) of ``sentence_pairs`` with pair_features as x, computed and kept.
 
     A premise is cut into terms and pairs of neighbours once for all its hypotheses: what these have of it together is found first, and each hypothesis is compared with that.
+    Pairs are compared as 64-bit hashes.
     """
     said = F.transform("rows", lambda r: F.struct(X.terms(r["hypothesis"]).alias("said"), r["label"].alias("label")))
     cut = _sentence_rows(docs).select(held_out.alias("held"), X.terms(F.col("premise")).alias("terms"), said.alias("rows"))
     every = F.flatten(F.transform("rows", lambda r: r["said"]))
-    next_to = F.flatten(F.transform("rows", lambda r: _neighbours(r["said"])))
+    next_to = F.flatten(F.transform("rows", lambda r: _steps(r["said"])))
     some = F.exists("terms", lambda t: ~t.isin(X.STOPWORDS))
-    met = cut.select("held", "rows", F.array_intersect(every, F.col("terms")).alias("had"), F.array_intersect(next_to, _neighbours(F.col("terms"))).alias("had_next"), some.alias("some"))
+    met = cut.select("held", "rows", F.array_intersect(every, F.col("terms")).alias("had"), F.array_intersect(next_to, _steps(F.col("terms"))).alias("had_next"), some.alias("some"))
     one = met.select("held", F.explode_outer("rows").alias("r"), "had", "had_next", "some")  # each has rows; the plain form would filter by rows that it makes again
-    return settled(one.select("held", F.array(*_shares(F.col("r.said"), F.col("had"), F.col("had_next"), F.col("some"))).alias("x"), F.col("r.label").alias("label")))
+    return settled(one.select("held", F.array(*_shares(F.col("r.said"), _steps(F.col("r.said")), F.col("had"), F.col("had_next"), F.col("some"))).alias("x"), F.col("r.label").alias("label")))
 
 
 def fit_verifier(examples: DataFrame, *, epochs: int = 8, **options) -> Fitted:
@@ -494,5 +501,6 @@ def train_gate(docs: DataFrame, *, held_out: Column, **options) -> Fitted:
 def text_features(text: Column, dim: int) -> list[Column]:
     """x and terms of a text for a classifier with hashed terms: lengths, letters and lines, and all terms."""
     n = F.length(text)
-    x = F.array(F.log1p(n), F.log1p(F.size(X.words(text))), F.coalesce(F.regexp_count(text, F.lit(r"[\p{L}\s]")) / F.nullif(n, F.lit(0)), F.lit(0.0)), F.log1p(F.regexp_count(text, F.lit("\n"))))
-    return [x.cast("array<double>").alias("x"), hashed(X.terms(F.lower(text)), dim).alias("terms")]
+    letters, lines = F.length(F.regexp_replace(text, r"[^\p{L}\s]+", "")), n - F.length(F.replace(text, F.lit("\n"), F.lit("")))  # regexp_count makes a string of each letter
+    x = F.array(F.log1p(n), F.log1p(F.size(X.words(text))), F.coalesce(letters / F.nullif(n, F.lit(0)), F.lit(0.0)), F.log1p(lines))
+    return [x.cast("array<double>").alias("x"), hashed(X.terms(text), dim).alias("terms")]

@@ -216,3 +216,24 @@ def test_nothing_is_cut_twice_in_the_plan_of_the_examples(spark, monkeypatch):
     finally:
         spark.conf.set("spark.sql.maxPlanStringLength", limit)
     assert plan.count("regexp_extract_all(lower(premise") == plan.count("(?<=[.!?])") == 1 and "Filter" not in plan
+
+
+def test_texts_of_classes_and_pairs_are_measured_once_and_without_a_string_for_each_letter(spark, tmp_path, monkeypatch):
+    from citeloom.plans import learned
+
+    texts = [(i, [None, "", "ÉT ß2 x\n\n Ab-c d İK", f"Title {i}\nFirst w{i}. Then v{i}!"][min(i, 3)], "en", "s", 10) for i in range(40)]
+    spark.createDataFrame(texts, "doc_id long, text string, lang string, source string, n_chars long").write.parquet(str(tmp_path / "documents.parquet"))
+    spark.createDataFrame([(i, i % 2, int(i % 5 == 0)) for i in range(40)], "doc_id long, quality int, toxic int").write.parquet(str(tmp_path / "labels.parquet"))
+    made, own = [], learning.text_features
+    monkeypatch.setattr(learning, "text_features", lambda *a: made.append(1) or own(*a))
+    assert learned._classes(spark, str(tmp_path)).history and learned.accuracy_trained(spark, str(tmp_path)).count() == 1 and len(made) == 1
+    got = {r["doc_id"]: r["x"] for r in learned._judged(spark, str(tmp_path)).collect()}
+    for i, text, *_ in texts[:6]:
+        t = text or ""
+        assert got[i] == pytest.approx([math.log1p(len(t)), math.log1p(len(t.split())), sum(c.isalpha() or c in " \n" for c in t) / len(t) if t else 0, math.log1p(t.count("\n"))])
+    plan = spark.createDataFrame([("a",)], "t string").select(*learning.text_features(F.col("t"), 8))._jdf.queryExecution().optimizedPlan().toString()
+    assert r"[\p{L}\s]" not in plan
+    lines = []
+    monkeypatch.setattr(learning, "_neighbours", lambda t: lines.append(t))
+    learning.pair_examples(spark.createDataFrame([("1", "t", "One two. Three four.")], "pmid string, title string, abstract string"), held_out=F.lit(True))
+    assert not lines
