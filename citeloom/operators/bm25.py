@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from citeloom.functions import text as X
 
 from .ranking import top
+from .storage import settled
 
 K1, B = 1.5, 0.75
 
@@ -43,6 +44,18 @@ def idf(df: Column, n_docs: Column) -> Column:
     return F.log(1 + (n_docs - df + 0.5) / (df + 0.5))
 
 
+def _totals(counted: DataFrame, post: DataFrame) -> DataFrame:
+    """One row: n_docs, avgdl, of counted(n_docs) and of rows with tf that hold all terms."""
+    size = post.agg(F.coalesce(F.sum("tf"), F.lit(0)).alias("terms"))
+    return counted.crossJoin(size).select("n_docs", F.coalesce(F.col("terms") / F.nullif(F.col("n_docs"), F.lit(0)), F.lit(0.0)).alias("avgdl"))  # single rows
+
+
+def _weighed(post: DataFrame, total: DataFrame) -> DataFrame:
+    """(term, df, idf) of postings."""
+    df = post.groupBy("term").agg(F.count("*").alias("df")).crossJoin(F.broadcast(total))  # a single row
+    return df.select("term", "df", idf(F.col("df"), F.col("n_docs")).alias("idf"))
+
+
 @dataclass
 class Index:
     """postings(pmid, term, tf, dl), terms(term, df, idf), and totals(n_docs, avgdl), which is one row.
@@ -66,17 +79,30 @@ class Index:
         df = post.groupBy("term").agg(F.count("*").alias("df"))
         return cls(post, df.crossJoin(F.broadcast(total)).select("term", "df", idf(F.col("df"), F.col("n_docs")).alias("idf")), total, docs.agg(F.count("*").alias("n_docs")))
 
+    @classmethod
+    def asked(cls, docs: DataFrame, queries: DataFrame, analyze=X.terms) -> Index:
+        """What ``queries`` need of the index, by one pass over the texts: the postings of their terms, and totals of all documents. Searches for them give the same as on the whole.
+
+        A document keeps its terms that are asked for, and the number of all others in one row, so that nothing else of its text moves.
+        """
+        wanted = settled(queries.select(F.explode(F.array_distinct(analyze(F.col("question")))).alias("term")).distinct().select("term", F.lit(True).alias("wanted")))
+        cut = docs.select("pmid", analyze(X.chunk(F.col("title"), F.col("abstract"))).alias("ts"))
+        each = cut.select("pmid", F.size("ts").cast("long").alias("dl"), F.explode_outer("ts").alias("term"))  # the plain form would filter by terms that it cuts again
+        kept = each.join(wanted, "term", "left").groupBy("pmid", "dl", F.when(F.col("wanted"), F.col("term")).alias("own")).agg(F.count("term").alias("tf"))
+        kept = settled(kept)
+        post = kept.filter("own IS NOT NULL").select("pmid", F.col("own").alias("term"), "tf", "dl")
+        total = settled(_totals(docs.agg(F.count("*").alias("n_docs")), kept))
+        return cls(post, settled(_weighed(post, total)), total)
+
     def save(self, path: str) -> Index:
         """Write the tables, each from those before it, and return the index that reads them."""
         spark = self.totals.sparkSession
         self.postings.repartition("term").sortWithinPartitions("term").write.mode("overwrite").parquet(f"{path}/postings")
         post = spark.read.parquet(f"{path}/postings")
-        size = F.coalesce(F.sum("tf"), F.lit(0))
-        total = self.totals if self.counted is None else self.counted.crossJoin(post.agg(size.alias("terms"))).select("n_docs", F.coalesce(F.col("terms") / F.nullif(F.col("n_docs"), F.lit(0)), F.lit(0.0)).alias("avgdl"))  # single rows
+        total = self.totals if self.counted is None else _totals(self.counted, post)
         total.write.mode("overwrite").parquet(f"{path}/totals")
         total = spark.read.parquet(f"{path}/totals")
-        df = post.groupBy("term").agg(F.count("*").alias("df")).crossJoin(F.broadcast(total))
-        df.select("term", "df", idf(F.col("df"), F.col("n_docs")).alias("idf")).write.mode("overwrite").parquet(f"{path}/terms")
+        _weighed(post, total).write.mode("overwrite").parquet(f"{path}/terms")
         spark.range(1).select(F.lit(FORMAT_VERSION).alias("version")).write.mode("overwrite").parquet(f"{path}/format")
         return Index.load(spark, path)
 

@@ -11,7 +11,7 @@ from citeloom.operators.storage import built_once, settled
 from citeloom.sources.tables import documents, questions, table
 
 from .registry import query
-from .search import _answers, _hits, _index
+from .search import _answers, _hits, _hits_alone, _index
 
 _HASHED, _EPOCHS, _TERMS = 4096, 4, 1024
 
@@ -136,9 +136,10 @@ def answerability_trained(s, d):
 def verify_trained(s, d):
     """The citation report of extracted answers under the trained verifier."""
     model = _verifier(s, d).model
-    found = _answers(s, d)
+    found = settled(_answers(s, d, _hits_alone(s, d)))
     cited = answers.render(found).join(answers.sources(found), "query_id")
-    return verification.report(cited, verification.verdicts(cited, documents(s, d), lambda premise, hypothesis: model.label(learning.pair_features(premise, hypothesis))))
+    docs = documents(s, d).join(found.select("pmid").distinct(), "pmid", "left_semi")  # the texts of others stay where they are
+    return verification.report(cited, verification.verdicts(cited, docs, lambda premise, hypothesis: model.label(learning.pair_features(premise, hypothesis))))
 
 
 @query()

@@ -237,3 +237,31 @@ def test_texts_of_classes_and_pairs_are_measured_once_and_without_a_string_for_e
     monkeypatch.setattr(learning, "_neighbours", lambda t: lines.append(t))
     learning.pair_examples(spark.createDataFrame([("1", "t", "One two. Three four.")], "pmid string, title string, abstract string"), held_out=F.lit(True))
     assert not lines
+
+
+def test_an_index_of_what_is_asked_finds_what_the_whole_finds_and_verifying_builds_no_other(spark, tmp_path):
+    from citeloom.operators import bm25
+    from citeloom.operators.storage import built
+    from citeloom.plans import learned, search
+    from citeloom.sources.tables import documents, questions
+
+    rnd = random.Random(9)
+    words = [f"w{i}" for i in range(30)]
+    texts = [(i, " ".join(rnd.choices(words, k=rnd.randrange(1, 30))) + "\n" + " ".join(rnd.choices(words, k=12)) + ".", "en", "s", 10) for i in range(60)]
+    texts += [(3, "w1 w2\nAgain w3.", "en", "s", 10), (90, "", "en", "s", 0), (91, "?!", "en", "s", 2), (92, None, "en", "s", 0)]
+    spark.createDataFrame(texts, "doc_id long, text string, lang string, source string, n_chars long").write.parquet(str(tmp_path / "documents.parquet"))
+    asked = [(i, " ".join(rnd.choices([*words, "nowhere"], k=4))) for i in range(8)] + [(20, ""), (21, None), (22, "w1 W1 w2")]
+    spark.createDataFrame(asked, "item_id long, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
+    d = str(tmp_path)
+    docs, q = documents(spark, d), questions(spark, d)
+    alone = sorted(map(tuple, search._hits_alone(spark, d).collect()))
+    reports = sorted(map(tuple, learned.verify_trained(spark, d).collect()))
+    assert built(docs, "bm25") is None
+    part, whole = bm25.Index.asked(docs, q), search._index(spark, d)
+    assert built(docs, "bm25") is whole
+    assert part.totals.collect() == whole.totals.collect() and alone == sorted(map(tuple, search._hits(spark, d).collect())) and alone
+    wanted = {r["term"]: tuple(r) for r in whole.terms.collect() if r["term"] in " ".join(t or "" for _, t in asked).lower().split()}
+    assert {r["term"]: tuple(r) for r in part.terms.collect()} == wanted
+    assert sorted(map(tuple, learned.verify_trained(spark, d).collect())) == reports and len(reports) >= 8
+    none = bm25.Index.asked(docs.limit(0), q)
+    assert bm25.search(none, q).count() == 0
